@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, token_counts, topk, warc
+from . import decontaminate, line_dedup, near_dup, quality, token_counts, topk, warc
 from .shared import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewrite(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -19,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5, scale=256)
 
@@ -29,8 +41,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_near_dup": op5_near_dup,
     "op6_topk": op6_topk,
     "op7_line_dedup": op7_line_dedup,
 }
@@ -47,6 +62,31 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
     """,
+    "op5_near_dup": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), p AS (
+          SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0
+        ), s AS (
+          SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM p
+        ), n AS (
+          SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), c AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), l AS (
+          SELECT c.a, c.b FROM c JOIN n AS x ON x.doc_id = c.a JOIN n AS y ON y.doc_id = c.b WHERE 100 * c.both_n >= 85 * (x.n + y.n - c.both_n)
+        ), e AS (
+          SELECT a, b FROM l UNION SELECT b, a FROM l
+        ), r AS (
+          SELECT doc_id AS id, doc_id AS reached FROM documents
+          UNION
+          SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a
+        ), m AS (
+          SELECT id, min(reached) AS component_id FROM r GROUP BY id
+        )
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM documents AS d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
     "op6_topk": """
         WITH e AS (
           SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE embedding IS NOT NULL
