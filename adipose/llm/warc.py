@@ -3,7 +3,8 @@
 Headers (id, digest, length) alone are shuffled by payload digest to find each payload's original;
 the payloads are shuffled once, by page, to the archive they go to. Records are UTF-8 text that
 ends with CRLF CRLF, so Spark's text writer with that separator writes valid archives without
-Python. Archives are read back as binary files and walked by Content-Length.
+Python, by default each as one gzip stream. Archives are read back as binary files and walked by
+Content-Length.
 
 Defined results: a null html is an empty payload; payloads shorter than ``least`` bytes are always
 responses; rows that repeat the smallest id of a payload are responses each; a row without id is
@@ -13,6 +14,7 @@ not stored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ def revisits(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return long.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", compression: str = "none") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write one record per row of ``pages`` to archives of about ``archive_bytes`` in folder ``path``."""
     heads = headers(pages, id_col, payload)
     total = heads.agg(F.coalesce(F.sum(F.col("bytes") + 700), F.lit(0))).first()[0]
@@ -71,7 +73,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of one archive."""
+    """(headers, block) of each record of one archive, plain or gzip."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at, gap = 0, b"\r\n\r\n"
     while at < len(content):
         end = content.index(gap, at)
