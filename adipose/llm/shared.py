@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Up to so many ids a semi or anti join broadcasts them (some MB); beyond, both sides are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` with (left_semi) or without (left_anti) the ``ids``, a stored table of distinct keys.
+
+    The ids are counted first: a set below the bound is broadcast, so large rows stay where they are
+    read; a larger one is joined by a shuffle. The result is the same.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), key, how)
