@@ -9,8 +9,8 @@
    id: one pair a member. Pairs whose collision-corrected estimate lies five standard errors
    below the threshold go; the others are confirmed on the full sets.
 4. Buckets whose members are then of one component are done, since more links change nothing.
-   In the others all pairs of different components are compared by estimate, in blocks of
-   bounded size, and the close ones are confirmed on the full sets too.
+   In the others the members of different components are compared block against block: by
+   estimate, then on the full sets, and only links that join components are given out.
 5. Components of all confirmed links.
 
 With 25 bands of 5 registers a pair at the threshold of 0.85 misses every band with a chance of
@@ -28,13 +28,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .components import components
-from .shared import stored
+from .shared import by_ids, stored
 
 WORDS = 5
 BUCKET_BITS = 7
@@ -42,7 +43,7 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BANDS, BAND_ROWS = 25, 5
 PERCENT = 85
-BLOCK = 256
+BLOCK = 512
 SIGMAS = 5.0
 # fixed value: the constant of the expected number of register collisions (Yu and Weber, HyperMinHash)
 COLLISIONS = 0.169919487159739093975315012348630288
@@ -181,37 +182,58 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _cell(percent: int):
-    def run(key, pdf):
-        import pandas as pd
+def _shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit row a set over the shingles that more than one of the sets has."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    often = count[index] > 1
+    bits = np.zeros((len(sets), int((count > 1).sum() + 7) // 8 * 8 + 8), bool)
+    bits[owner[often], column[index[often]]] = True
+    return np.packbits(bits, axis=1)
+
 
-        ids, labels = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
-        regs = _regs(pa.array(pdf["registers"], pa.binary()))
-        n, block = pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy()
+def _cell(percent: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, block = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy()
+        sets = shingle_sets(pa.array(pdf["text"], pa.large_string()))
+        n = np.array([len(s) for s in sets])
+        regs = registers(sets)
+        bands, bits = band_keys(regs), _shared_bits(sets)
+        names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
         found = []
         for i in range(len(ids)):
             # within one block each pair once; between two blocks first against second
-            other = np.flatnonzero((ids > ids[i]) if key[1] == key[2] else (block == key[2]) & (block[i] == key[1]))
-            other = other[labels[other] != labels[i]]
-            if len(other):
-                near = other[_may_link(regs[i][None, :], regs[other], n[i], n[other], percent)]
-                found.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])], axis=1))
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(rows, columns=["a", "b"])
+            other = (ids > ids[i]) if key[1] == key[2] else (block == key[2]) & (block[i] == key[1])
+            other = np.flatnonzero(other & (label != label[i]))
+            if not len(other):
+                continue
+            # a pair that meets in several buckets is looked at in the first of them
+            same = bands[other] == bands[i]
+            other = other[bands[i][same.argmax(axis=1)] == key[0]]
+            other = other[_may_link(regs[i][None, :], regs[other], n[i], n[other], percent)]
+            both = np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in other[100 * both >= percent * (n[other] + n[i] - both)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def _open_pairs(rows: DataFrame, sigs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Close pairs of different components in buckets that hold more than one, block against block."""
+def _open_links(rows: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between components in buckets that hold more than one, confirmed block against block.
+
+    A cell holds the full sets of two blocks and gives links enough to join what they join.
+    """
     named = rows.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     still = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     member = named.join(still.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "doc_id", "label", "block")
-    full = member.join(sigs.select("doc_id", "registers", "n_shingles"), "doc_id")
-    return full.groupBy("key", "first", "second").applyInPandas(_cell(percent), "a long, b long").distinct()
+    return member.join(texts, "doc_id").groupBy("key", "first", "second").applyInPandas(_cell(percent), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,15 +252,14 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str =
     heads = sets.select("doc_id", "registers", "n_shingles").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     heads = stored(heads, "candidate-signatures")
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = stored(texts.join(members.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "candidate-texts")
+    texts = stored(by_ids(texts, stored(members.select("doc_id").distinct(), "candidates"), "doc_id"), "candidate-texts")
     star = members.where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
     close = stored(_close_pairs(star, heads, percent), "star-pairs")
     links = stored(_links(close, texts, percent), "star-links")
     labels = stored(components(links), "star-components")
-    more = stored(_open_pairs(members.select("key", "doc_id"), heads, labels, percent).join(close, ["a", "b"], "left_anti"), "open-pairs")
+    more = stored(_open_links(members.select("key", "doc_id"), texts, labels, percent), "open-links")
     if not more.isEmpty():
-        links = links.unionByName(stored(_links(more, texts, percent), "open-links"))
-        labels = stored(components(links), "components")
+        labels = stored(components(links.unionByName(more)), "components")
     of_set = classes.join(labels, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     # ids that repeat with different sets join their classes' components
     joined = sigs.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")

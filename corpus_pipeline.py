@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from adipose.llm import decontaminate, line_dedup, near_dup, quality, sentencepiece_codec
-from adipose.llm.shared import stored, table
+from adipose.llm.shared import by_ids, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates stays; null ids all stay."""
     found = near_dup.near_duplicates(docs, percent=near_dup.PERCENT)
-    gone = stored(found.where("not kept").select("doc_id"), "near-duplicates").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "near-duplicates")
+    return by_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
