@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dup, quality, sentencepiece_codec, suffix_dedup, token_counts, topk, warc
+from . import decontaminate, language_model, line_dedup, near_dup, quality, sentencepiece_codec, suffix_dedup, token_counts, topk, warc
 from .shared import table
 
 
@@ -49,6 +49,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
