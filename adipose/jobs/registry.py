@@ -1,4 +1,449 @@
 """The registered queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import annotate, export, profile, quant, reactions, samples, stats, validate
+from ..sources import delimited
+from ..sources import reference_tables as ref
+from . import driver_tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+R = lambda c, n=6: F.round(c, n)
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- statistics
+
+
+@query(f"""WITH {t.QUANT}, {t.SAMPLES}, v AS (
+  SELECT grp, row_idx, input_name, avg(value) AS mean, stddev_pop(value) AS std FROM q JOIN s USING (sample_id) GROUP BY grp, row_idx, input_name
+) SELECT grp AS "group", input_name, round(max_by(mean, row_idx), 6) AS mean, round(max_by(std, row_idx), 6) AS std FROM v GROUP BY grp, input_name""")
+def a1_group_statistics(spark, d):
+    means = stats.group_means(stats.lipid_group_values(t.quant(spark, d), t.samples(spark, d)))
+    return means.select("group", "input_name", R("mean").alias("mean"), R("std").alias("std"))
+
+
+@query(f"""WITH {t.QUANT}, {t.SAMPLES}, v AS (SELECT DISTINCT grp, row_idx FROM q JOIN s USING (sample_id))
+SELECT s.grp AS "group", count(DISTINCT s.sample_id) AS sample_count, (SELECT count(*) FROM v WHERE v.grp = s.grp) AS lipid_coverage FROM s GROUP BY s.grp""")
+def a1_group_coverage(spark, d):
+    sample = t.samples(spark, d)
+    return stats.group_coverage(stats.lipid_group_values(t.quant(spark, d), sample), sample).drop("dataset_id")
+
+
+@query(f"""WITH {t.LINES}, k AS (
+  SELECT dataset_id, col_idx, text, value, row_number() OVER (PARTITION BY dataset_id, col_idx ORDER BY row_idx) AS i FROM c WHERE text <> ''
+), g AS (
+  SELECT dataset_id, col_idx, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numbers, avg(length(text)) AS size,
+         bool_and(CASE WHEN i <= 10 THEN regexp_matches(replace(replace(text, '_', ''), '-', ''), '^[A-Za-z0-9]+$') ELSE true END) AS plain FROM k WHERE i <= 100 GROUP BY dataset_id, col_idx
+), n AS (SELECT dataset_id, col_idx, count(*) AS n_rows, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_non_empty FROM c GROUP BY dataset_id, col_idx)
+SELECT n.dataset_id, n.col_idx, n_rows, n_non_empty, n_non_empty = 0 AS is_empty,
+       CASE WHEN numbers > 0.8 THEN 'numeric' WHEN size < 20 AND plain THEN 'identifier' WHEN numbers IS NOT NULL THEN 'text' END AS column_type
+FROM n LEFT JOIN g ON n.dataset_id = g.dataset_id AND n.col_idx = g.col_idx""")
+def a2_column_profile(spark, d):
+    return profile.column_profile(profile.long_cells(_rows(spark, d))).where("col_idx > 0")
+
+
+@query(f"""WITH {t.QUANT}, m AS (SELECT row_idx, avg(value) AS mean, stddev_pop(value) AS std FROM q GROUP BY row_idx)
+SELECT q.row_idx, sample_id, round(CASE WHEN std = 0 THEN 0.0 ELSE (value - mean) / std END, 6) AS z FROM q JOIN m ON q.row_idx = m.row_idx""")
+def a3_zscores(spark, d):
+    return stats.zscores(t.quant(spark, d)).select("row_idx", "sample_id", (R("z") + 0.0).alias("z"))
+
+
+@query(f"""WITH {t.QUANT}, {t.SAMPLES}, g AS (SELECT DISTINCT grp FROM s), l AS (SELECT DISTINCT row_idx FROM q), v AS (SELECT grp, row_idx, count(*) AS n, sum(value) AS total FROM q JOIN s USING (sample_id) GROUP BY grp, row_idx)
+SELECT g.grp AS "group", l.row_idx, CAST(coalesce(v.n, 0) AS INTEGER) AS samples, coalesce(v.total, 0.0) AS total FROM g CROSS JOIN l LEFT JOIN v ON v.grp = g.grp AND v.row_idx = l.row_idx""")
+def a4_grouped_data(spark, d):
+    maps = stats.grouped_data(t.quant(spark, d), t.samples(spark, d))
+    total = F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, x: a + x)
+    return maps.select("group", "row_idx", F.size("values").alias("samples"), total.alias("total"))
+
+
+# --- sources
+
+
+def _rows(spark, d):
+    return delimited.split_lines(t.customer_lines(spark, d), t.COLUMNS)
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ';' WHEN 1 THEN chr(9) WHEN 2 THEN '|' ELSE ',' END AS delimiter FROM customer""")
+def s2_delimiter(spark, d):
+    key = F.col("c_custkey") % 5
+    sep = F.when(key == 0, ";").when(key == 1, "\t").when(key == 2, "|").when(key == 3, ",").otherwise("~")
+    text = F.concat_ws("", "c_name", sep, "c_mktsegment", sep, F.lit("3"))
+    return t.table(spark, d, "customer").select("c_custkey", delimited.delimiter(text).alias("delimiter"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'msdial' ELSE 'standard' END AS format_type FROM part""")
+def s3_format(spark, d):
+    header = F.concat_ws("\t", F.when(F.col("p_partkey") % 3 == 0, "Alignment ID").otherwise("sample"), "p_name", "p_brand")
+    return t.table(spark, d, "part").select("p_partkey", delimited.table_format(header).alias("format_type"))
+
+
+@query(f"""WITH {t.LINES} SELECT dataset_id, row_idx, name AS first_cell, c1 AS second_cell, 5 AS cells, CASE WHEN short THEN 'segment,nation,nation' ELSE '' END AS missing, CASE WHEN longer THEN 'surplus,2' ELSE '' END AS extra FROM f""")
+def s6_ragged_rows(spark, d):
+    rows = _rows(spark, d)
+    return rows.select("dataset_id", "row_idx", F.col("cells")[0].alias("first_cell"), F.col("cells")[1].alias("second_cell"), F.size("cells").alias("cells"), F.array_join("missing_columns", ",").alias("missing"), F.array_join("extra_fields", ",").alias("extra"))
+
+
+@query(f"""WITH {t.NAMES} SELECT input_name, standardized_name, lm_id, exact_mass, main_class, sub_class FROM n""")
+def s8_name_table(spark, d):
+    return t.names(spark, d).select("input_name", "standardized_name", "lm_id", "exact_mass", "main_class", "sub_class")
+
+
+@query("""SELECT p_partkey AS doc, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'LM' || p_partkey END AS lm_id, CASE WHEN p_partkey % 5 = 0 THEN 'bad request' END AS error FROM part WHERE p_partkey % 7 <> 0""")
+def s9_structures(spark, d):
+    part, key = t.table(spark, d, "part"), F.col("p_partkey")
+    item = F.to_json(F.struct("p_partkey", F.col("p_name").alias("name"), F.when(key % 2 == 0, F.concat(F.lit("LM"), key.cast("string"))).otherwise("").alias("lm_id"), F.when(key % 5 == 0, "bad request").alias("error"), key.cast("string").alias("input_name")))
+    text = F.when(key % 7 == 0, "").when(key % 3 == 0, item).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    return ref.structures_from_json(part.select(text.alias("text"))).select(F.col("input_name").cast("long").alias("doc"), "name", "lm_id", "error")
+
+
+@query("""SELECT event_id, CAST(event_id AS BIGINT) AS reaction_id, event_type AS reaction_name, 1 AS reactants FROM events WHERE event_id % 4 <> 0""")
+def s10_reactions(spark, d):
+    key = F.col("event_id")
+    item = F.to_json(F.struct(key.alias("reaction_id"), F.col("event_type").alias("reaction_name"), F.array(F.struct(F.get_json_object("props", "$.k").alias("compound_name"))).alias("reactants")))
+    text = F.concat(F.lit("["), F.when(key % 4 == 0, F.lit('"broken"')).otherwise(item), F.lit(', "x", 3]'))
+    found = ref.reactions_from_json(t.table(spark, d, "events").select("event_id", text.alias("text")), order=["event_id"])
+    return found.select("event_id", "reaction_id", "reaction_name", F.size("reactants").alias("reactants"))
+
+
+@query(f"""WITH {t.HEADGROUPS} SELECT headgroup, coalesce(head_id, '') AS first_id FROM h""")
+def s11_headgroups(spark, d):
+    return ref.headgroup_table(t.headgroups(spark, d)).select("headgroup", F.col("lm_ids")[0].alias("first_id"))
+
+
+# --- projections and predicates
+
+
+@query(f"""WITH {t.LINES}, k AS (
+  SELECT dataset_id, col_idx, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, col_idx ORDER BY row_idx) AS i FROM c WHERE text <> '') WHERE i <= 100 GROUP BY dataset_id, col_idx
+) SELECT c.dataset_id, c.row_idx, f.name AS input_name, c.col_idx AS ordinal, c.value FROM c JOIN k ON c.dataset_id = k.dataset_id AND c.col_idx = k.col_idx AND k.numbers > 0.8
+JOIN f ON f.dataset_id = c.dataset_id AND f.row_idx = c.row_idx WHERE f.name <> '' AND c.value IS NOT NULL""")
+def p3_extract(spark, d):
+    rows = _rows(spark, d)
+    found = quant.extract(rows, t.column_names(spark, d), profile.column_profile(profile.long_cells(rows)))
+    return found.select("dataset_id", "row_idx", "input_name", "ordinal", "value")
+
+
+@query("""SELECT sample_id, coalesce(nullif(trim(regexp_extract(sample_id, '^([^0-9]+)', 1), '_'), ''), 'unknown') AS "group" FROM (
+  SELECT n_name AS sample_id FROM nation UNION ALL SELECT c_mktsegment || '__' || c_custkey FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR) || 'a' FROM customer UNION ALL SELECT '___' || c_custkey FROM customer)""")
+def p4_group_by_name(spark, d):
+    customer, key = t.table(spark, d, "customer"), F.col("c_custkey").cast("string")
+    ids = t.table(spark, d, "nation").select(F.col("n_name").alias("sample_id")).unionByName(customer.select(F.concat("c_mktsegment", F.lit("__"), key).alias("sample_id")))
+    ids = ids.unionByName(customer.select(F.concat(key, F.lit("a")).alias("sample_id"))).unionByName(customer.select(F.concat(F.lit("___"), key).alias("sample_id")))
+    return samples.sample_table(ids)
+
+
+@query("""WITH m AS (SELECT n_name AS sample_id, max_by(r_name, r_regionkey) AS g FROM nation JOIN region ON r_regionkey >= n_regionkey AND n_nationkey % 3 <> 0 GROUP BY n_name)
+SELECT n_name AS sample_id, coalesce(m.g, 'NATION') AS "group" FROM nation LEFT JOIN m ON m.sample_id = n_name""")
+def p4_group_by_mapping(spark, d):
+    region, nation = t.table(spark, d, "region"), t.table(spark, d, "nation")
+    mapping = nation.where("n_nationkey % 3 <> 0").join(region, F.col("r_regionkey") >= F.col("n_regionkey")).select(F.col("n_name").alias("sample_id"), F.col("r_name").alias("group"), F.col("r_regionkey").alias("ord"))
+    return samples.sample_table(nation.select(F.col("n_name").alias("sample_id")), mapping)
+
+
+@query("""SELECT 'nation ' || n_nationkey AS dataset_id, v.ordinal, v.label FROM nation, (VALUES (0, NULL), (1, 'label 2'), (2, 'label 3'), (3, 'label 4')) AS v(ordinal, label) WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def p5_labels_by_position(spark, d):
+    columns = t.column_names(spark, d)
+    chosen = columns.where("col_idx > 0").select("dataset_id", (F.col("col_idx") - 1).alias("ordinal"), F.col("column").alias("sample_id"))
+    return samples.with_labels(chosen, columns, by="position").select("dataset_id", "ordinal", "label")
+
+
+def _annotated(spark, d):
+    return annotate.standardise(t.lipids(spark, d), t.names(spark, d))
+
+
+ANNOTATED = f"{t.NAMES}, {t.LIPIDS}, a AS (SELECT l.row_idx, l.input_name, n.standardized_name, n.lm_id, n.exact_mass AS mass, n.main_class, n.sub_class FROM l LEFT JOIN n ON l.input_name = n.input_name)"
+
+
+@query(f"""WITH {ANNOTATED} SELECT count(*) AS successful_import_count, CAST(sum(CASE WHEN standardized_name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS failed_import_count FROM a""")
+def p6_import_counts(spark, d):
+    return quant.import_counts(_annotated(spark, d))
+
+
+@query(f"""WITH {ANNOTATED} SELECT row_idx, input_name FROM a WHERE standardized_name IS NULL""")
+def p6_failed_imports(spark, d):
+    return quant.failed_imports(_annotated(spark, d)).select("row_idx", "input_name")
+
+
+@query(f"""WITH {ANNOTATED} SELECT row_idx, input_name FROM a WHERE main_class = 'Brand#2' OR sub_class = 'ECONOMY'""")
+def p7_of_class(spark, d):
+    a = _annotated(spark, d)
+    return quant.of_class(a, "Brand#2").unionByName(quant.of_class(a, "ECONOMY")).select("row_idx", "input_name").distinct()
+
+
+@query(f"""WITH {ANNOTATED}, w AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT sys_name FROM (SELECT standardized_name AS sys_name FROM n WHERE standardized_name IS NOT NULL))
+SELECT w.name, min(a.row_idx) AS row_idx FROM w JOIN a ON a.input_name = w.name OR a.standardized_name = w.name GROUP BY w.name""")
+def p8_by_name(spark, d):
+    part = t.table(spark, d, "part")
+    wanted = part.select(F.col("p_name").alias("name")).unionByName(t.names(spark, d).select(F.col("standardized_name").alias("name")).where("name is not null")).distinct()
+    return quant.by_names(_annotated(spark, d), wanted).select("name", F.col("row.row_idx").alias("row_idx"))
+
+
+@query(f"""WITH {ANNOTATED}, {t.QUANT}, w AS (SELECT DISTINCT p_name AS name, n_name AS sample_id FROM part, nation WHERE n_nationkey < 3), b AS (SELECT w.name, w.sample_id, min(a.row_idx) AS row_idx FROM w LEFT JOIN a ON a.input_name = w.name OR a.standardized_name = w.name GROUP BY w.name, w.sample_id)
+SELECT b.name, b.sample_id, q.value FROM b LEFT JOIN q ON q.row_idx = b.row_idx AND q.sample_id = b.sample_id""")
+def p9_values(spark, d):
+    names = t.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    few = t.table(spark, d, "nation").where("n_nationkey < 3").agg(F.collect_list("n_name").alias("ids"))
+    wanted = names.withColumn("key", F.lit(1)).join(F.broadcast(few.withColumn("key", F.lit(1))), "key").select("name", F.explode("ids").alias("sample_id"))
+    return quant.values_for(_annotated(spark, d), t.quant(spark, d), wanted)
+
+
+@query(f"""WITH {ANNOTATED} SELECT DISTINCT lm_id FROM a WHERE lm_id LIKE 'LM%'""")
+def p10_lm_ids(spark, d):
+    return quant.lm_ids(_annotated(spark, d))
+
+
+@query(f"""WITH {ANNOTATED} SELECT DISTINCT standardized_name FROM a WHERE standardized_name <> '' AND lm_id IS NULL""")
+def p11_unmatched(spark, d):
+    return quant.unmatched_names(_annotated(spark, d))
+
+
+@query(f"""WITH {ANNOTATED} SELECT row_idx, input_name FROM a ORDER BY row_idx LIMIT 10""")
+def p12_first(spark, d):
+    return quant.first_rows(_annotated(spark, d)).select("row_idx", "input_name")
+
+
+@query("SELECT n_nationkey AS ordinal, n_name AS sample_id FROM nation")
+def p13_samples(spark, d):
+    return t.samples(spark, d).orderBy("ordinal").select("ordinal", "sample_id")
+
+
+# --- annotation
+
+
+@query(f"""WITH {ANNOTATED} SELECT row_idx, input_name, standardized_name, lm_id, mass, main_class, sub_class, CASE WHEN standardized_name <> '' THEN 'RefMet' END AS standardized_by, CASE WHEN lm_id <> '' THEN 'RefMet' END AS lm_id_found_by FROM a""")
+def j1_standardise(spark, d):
+    return _annotated(spark, d).select("row_idx", "input_name", "standardized_name", "lm_id", "mass", "main_class", "sub_class", "standardized_by", "lm_id_found_by")
+
+
+@query(f"""WITH {t.NAMES} SELECT c_custkey, n.lm_id, n.standardized_name FROM customer JOIN part ON p_partkey = c_custkey LEFT JOIN n ON n.input_name = p_name""")
+def j2_annotate_table(spark, d):
+    rows = t.table(spark, d, "customer").join(t.table(spark, d, "part"), F.col("c_custkey") == F.col("p_partkey")).select("c_custkey", "p_name")
+    return annotate.annotate_table(rows, t.names(spark, d), "p_name").select("c_custkey", "refmet_result.lm_id", "refmet_result.standardized_name")
+
+
+def _filled(spark, d):
+    return annotate.fill_from_structures(_annotated(spark, d), ref.structure_keys(t.structures(spark, d)))
+
+
+FILLED = f"{ANNOTATED}, {t.STRUCTURES}, b AS (SELECT a.row_idx, a.input_name, coalesce(a.lm_id, k.lm_id) AS lm_id, CASE WHEN a.lm_id IS NOT NULL THEN 'RefMet' WHEN k.lm_id IS NOT NULL THEN 'LMSD' END AS lm_id_found_by, CASE WHEN a.lm_id IS NULL THEN k.matched_field END AS matched_field FROM a LEFT JOIN k ON k.key = coalesce(nullif(a.standardized_name, ''), a.input_name))"
+
+
+@query(f"""WITH {FILLED} SELECT row_idx, input_name, lm_id, lm_id_found_by, matched_field FROM b""")
+def j3_fill_structures(spark, d):
+    return _filled(spark, d).select("row_idx", "input_name", "lm_id", "lm_id_found_by", "matched_field")
+
+
+@query(f"""WITH {FILLED} SELECT row_idx, input_name, lm_id, matched_field FROM b WHERE lm_id_found_by = 'LMSD'""")
+def j4_fill_report(spark, d):
+    return annotate.fill_report(_filled(spark, d))
+
+
+@query(f"""WITH {FILLED}, {t.HEADGROUPS} SELECT b.row_idx, coalesce(b.lm_id, h.head_id) AS lm_id, CASE WHEN b.lm_id IS NOT NULL THEN b.lm_id_found_by WHEN h.head_id IS NOT NULL THEN 'headgroup' END AS lm_id_found_by FROM b LEFT JOIN h ON h.headgroup = regexp_extract(b.input_name, '^([A-Za-z0-9-]+)', 1)""")
+def j5_fill_headgroups(spark, d):
+    return annotate.fill_from_headgroups(_filled(spark, d), ref.headgroup_table(t.headgroups(spark, d))).select("row_idx", "lm_id", "lm_id_found_by")
+
+
+@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED} SELECT DISTINCT reaction_ord FROM p WHERE lm_id IN (SELECT lm_id FROM o)""")
+def j6_reactions_touching(spark, d):
+    return reactions.touching(t.reactions(spark, d), t.observed(spark, d)).select("reaction_ord")
+
+
+# --- reactions
+
+
+@query(f"""WITH {t.PARTICIPANTS} SELECT reaction_ord, role, CAST(pos AS INTEGER) AS pos, display AS name FROM p""")
+def r1_display_names(spark, d):
+    return reactions.participants(t.reactions(spark, d)).select("reaction_ord", "role", "pos", ref.display_name(F.col("compound")).alias("name"))
+
+
+@query(f"""WITH {t.PARTICIPANTS}, m AS (SELECT * FROM p WHERE main) SELECT reaction_ord, CAST(sum(CASE WHEN role = 'reactant' THEN 1 ELSE 0 END) AS INTEGER) AS reactants, CAST(sum(CASE WHEN role = 'product' THEN 1 ELSE 0 END) AS INTEGER) AS products,
+  coalesce(string_agg(CASE WHEN role = 'reactant' THEN display END, '; ' ORDER BY pos), '') || ' -> ' || coalesce(string_agg(CASE WHEN role = 'product' THEN display END, '; ' ORDER BY pos), '') AS reaction_name FROM m GROUP BY reaction_ord""")
+def r2_r3_main_reactions(spark, d):
+    return reactions.keep_main(t.reactions(spark, d)).select("reaction_ord", F.size("reactants").alias("reactants"), F.size("products").alias("products"), "reaction_name")
+
+
+@query(f"""WITH {t.PARTICIPANTS} SELECT l_orderkey AS reaction_ord, max(CASE WHEN l_returnflag IN ('R', 'A') AND l_linestatus = 'O' THEN 1 ELSE 0 END) = 1 AS has_main FROM lineitem GROUP BY l_orderkey""")
+def r4_has_main(spark, d):
+    return t.reactions(spark, d).select("reaction_ord", reactions.has_main_components().alias("has_main"))
+
+
+LINKED = f"{t.PARTICIPANTS}, {t.OBSERVED}, k AS (SELECT o.row_idx, o.lm_id, p.reaction_ord, p.role, p.pos FROM o JOIN p ON o.lm_id = p.lm_id)"
+
+
+@query(f"""WITH {LINKED} SELECT row_idx, lm_id, reaction_ord, CAST(reaction_ord AS VARCHAR) AS reaction_id, 'order ' || reaction_ord AS reaction_name, 'species-level' AS type, role, CAST(pos AS INTEGER) AS pos FROM k""")
+def r5_lipid_reactions(spark, d):
+    seen = t.observed(spark, d)
+    return reactions.lipid_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen)).drop("input_name")
+
+
+@query(f"""WITH {LINKED} SELECT o.row_idx, CAST(count(k.row_idx) AS INTEGER) AS links FROM o LEFT JOIN k ON k.row_idx = o.row_idx GROUP BY o.row_idx""")
+def r5_nested_reactions(spark, d):
+    seen = t.observed(spark, d)
+    nested = reactions.nested_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen))
+    return nested.select("row_idx", F.size("reactions").alias("links"))
+
+
+EDGES = f"{t.PARTICIPANTS}, e AS (SELECT a.display AS src, b.display AS dst, max(a.reaction_ord) AS reaction_id FROM p AS a JOIN p AS b ON a.reaction_ord = b.reaction_ord AND a.role = 'reactant' AND b.role = 'product' GROUP BY a.display, b.display)"
+
+
+@query(f"""WITH {EDGES} SELECT src, dst, reaction_id, 'order ' || reaction_id AS reaction_name FROM e""")
+def r6_edges(spark, d):
+    return reactions.edges(t.reactions(spark, d))
+
+
+@query(f"""WITH {EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges""")
+def r7_graph_size(spark, d):
+    return reactions.graph_size(reactions.edges(t.reactions(spark, d)))
+
+
+@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED} SELECT reaction_ord FROM p WHERE lm_id IS NOT NULL GROUP BY reaction_ord HAVING bool_and(lm_id IN (SELECT lm_id FROM o))""")
+def r8_complete_reactions(spark, d):
+    return reactions.complete_reactions(t.reactions(spark, d), t.observed(spark, d)).select("reaction_ord")
+
+
+@query(f"""WITH {LINKED} SELECT reaction_ord, role, CAST(pos AS INTEGER) AS pos, lm_id, row_idx FROM k""")
+def r9_component_lipids(spark, d):
+    return reactions.component_lipids(t.reactions(spark, d), t.observed(spark, d))
+
+
+@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED}, {t.QUANT}, i AS (SELECT o.lm_id, q.sample_id, sum(q.value) AS value FROM o JOIN q ON o.row_idx = q.row_idx GROUP BY o.lm_id, q.sample_id)
+SELECT x.reaction_ord, x.role, x.lm_id, i.sample_id, i.value FROM (SELECT DISTINCT reaction_ord, role, lm_id FROM p) AS x JOIN i ON x.lm_id = i.lm_id""")
+def r10_component_quantities(spark, d):
+    return reactions.component_quantities(t.reactions(spark, d), t.observed(spark, d), t.quant(spark, d))
+
+
+def _few(spark, d):
+    """Reactions linked by rare compounds only, so that chains stay short."""
+    rare = lambda c: F.filter(c, lambda x: F.crc32(F.coalesce(x["compound_lm_id"], F.lit(""))) % 50 == 0)
+    return t.reactions(spark, d).withColumn("reactants", rare("reactants")).withColumn("products", rare("products"))
+
+
+@query()
+def r11_next_reactions(spark, d):
+    return reactions.next_reactions(_few(spark, d))
+
+
+@query()
+def r11_chains(spark, d):
+    found = reactions.chains(_few(spark, d), 2)
+    return found.groupBy("hops").agg(F.count(F.lit(1)).alias("chains"))
+
+
+# --- validation
+
+
+def _validated(spark, d):
+    return validate.validate(_rows(spark, d), t.column_names(spark, d), min_samples=2, min_lipids=50, max_missing_percent=20.0)
+
+
+ISSUES = f"""{t.LINES}, n AS (SELECT DISTINCT dataset_id FROM f), cc AS (
+  SELECT dataset_id, col_idx, count(*) AS total, sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN text <> '' AND value IS NULL THEN 1 ELSE 0 END) AS odd, sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) AS negative, sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS zero, count(value) AS numeric FROM c GROUP BY dataset_id, col_idx
+), i AS (
+  SELECT dataset_id, 'V3' AS check_id, 'error' AS severity FROM n
+  UNION ALL SELECT dataset_id, 'V5', 'error' FROM f WHERE short OR longer
+  UNION ALL SELECT dataset_id, 'V7', 'warning' FROM f GROUP BY dataset_id HAVING count(*) < 50
+  UNION ALL SELECT dataset_id, 'V8', 'error' FROM f WHERE name = ''
+  UNION ALL SELECT dataset_id, 'V9', CASE WHEN missing * 100.0 / total > 20 THEN 'error' ELSE 'warning' END FROM cc WHERE missing * 100.0 / total > 10
+  UNION ALL SELECT dataset_id, 'V10', 'error' FROM cc WHERE odd > 0
+  UNION ALL SELECT dataset_id, 'V11', 'warning' FROM cc WHERE negative > 0
+  UNION ALL SELECT dataset_id, 'V12', 'warning' FROM cc WHERE zero > 0.5 * numeric
+  UNION ALL SELECT dataset_id, 'V13', 'warning' FROM (SELECT DISTINCT dataset_id FROM (SELECT dataset_id, name FROM f WHERE name <> '' GROUP BY dataset_id, name HAVING count(*) > 1))
+  UNION ALL SELECT DISTINCT dataset_id, 'V14', 'info' FROM f WHERE length(name) BETWEEN 1 AND 2
+  UNION ALL SELECT DISTINCT dataset_id, 'V15', 'info' FROM f WHERE name = '12' UNION ALL SELECT DISTINCT dataset_id, 'V15', 'info' FROM f WHERE name = 'NA' UNION ALL SELECT DISTINCT dataset_id, 'V15', 'info' FROM f WHERE name LIKE 'unknown%'
+  UNION ALL SELECT DISTINCT dataset_id, 'V16', 'warning' FROM f WHERE c1 = '' AND c2 = '' AND c3 = '' AND c4 = ''
+)"""
+
+
+@query(f"""WITH {ISSUES} SELECT dataset_id, check_id, severity, count(*) AS n FROM i GROUP BY dataset_id, check_id, severity""")
+def v1_v16_issues(spark, d):
+    return _validated(spark, d)[0].groupBy("dataset_id", "check_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {ISSUES} SELECT dataset_id, CAST(col_idx AS INTEGER) AS col_idx, total, CAST(missing AS BIGINT) AS missing, CAST(odd AS BIGINT) AS non_numeric, CAST(negative AS BIGINT) AS negative, CAST(zero AS BIGINT) AS zero, numeric FROM cc""")
+def v9_v12_column_counts(spark, d):
+    return validate.column_counts(validate.cell_table(_rows(spark, d)))
+
+
+@query(f"""WITH {ISSUES}, x AS (SELECT dataset_id, row_idx, text, row_number() OVER (PARTITION BY dataset_id ORDER BY row_idx) AS k FROM c WHERE col_idx = 1 AND text <> '' AND value IS NULL)
+SELECT dataset_id, string_agg(row_idx || ' ' || text, ', ' ORDER BY row_idx) AS examples FROM x WHERE k <= 3 GROUP BY dataset_id""")
+def v10_examples(spark, d):
+    issues = _validated(spark, d)[0].where("check_id = 'V10'").select("dataset_id", F.from_json("location", "column string, examples array<struct<row:long,text:string>>").alias("at")).where("at.column = 'balance'")
+    return issues.select("dataset_id", F.array_join(F.transform("at.examples", lambda x: F.concat_ws(" ", x["row"].cast("string"), x["text"])), ", ").alias("examples"))
+
+
+@query(f"""WITH {t.LINES} SELECT dataset_id, name, count(*) AS n, min(row_idx) AS first_row FROM f WHERE name <> '' GROUP BY dataset_id, name HAVING count(*) > 1""")
+def v13_duplicate_names(spark, d):
+    return validate.duplicate_names(validate.name_table(_rows(spark, d)))
+
+
+@query(f"""WITH {ISSUES}, z AS (SELECT dataset_id, sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS c, sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS e, sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS w, sum(CASE WHEN severity = 'info' THEN 1 ELSE 0 END) AS i FROM i GROUP BY dataset_id)
+SELECT z.dataset_id, (SELECT count(*) FROM f WHERE f.dataset_id = z.dataset_id) AS total_rows, CAST(5 AS BIGINT) AS total_columns, CAST(4 AS BIGINT) AS sample_columns, round_even((SELECT 100.0 * sum(total - missing) / sum(total) FROM cc WHERE cc.dataset_id = z.dataset_id), 2) AS completeness_percent,
+  e = 0 AND c = 0 AS validation_passed, w > 0 AS has_warnings, CAST(c AS BIGINT) AS critical_count, CAST(e AS BIGINT) AS error_count, CAST(w AS BIGINT) AS warning_count, CAST(i AS BIGINT) AS info_count FROM z""")
+def v17_summary(spark, d):
+    return _validated(spark, d)[1]
+
+
+@query(f"""WITH {ISSUES} SELECT severity, count(*) AS n FROM i GROUP BY severity""")
+def v18_severities(spark, d):
+    return _validated(spark, d)[0].groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {t.LINES} SELECT dataset_id, CAST(NULL AS BIGINT) AS row_idx, 'missing column mass' AS problem FROM (SELECT DISTINCT dataset_id FROM f)
+UNION ALL SELECT dataset_id, row_idx, 'more fields than the header' FROM f WHERE longer
+UNION ALL SELECT dataset_id, row_idx, 'not a number in balance' FROM c WHERE col_idx = 1 AND value IS NULL""")
+def v19_required_columns(spark, d):
+    return validate.required_columns(_rows(spark, d), t.column_names(spark, d), ["name", "mass"], ["balance"])
+
+
+# --- sinks and reshapes
+
+
+@query(f"""WITH {t.QUANT} SELECT row_idx, input_name, max(CASE WHEN sample_id = 'NATION_0' THEN value END) AS "NATION_0", max(CASE WHEN sample_id = 'NATION_1' THEN value END) AS "NATION_1", max(CASE WHEN sample_id = 'NATION_2' THEN value END) AS "NATION_2" FROM q GROUP BY row_idx, input_name""")
+def k1_wide_matrix(spark, d):
+    return export.wide_matrix(t.quant(spark, d), ["NATION_0", "NATION_1", "NATION_2"]).drop("dataset_id")
+
+
+@query(f"""WITH {ANNOTATED}, {t.QUANT}, v AS (SELECT row_idx, count(*) AS n, sum(value) AS total FROM q GROUP BY row_idx) SELECT a.row_idx, a.lm_id, CAST(coalesce(v.n, 0) AS INTEGER) AS n_values, coalesce(v.total, 0.0) AS total FROM a LEFT JOIN v ON v.row_idx = a.row_idx""")
+def k2_nested_dataset(spark, d):
+    nested = export.nested_dataset(_annotated(spark, d), t.quant(spark, d))
+    return nested.select("row_idx", "lm_id", F.size("values").alias("n_values"), F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH {ANNOTATED} SELECT input_name AS sample, lm_id, standardized_name, mass AS exact_mass, row_idx FROM a""")
+def k3_annotation_rows(spark, d):
+    return export.annotation_rows(_annotated(spark, d)).drop("refmet_id", "formula")
+
+
+@query(f"""WITH {ISSUES} SELECT dataset_id, count(*) AS issue_count, sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) = 0 AS passed FROM i GROUP BY dataset_id""")
+def k4_report(spark, d):
+    issues, summary = _validated(spark, d)
+    return export.report(issues, summary).select("dataset_id", "issue_count", "passed")
+
+
+@query("""SELECT l_orderkey AS reaction_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS reactants, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS INTEGER) AS products FROM lineitem GROUP BY l_orderkey""")
+def k5_reaction_rows(spark, d):
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    rows = export.reaction_rows(t.reactions(spark, d).withColumn("reactants", some("reactants")).withColumn("products", some("products")))
+    return rows.select("reaction_id", F.size("reactants").alias("reactants"), F.size("products").alias("products"))
+
+
+@query(f"""WITH {LINKED}, w AS (SELECT * FROM o ORDER BY row_idx LIMIT 10) SELECT w.row_idx, w.lm_id, k.reaction_ord, k.role FROM w LEFT JOIN k ON k.row_idx = w.row_idx""")
+def k6_annotated_listing(spark, d):
+    seen = t.observed(spark, d).withColumn("standardized_name", F.col("input_name"))
+    return export.annotated_listing(seen, reactions.reaction_links(t.reactions(spark, d), seen)).select("row_idx", "lm_id", "reaction_ord", "role")
