@@ -145,7 +145,7 @@ def read_batch(spark: SparkSession, path: str | list[str], sep: str | None = Non
     """Many files with their own headers, delimiters and encodings, one file a record.
 
     A file that cannot be parsed gives a row in ``errors``; the others go on. UTF-8 falls back to
-    Latin-1, and the encoding used is reported. Files of any size but single huge ones belong here;
+    Latin-1, and the encoding used is reported. Spark passes over files of no bytes. Files of any size but single huge ones belong here;
     those go through ``read_table``, which splits them.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
