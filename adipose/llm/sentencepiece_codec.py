@@ -86,7 +86,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     span = 1
     while True:
         after = np.zeros(n, np.int64)
-        after[: n - span] = rank[span:]
+        after[: max(0, n - span)] = rank[span:]
         key = rank * (int(rank.max(initial=0)) + 1) + after
         order = np.argsort(key, kind="stable")
         span *= 2

@@ -83,12 +83,13 @@ def counter(path: str):
 
 def _count(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count, done = counter(path), set()  # rows that repeat with their id are in one task
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n = count(part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0).cast(pa.string()), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
+                new = dict(x for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if x[0] not in done)
+                done.update(new)
+                yield pa.record_batch([pa.array(list(new), pa.string()), pa.array([version] * len(new), pa.string()), pa.array(count(list(new.values())), pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     return run
 

@@ -8,7 +8,7 @@ selection; the lists are merged per task (window group limit) and then per query
 Defined results: vectors that are null or hold null or non-finite components, and rows without
 id, take no part; vectors are compared with those of their own length only; rows that repeat a
 candidate's id are candidates each; a query id that repeats is asked once (the vector that is
-smallest in array order); equal scores go to the smaller id; with fewer candidates than k all
+smallest in array order); equal scores go to the smaller id; scores beyond 64 bits are held at their ends; with fewer candidates than k all
 are returned; an empty table gives no rows.
 """
 
@@ -61,7 +61,9 @@ def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if bound < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    ends = np.iinfo(np.int64)
+    return np.clip(whole(a) @ whole(b).T, ends.min + 1, ends.max).astype(np.int64)
 
 
 def _search(k: int):
