@@ -188,9 +188,10 @@ def _shared_bits(sets: list[np.ndarray]) -> np.ndarray:
     values, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
     often = count[index] > 1
-    bits = np.zeros((len(sets), int((count > 1).sum() + 7) // 8 * 8 + 8), bool)
-    bits[owner[often], column[index[often]]] = True
-    return np.packbits(bits, axis=1)
+    at = column[index[often]]
+    bits = np.zeros((len(sets), int((count > 1).sum()) // 8 + 1), np.uint8)
+    np.bitwise_or.at(bits, (owner[often], at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+    return bits
 
 
 def _cell(percent: int):
