@@ -1,0 +1 @@
+"""Spark jobs for quantitative lipidomics tables and for training-text corpora."""

@@ -1,0 +1 @@
+"""Registered queries over the star-schema tables and the three workloads."""

@@ -1,0 +1 @@
+"""The data work: DataFrames in, DataFrames out."""

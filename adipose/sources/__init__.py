@@ -1,0 +1 @@
+"""Readers of delimited tables and of reference tables."""

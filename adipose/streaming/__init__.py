@@ -1,0 +1,4 @@
+"""The work this library re-expresses has no streams, so nothing is here but the place for them.
+
+Files that arrive in a folder are read in batches by ``adipose.sources.delimited.read_batch``.
+"""
