@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,7 +18,7 @@ def connection(sf_dir):
 
 
 def _cell(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     if isinstance(x, float):
         return round(x, 6) + 0.0
