@@ -22,9 +22,12 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         low_bits = min(56, max(0, (top // max(1, n)).bit_length() - 1))
-        parts = (values & _U((1 << low_bits) - 1)).astype(_U)
-        spread = (parts[:, None] >> np.arange(low_bits, dtype=_U)) & _U(1)
-        low = np.packbits(spread.astype(np.uint8).ravel(), bitorder="little") if low_bits and n else np.empty(0, np.uint8)
+        places = np.arange(low_bits, dtype=_U)
+        packed = [np.empty(0, np.uint8)]
+        for at in range(0, n if low_bits else 0, 1 << 14):  # a multiple of 8, so that parts end with whole bytes
+            spread = (values[at : at + (1 << 14), None] >> places) & _U(1)
+            packed.append(np.packbits(spread.astype(np.uint8).ravel(), bitorder="little"))
+        low = np.concatenate(packed)
         buckets = (values >> _U(low_bits)).astype(np.int64)
         bits = np.zeros(n + (int(buckets[-1]) if n else 0) + 1, np.uint8)
         bits[buckets + np.arange(n)] = 1

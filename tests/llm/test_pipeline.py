@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from adipose.llm import decontaminate, line_dedup, quality, queries, sentencepiece_codec
 from compare import SMALL, same
-from test_small import _components, _distance, _sets
+from test_small import _components, _sets
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -33,13 +33,11 @@ def test_pipeline_against_plain_stages(spark):
     component = _components(_sets(texts.items()), 85)
     texts = {k: t for k, t in texts.items() if component[k] == k}
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    small = [p for p in items if p]
 
     def dirty(t):
-        t = decontaminate.normal(t)
-        # a shared eleventh of the item is needed for any match within its budget
-        near = [p for p in small if any(p[i : i + decontaminate.LEAST_PIECE] in t for i in range(0, len(p) - decontaminate.LEAST_PIECE + 1))]
-        return any(p in t or _distance(p, t) <= decontaminate.budget(len(p)) for p in near if len(t) < 3000 or p in t or p[:40] in t or p[-40:] in t)
+        # every item against the whole text, without pieces
+        clean = decontaminate.normal(t)
+        return any(decontaminate.search(decontaminate.masks(p), len(p), clean)[0] <= decontaminate.budget(len(p)) for p in items if p)
 
     texts = {k: t for k, t in texts.items() if not dirty(t)}
     encode = sentencepiece_codec.encoder(sentencepiece_codec.model_path())
