@@ -77,10 +77,10 @@ NAMES = """r AS (
 
 
 def structures(spark: SparkSession, d: str) -> DataFrame:
-    """Structures under several names."""
+    """Structures under several names, half of them without id."""
     key = F.col("p_partkey")
-    return table(spark, d, "part").where(key % 2 == 0).select(
-        F.when(key % 4 == 0, F.col("p_name")).alias("name"), F.concat(F.lit("LMS"), key.cast("string")).alias("lm_id"), F.initcap("p_name").alias("sys_name"), F.col("p_brand").alias("abbrev"), F.col("p_type").alias("abbrev_chains"),
+    return table(spark, d, "part").select(
+        F.when(key % 4 == 0, F.col("p_name")).alias("name"), F.when(key % 2 == 0, F.concat(F.lit("LMS"), key.cast("string"))).alias("lm_id"), F.initcap("p_name").alias("sys_name"), F.col("p_brand").alias("abbrev"), F.col("p_type").alias("abbrev_chains"),
     )
 
 
@@ -136,12 +136,12 @@ PARTICIPANTS = """p AS (
 
 
 def observed(spark: SparkSession, d: str) -> DataFrame:
-    """Lipid rows with the ids that reactions know; every third part."""
-    part = table(spark, d, "part").where(F.col("p_partkey") % 3 != 0)
-    return part.select(F.lit(DATASET).alias("dataset_id"), F.col("p_partkey").alias("row_idx"), F.col("p_name").alias("input_name"), F.concat(F.lit("LM"), (F.col("p_partkey") % 500).cast("string")).alias("lm_id"))
+    """Every part as a lipid row with an id that reactions know, or none."""
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    return part.select(F.lit(DATASET).alias("dataset_id"), key.alias("row_idx"), F.col("p_name").alias("input_name"), F.when(key % 3 != 0, F.concat(F.lit("LM"), (key % 500).cast("string"))).alias("lm_id"))
 
 
-OBSERVED = "o AS (SELECT p_partkey AS row_idx, p_name AS input_name, 'LM' || (p_partkey % 500) AS lm_id FROM part WHERE p_partkey % 3 <> 0)"
+OBSERVED = "o AS (SELECT p_partkey AS row_idx, p_name AS input_name, CASE WHEN p_partkey % 3 <> 0 THEN 'LM' || (p_partkey % 500) END AS lm_id FROM part)"
 
 COLUMNS = ["name", "balance", "segment", "nation", "nation"]
 

@@ -148,11 +148,11 @@ def p4_group_by_name(spark, d):
     return samples.sample_table(ids)
 
 
-@query("""WITH m AS (SELECT n_name AS sample_id, max_by(r_name, r_regionkey) AS g FROM nation JOIN region ON r_regionkey >= n_regionkey AND n_nationkey % 3 <> 0 GROUP BY n_name)
+@query("""WITH m AS (SELECT n_name AS sample_id, max_by(r_name, r_regionkey) AS g FROM nation JOIN region ON r_regionkey >= n_regionkey AND r_name LIKE 'A%' GROUP BY n_name)
 SELECT n_name AS sample_id, coalesce(m.g, 'NATION') AS "group" FROM nation LEFT JOIN m ON m.sample_id = n_name""")
 def p4_group_by_mapping(spark, d):
     region, nation = t.table(spark, d, "region"), t.table(spark, d, "nation")
-    mapping = nation.where("n_nationkey % 3 <> 0").join(region, F.col("r_regionkey") >= F.col("n_regionkey")).select(F.col("n_name").alias("sample_id"), F.col("r_name").alias("group"), F.col("r_regionkey").alias("ord"))
+    mapping = nation.join(region.where("r_name like 'A%'"), F.col("r_regionkey") >= F.col("n_regionkey")).select(F.col("n_name").alias("sample_id"), F.col("r_name").alias("group"), F.col("r_regionkey").alias("ord"))
     return samples.sample_table(nation.select(F.col("n_name").alias("sample_id")), mapping)
 
 
@@ -194,11 +194,11 @@ def p8_by_name(spark, d):
     return quant.by_names(_annotated(spark, d), wanted).select("name", F.col("row.row_idx").alias("row_idx"))
 
 
-@query(f"""WITH {ANNOTATED}, {t.QUANT}, w AS (SELECT DISTINCT p_name AS name, n_name AS sample_id FROM part, nation WHERE n_nationkey < 3), b AS (SELECT w.name, w.sample_id, min(a.row_idx) AS row_idx FROM w LEFT JOIN a ON a.input_name = w.name OR a.standardized_name = w.name GROUP BY w.name, w.sample_id)
+@query(f"""WITH {ANNOTATED}, {t.QUANT}, w AS (SELECT DISTINCT p_name AS name, n_name AS sample_id FROM part, nation), b AS (SELECT w.name, w.sample_id, min(a.row_idx) AS row_idx FROM w LEFT JOIN a ON a.input_name = w.name OR a.standardized_name = w.name GROUP BY w.name, w.sample_id)
 SELECT b.name, b.sample_id, q.value FROM b LEFT JOIN q ON q.row_idx = b.row_idx AND q.sample_id = b.sample_id""")
 def p9_values(spark, d):
     names = t.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    few = t.table(spark, d, "nation").where("n_nationkey < 3").agg(F.collect_list("n_name").alias("ids"))
+    few = t.table(spark, d, "nation").agg(F.collect_list("n_name").alias("ids"))
     wanted = names.withColumn("key", F.lit(1)).join(F.broadcast(few.withColumn("key", F.lit(1))), "key").select("name", F.explode("ids").alias("sample_id"))
     return quant.values_for(_annotated(spark, d), t.quant(spark, d), wanted)
 
@@ -259,7 +259,7 @@ def j5_fill_headgroups(spark, d):
     return annotate.fill_from_headgroups(_filled(spark, d), ref.headgroup_table(t.headgroups(spark, d))).select("row_idx", "lm_id", "lm_id_found_by")
 
 
-@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED} SELECT DISTINCT reaction_ord FROM p WHERE lm_id IN (SELECT lm_id FROM o)""")
+@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED} SELECT DISTINCT reaction_ord FROM p WHERE lm_id IN (SELECT lm_id FROM o WHERE lm_id IS NOT NULL)""")
 def j6_reactions_touching(spark, d):
     return reactions.touching(t.reactions(spark, d), t.observed(spark, d)).select("reaction_ord")
 
@@ -292,11 +292,11 @@ def r5_lipid_reactions(spark, d):
     return reactions.lipid_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen)).drop("input_name")
 
 
-@query(f"""WITH {LINKED} SELECT o.row_idx, CAST(count(k.row_idx) AS INTEGER) AS links FROM o LEFT JOIN k ON k.row_idx = o.row_idx GROUP BY o.row_idx""")
+@query(f"""WITH {LINKED} SELECT o.row_idx, CASE WHEN o.lm_id IS NOT NULL THEN CAST(count(k.row_idx) AS INTEGER) END AS links FROM o LEFT JOIN k ON k.row_idx = o.row_idx GROUP BY o.row_idx, o.lm_id""")
 def r5_nested_reactions(spark, d):
     seen = t.observed(spark, d)
     nested = reactions.nested_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen))
-    return nested.select("row_idx", F.size("reactions").alias("links"))
+    return nested.select("row_idx", F.when(F.col("reactions").isNotNull(), F.size("reactions")).alias("links"))
 
 
 EDGES = f"{t.PARTICIPANTS}, e AS (SELECT a.display AS src, b.display AS dst, max(a.reaction_ord) AS reaction_id FROM p AS a JOIN p AS b ON a.reaction_ord = b.reaction_ord AND a.role = 'reactant' AND b.role = 'product' GROUP BY a.display, b.display)"
@@ -312,7 +312,7 @@ def r7_graph_size(spark, d):
     return reactions.graph_size(reactions.edges(t.reactions(spark, d)))
 
 
-@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED} SELECT reaction_ord FROM p WHERE lm_id IS NOT NULL GROUP BY reaction_ord HAVING bool_and(lm_id IN (SELECT lm_id FROM o))""")
+@query(f"""WITH {t.PARTICIPANTS}, {t.OBSERVED} SELECT reaction_ord FROM p WHERE lm_id IS NOT NULL GROUP BY reaction_ord HAVING bool_and(lm_id IN (SELECT lm_id FROM o WHERE lm_id IS NOT NULL))""")
 def r8_complete_reactions(spark, d):
     return reactions.complete_reactions(t.reactions(spark, d), t.observed(spark, d)).select("reaction_ord")
 
@@ -328,21 +328,19 @@ def r10_component_quantities(spark, d):
     return reactions.component_quantities(t.reactions(spark, d), t.observed(spark, d), t.quant(spark, d))
 
 
-def _few(spark, d):
-    """Reactions linked by rare compounds only, so that chains stay short."""
-    rare = lambda c: F.filter(c, lambda x: F.crc32(F.coalesce(x["compound_lm_id"], F.lit(""))) % 50 == 0)
-    return t.reactions(spark, d).withColumn("reactants", rare("reactants")).withColumn("products", rare("products"))
+NEXT = f"{t.PARTICIPANTS}, x AS (SELECT DISTINCT a.reaction_ord AS src, b.reaction_ord AS dst FROM p AS a JOIN p AS b ON a.lm_id = b.lm_id AND a.role = 'product' AND b.role = 'reactant' AND a.reaction_ord <> b.reaction_ord)"
 
 
-@query()
+@query(f"""WITH {NEXT} SELECT src, dst FROM x""")
 def r11_next_reactions(spark, d):
-    return reactions.next_reactions(_few(spark, d))
+    return reactions.next_reactions(t.reactions(spark, d))
 
 
-@query()
+@query(f"""WITH {NEXT}, y AS (SELECT a.src, a.dst AS mid, b.dst FROM x AS a JOIN x AS b ON a.dst = b.src AND b.dst <> a.src)
+SELECT 1 AS hops, count(*) AS chains, CAST(sum(src) AS BIGINT) AS starts FROM x UNION ALL SELECT 2, count(*), CAST(sum(src) AS BIGINT) FROM y""")
 def r11_chains(spark, d):
-    found = reactions.chains(_few(spark, d), 2)
-    return found.groupBy("hops").agg(F.count(F.lit(1)).alias("chains"))
+    found = reactions.chains(t.reactions(spark, d), 2)
+    return found.groupBy("hops").agg(F.count(F.lit(1)).alias("chains"), F.sum(F.col("path")[0]).alias("starts"))
 
 
 # --- validation
@@ -414,9 +412,13 @@ def v19_required_columns(spark, d):
 # --- sinks and reshapes
 
 
-@query(f"""WITH {t.QUANT} SELECT row_idx, input_name, max(CASE WHEN sample_id = 'NATION_0' THEN value END) AS "NATION_0", max(CASE WHEN sample_id = 'NATION_1' THEN value END) AS "NATION_1", max(CASE WHEN sample_id = 'NATION_2' THEN value END) AS "NATION_2" FROM q GROUP BY row_idx, input_name""")
+WIDE = ", ".join(f"max(CASE WHEN sample_id = 'NATION_{k}' THEN value END) AS \"NATION_{k}\"" for k in range(25))
+
+
+@query(f"""WITH {t.QUANT} SELECT row_idx, input_name, {WIDE} FROM q GROUP BY row_idx, input_name""")
 def k1_wide_matrix(spark, d):
-    return export.wide_matrix(t.quant(spark, d), ["NATION_0", "NATION_1", "NATION_2"]).drop("dataset_id")
+    ids = [r["sample_id"] for r in t.samples(spark, d).orderBy("ordinal").collect()]
+    return export.wide_matrix(t.quant(spark, d), ids).drop("dataset_id")
 
 
 @query(f"""WITH {ANNOTATED}, {t.QUANT}, v AS (SELECT row_idx, count(*) AS n, sum(value) AS total FROM q GROUP BY row_idx) SELECT a.row_idx, a.lm_id, CAST(coalesce(v.n, 0) AS INTEGER) AS n_values, coalesce(v.total, 0.0) AS total FROM a LEFT JOIN v ON v.row_idx = a.row_idx""")
