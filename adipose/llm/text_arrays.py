@@ -42,7 +42,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums; element i covers data[:i]."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(max(1, len(data)))[0][: len(data)], out=out[1:])
+    out[1:] = data
+    out[1:] += np.uint64(1)
+    out[1:] *= _powers(max(1, len(data)))[0][: len(data)]
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -90,7 +93,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` text bytes; a longer text has a batch of its own."""
     for batch in batches:
         if batch.num_rows:

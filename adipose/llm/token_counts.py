@@ -30,7 +30,7 @@ from .shared import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-MEMO = 1_000_000
+MEMO = 500_000
 _CACHE = "digest string, tokenizer string, n_tokens long"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
