@@ -46,7 +46,7 @@ from .elias_fano import EliasFano
 from .shared import stored
 
 DISCOUNT = 0.8
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_PAIRS = 1_000_000
 SHARD_WORDS = 500_000
 HOT_SHARE, SPLITS = 1000, 64
