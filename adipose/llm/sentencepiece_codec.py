@@ -35,8 +35,8 @@ from . import text_arrays as ta
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 250_000
-BATCH_CHARACTERS = 750_000
+MEMO = 150_000
+BATCH_CHARACTERS = 400_000
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -222,7 +222,7 @@ def encode(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     source = documents.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in ta.slices(batches, "__text", 4 << 20):
+        for part in ta.slices(batches, "__text"):
             raw = encoder(path)(part.column(len(keep)).to_pylist())
             yield pa.record_batch([*part.columns[:-1], pa.array([len(x) // 4 for x in raw], pa.int64()), _list_array(raw)], names=[*keep, "n_pieces", "ids"])
 
@@ -251,7 +251,7 @@ def round_trip(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in ta.slices(batches, "text", 4 << 20):
+        for part in ta.slices(batches, "text"):
             texts = part.column(1).to_pylist()
             raw = encoder(path)(texts)
             same = [decode_ids(np.frombuffer(r, "<i4").tolist(), pieces(path)) == (x or "").replace(MARK, " ") for r, x in zip(raw, texts)]

@@ -6,6 +6,7 @@ on that buffer directly, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +94,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused worker does not keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` text bytes; a longer text has a batch of its own."""
     for batch in batches:
@@ -105,6 +116,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
                 stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
                 yield batch.slice(at, stop - at)
                 at = stop
+            give_back()
 
 
 def strings(values: list[bytes] | np.ndarray) -> pa.Array:
