@@ -40,7 +40,7 @@ BLOCK = 4096
 SHARD_BYTES = 3 << 20
 _POSITION_BITS = 28
 _CHUNK = 1 << 27
-_ANCHORS = "row long, anchor long, stretch long, first long, windows int"
+_ANCHORS = "row long, anchor long, stretch long, first long, windows int, times int"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,18 +66,36 @@ def owned_windows(prefix: np.ndarray, start: int, end: int, length: int, gram: i
 
 
 def _list_anchors(length: int, gram: int):
+    """A row per anchor and stretch of a document with its ``times``; rows without anchor are spans."""
+    names = [x.split()[0] for x in _ANCHORS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ta.slices(batches, "text"):
             data, offsets = ta.utf8(part.column(1))
             prefix = ta.prefix_hash(data)
             rows = part.column(0).to_numpy()
-            found = []
+            found, spans = [], []
             for k in np.flatnonzero(np.diff(offsets) >= length).tolist():
                 anchor, first, windows = owned_windows(prefix, int(offsets[k]), int(offsets[k + 1]), length, gram)
                 stretch = ta.hash_spans(prefix, first, first + windows + length - 1) + ta.mix64((anchor - first).astype(np.uint64))
-                found.append((np.full(len(anchor), rows[k]), ta.hash_spans(prefix, anchor, anchor + gram).view(np.int64), stretch.view(np.int64), first - offsets[k], windows.astype(np.int32)))
+                name = ta.hash_spans(prefix, anchor, anchor + gram)
+                own, at, group, times = np.unique(ta.mix64(name) ^ stretch, return_index=True, return_inverse=True, return_counts=True)
+                lo = first - offsets[k]
+                found.append((np.full(len(own), rows[k]), name[at].view(np.int64), stretch[at].view(np.int64), lo[at], windows[at].astype(np.int32), times.astype(np.int32)))
+                # what repeats inside the document is covered already; it goes on once
+                inner = times[group] > 1
+                if inner.any():
+                    a, b = lo[inner], (lo + windows + length - 1)[inner]
+                    head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                    tail = np.append(head[1:], len(a)) - 1
+                    spans.append((np.full(len(head), rows[k]), a[head], b[tail]))
             if found:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], names=["row", "anchor", "stretch", "first", "windows"])
+                columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                yield pa.record_batch(columns, names=names)
+            if spans:
+                row, a, b = (np.concatenate(x) for x in zip(*spans))
+                none = pa.nulls(len(row), pa.int64())
+                yield pa.record_batch([pa.array(row), none, none, pa.array(a), pa.array((b - a).astype(np.int32)), pa.nulls(len(row), pa.int32())], names=names)
 
     return run
 
@@ -266,39 +284,31 @@ def _stretch_bodies(length: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, kept, sizes, removed, counts = [], [], [], [], []
-        for doc, text, spans in zip(*(batch.column(k) for k in range(3))):
-            raw = (text.as_py() or "").encode()
-            at, left, total, n = 0, [], 0, 0
-            end = -1
-            for lo, hi in sorted((s["lo"], s["hi"]) for s in spans.as_py()):
-                if lo > end:
-                    left.append(raw[max(at, end) if end > 0 else at : lo])
-                    n += 1
-                    start = lo
-                    total += hi - lo
-                    end = hi
-                elif hi > end:
-                    total += hi - end
-                    end = hi
-                at = max(at, end)
-            left.append(raw[max(end, 0) :])
-            ids.append(doc.as_py())
-            kept.append(b"".join(left))
-            sizes.append(len(raw))
-            removed.append(total)
-            counts.append(n)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    """(doc_id, text, spans) to what is left of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    for part in ta.slices(batches, "text"):
+        rows = []
+        for doc, text, spans in zip(*(part.column(k).to_pylist() for k in range(3))):
+            raw, runs = (text or "").encode(), []
+            for lo, hi in sorted((x["lo"], x["hi"]) for x in spans):
+                if runs and lo <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], hi)
+                else:
+                    runs.append([lo, hi])
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)]))
+            rows.append((doc, len(raw), len(raw) - len(kept), len(runs), kept))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, spans) for each of ``rows`` (row, text) with repeated windows; spans may overlap."""
-    anchors = stored(rows.select("row", "text").mapInArrow(_list_anchors(length, gram), _ANCHORS), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    listed = stored(rows.select("row", "text").mapInArrow(_list_anchors(length, gram), _ANCHORS), "anchors")
+    anchors = listed.where("anchor is not null")
+    inner = listed.where("anchor is null").select("row", F.col("first").alias("lo"), (F.col("first") + F.col("windows")).alias("hi"))
+    repeated = anchors.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = stored(anchors.join(repeated, "anchor"), "repeated-anchors")
     # one stretch in several places: covered whole
-    stretches = again.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "windows")).alias("one"), F.first("mixed").alias("mixed"))
+    stretches = again.groupBy("anchor", "stretch").agg(F.sum("times").alias("n"), F.min(F.struct("row", "first", "windows")).alias("one"), F.first("mixed").alias("mixed"))
     stretches = stored(stretches, "stretches")
     whole = again.join(stretches.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("row", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + length - 1).alias("hi"))
     # different stretches of one anchor: one of each goes to the anchor's shard
@@ -315,7 +325,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shard = F.when(F.col("blocks") > 1, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(int(shards))))
     cells = other.select(shard.alias("shard"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "first", "windows", "block", "body")
     marked = cells.groupBy("shard", "low", "high").applyInPandas(_shard(length), "row long, lo long, hi long")
-    return whole.unionByName(marked).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return whole.unionByName(inner).unionByName(marked).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def drop_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text: str = "text") -> DataFrame:
