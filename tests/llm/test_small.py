@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def test_quality_against_plain_formulas(spark):
     labels = data.select("doc_id", "quality", F.lit(0).alias("toxic"))
     got = {r.doc_id: r for r in quality.quality(data.drop("quality"), labels).collect()}
     rows = data.collect()
-    x = {r.doc_id: quality.statistics(spark._jvm and __import__("pyarrow").array([r.text]))[0] for r in rows}
+    x = {r.doc_id: quality.statistics(pa.array([r.text]))[0] for r in rows}
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
     groups = {c: np.array([x[r.doc_id] for r in rows if r.quality == c and not held[r.doc_id]]) for c in (0, 1)}
     total = sum(map(len, groups.values()))
