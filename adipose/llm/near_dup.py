@@ -13,8 +13,10 @@
    estimate, then on the full sets, and only links that join components are given out.
 5. Components of all confirmed links.
 
-With 25 bands of 5 registers a pair at the threshold of 0.85 misses every band with a chance of
-4 in 10 million, a closer one with less.
+The bands follow from the threshold: as many registers a band as leave a pair at the threshold a
+chance of at most ``MISS`` to share no band (32 bands of 4 at 0.80: 5 in 100 million; 25 bands of 5
+at 0.85: 4 in 10 million); a closer pair has less. Below 0.11, where single registers do not reach
+that, bands are single registers.
 
 Defined results: null, empty and blank texts have no set and are linked with nothing; an id that
 repeats stands for all its rows; rows without id are linked with nothing, have no component and
@@ -41,12 +43,22 @@ WORDS = 5
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-BANDS, BAND_ROWS = 25, 5
-PERCENT = 85
+PERCENT = 80
+MISS = 1e-6
 BLOCK = 512
 SIGMAS = 5.0
 # fixed value: the constant of the expected number of register collisions (Yu and Weber, HyperMinHash)
 COLLISIONS = 0.169919487159739093975315012348630288
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, registers a band) for a threshold."""
+    fits = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (BUCKETS // r) <= MISS]
+    rows = max(fits, default=1)
+    return BUCKETS // rows, rows
+
+
+BANDS, BAND_ROWS = banding(PERCENT)
 _SIGNATURE = "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>"
 _FACTORS = ta.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(ta.BASE)) | np.uint64(1)
 
@@ -97,17 +109,18 @@ def _borrow_order() -> np.ndarray:
     return np.argsort(keys, axis=1)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_keys(regs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The bucket keys of each signature, after empty registers have borrowed."""
+    bands, rows = banding(percent)
     filled = regs.copy()
     order = _borrow_order()
     for at in range(0, len(regs), 128):
-        rows = at + np.flatnonzero((regs[at : at + 128] == 0).any(axis=1))
-        if len(rows):
-            source = order[np.arange(BUCKETS), (regs[rows] > 0)[:, order].argmax(axis=2)]
-            filled[rows] = np.where(regs[rows] > 0, regs[rows], np.take_along_axis(regs[rows], source, axis=1))
-    grid = filled[:, : BANDS * BAND_ROWS].astype(np.uint64).reshape(len(regs), BANDS, BAND_ROWS)
-    keys = (grid * _FACTORS[:BAND_ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _FACTORS[BAND_ROWS]
+        some = at + np.flatnonzero((regs[at : at + 128] == 0).any(axis=1))
+        if len(some):
+            source = order[np.arange(BUCKETS), (regs[some] > 0)[:, order].argmax(axis=2)]
+            filled[some] = np.where(regs[some] > 0, regs[some], np.take_along_axis(regs[some], source, axis=1))
+    grid = filled[:, : bands * rows].astype(np.uint64).reshape(len(regs), bands, rows)
+    keys = (grid * _FACTORS[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _FACTORS[rows]
     return ta.mix64(keys).view(np.int64)
 
 
@@ -126,19 +139,22 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percen
     return jaccard >= share - SIGMAS * np.sqrt(share * (1 - share) / np.maximum(count, 1))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in ta.slices(batches, "text"):
-        sets = shingle_sets(part.column(1))
-        regs = registers(sets)
-        keys = band_keys(regs)
-        n = np.array([len(s) for s in sets])
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-        yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "registers", "bands"])
+def _sign(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ta.slices(batches, "text"):
+            sets = shingle_sets(part.column(1))
+            regs = registers(sets)
+            keys = band_keys(regs, percent)
+            n = np.array([len(s) for s in sets])
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "registers", "bands"])
+
+    return run
 
 
-def signatures(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sign, _SIGNATURE)
+def signatures(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sign(percent), _SIGNATURE)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -200,7 +216,7 @@ def _cell(percent: int):
         sets = shingle_sets(pa.array(pdf["text"], pa.large_string()))
         n = np.array([len(s) for s in sets])
         regs = registers(sets)
-        bands, bits = band_keys(regs), _shared_bits(sets)
+        bands, bits = band_keys(regs, percent), _shared_bits(sets)
         names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
         found = []
         for i in range(len(ids)):
@@ -243,7 +259,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str =
     Rows are linked where 100 * intersection >= ``percent`` * union of their shingle sets;
     ``component_id`` is the smallest id reachable and ``kept`` marks the row that has it.
     """
-    sigs = stored(signatures(documents, id_col, text), "signatures")
+    sigs = stored(signatures(documents, percent, id_col, text), "signatures")
     sets = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     one = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")

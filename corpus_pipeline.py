@@ -23,7 +23,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays; null ids all stay."""
+    """The document with the smallest id of each group linked at 0.80 stays; null ids all stay."""
     found = near_dup.near_duplicates(docs, percent=near_dup.PERCENT)
     gone = stored(found.where("not kept").select("doc_id").distinct(), "near-duplicates")
     return by_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)

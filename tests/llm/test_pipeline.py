@@ -54,3 +54,15 @@ def test_stages_pass_odd_tables(spark):
             frame = stage(spark, frame, SMALL)
             assert name == "sentencepiece" or set(docs.columns) <= set(frame.columns)
         frame.collect()
+
+
+def test_near_dedup_stage_links_from_080(spark):
+    rows = []
+    for n in [*range(49, 65)] * 3:  # one word of n replaced: Jaccard (n - 9) / (n + 1), from 0.80 up to 0.85
+        words = [f"w{len(rows)}x{k}" for k in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:20], "other", *words[21:]]))]
+    rows.append((len(rows), " ".join(f"far{k}" for k in range(48))))
+    rows.append((len(rows), " ".join("other" if k == 20 else f"far{k}" for k in range(48))))  # 39 / 49
+    kept = corpus_pipeline.near_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    component = _components(_sets(rows), 80)
+    assert sorted(r.doc_id for r in kept.collect()) == [k for k, _ in rows if component[k] == k] == [*range(0, 96, 2), 96, 97]

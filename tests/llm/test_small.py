@@ -252,6 +252,14 @@ def test_estimates_and_bands(spark):
     assert (keys[0] == keys[1]).all() and len(set(keys[0].tolist())) == near_dup.BANDS
 
 
+def test_bands_follow_the_threshold():
+    assert near_dup.PERCENT == 80 and near_dup.banding(80) == (32, 4) and near_dup.banding(85) == (25, 5)
+    for percent in range(11, 101):
+        bands, rows = near_dup.banding(percent)
+        assert bands * rows <= near_dup.BUCKETS and (1 - (percent / 100) ** rows) ** bands <= near_dup.MISS
+        assert near_dup.band_keys(np.ones((2, near_dup.BUCKETS), np.uint16), percent).shape == (2, bands)
+
+
 def test_near_duplicates_of_odd_tables(spark, odd, none):
     rows = near_dup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
