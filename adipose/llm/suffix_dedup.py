@@ -140,7 +140,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
     """For each position the common prefix with its predecessor in ``order``, ``most`` at most.
 
     Kasai's rule, a position's value is at least its left neighbour's less one, is followed in text
-    order by lanes of ``lanes`` positions side by side.
+    order by lanes of ``lanes`` positions side by side. Where the neighbour's value is ``most`` the two
+    may be tied in ``order``, and the rule holds only if the predecessor moves along with it.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -149,11 +150,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
     padded = np.concatenate([text.astype(np.int16), np.full(rows * lanes - n + most + 1, -1, np.int16)])
     out = np.zeros(rows * lanes, np.int32)
     have = np.zeros(rows, np.int64)
+    other = np.full(rows, -1, np.int64)
     begin = np.arange(rows) * lanes
     for step in range(lanes):
         at = begin + step
-        other = np.where(at < n, before[np.minimum(at, n - 1)], -1)
-        have = np.where(other >= 0, np.maximum(have - 1, 0), 0)
+        last, other = other, np.where(at < n, before[np.minimum(at, n - 1)], -1)
+        holds = (other >= 0) & ((have < most) | (other == last + 1))
+        have = np.where(holds, np.maximum(have - 1, 0), 0)
         grow = np.flatnonzero((other >= 0) & (have < most))
         while len(grow):
             a, b, l = at[grow], other[grow], have[grow]
@@ -242,6 +245,7 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray, block: np.ndarray
             hit = np.zeros(len(part), bool)
             hit[shared] = hit[before[shared]] = True
             marked[index[hit[at]]] = True
+            marked &= maybe
         elif len(arrays) == 2:
             for (part, _, _, sa), (other, at, index, _) in (arrays, arrays[::-1]):
                 try_ = maybe[index]

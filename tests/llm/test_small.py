@@ -348,6 +348,28 @@ def test_suffix_array_and_common_prefixes():
         assert lcp[b] == n
 
 
+def test_stretches_that_part_after_the_sorted_bytes():
+    # pairs share more bytes than the suffix array's order covers, then part
+    r = random.Random(21)
+    make = lambda n: "".join(r.choice("ab") for _ in range(n)).encode()
+    bodies = []
+    for k in range(120):
+        shared = make(512 + k % 80)
+        bodies += [shared + make(599 - len(shared)), shared + make(599 - len(shared))]
+    r.shuffle(bodies)
+    windows = np.full(len(bodies), 200)
+    seen = collections.Counter(b[i : i + 400] for b in bodies for i in range(200))
+    want = [(k, i) for k, b in enumerate(bodies) for i in range(200) if seen[b[i : i + 400]] > 1]
+    got = suffix_dedup.repeated_windows(bodies, windows, np.zeros(len(bodies), np.int64), 400)
+    assert list(zip(*(x.tolist() for x in got))) == want
+    text, _, _ = suffix_dedup._concatenated(bodies, windows, 400)
+    raw, order = text.tobytes(), suffix_dedup.suffix_array(text, 400)
+    lcp = suffix_dedup.common_prefixes(text, order, 400)
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+        x, y = raw[a : a + 400], raw[b : b + 400]
+        assert lcp[b] == next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+
 def test_repeats_of_odd_tables(odd, none):
     rows = suffix_dedup.drop_repeats(odd).collect()
     assert len(rows) == odd.count()
