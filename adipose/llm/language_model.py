@@ -14,8 +14,9 @@ are its words and one end; the end also stands as the context of the first word.
 3. Bigrams: a block's distinct pairs go to shards by context, with their training counts. A shard
    adds them up and builds a trie: level one the contexts, level two each context's followers as
    numbers relative to the context, with monotone pointers between them, all Elias-Fano, and the
-   discounted counts quantised to a byte. The levels are memory-mapped from a temporary file while
-   the shard's pieces are looked up by successor search and answered in one byte a pair.
+   discounted counts quantised to a byte, or to two in a shard whose largest count needs more; no
+   count saturates. The levels are memory-mapped from a temporary file while
+   the shard's pieces are looked up by successor search and answered in one code a pair.
    Contexts with a thousandth of all tokens (so a thousand at most) are dealt over ``SPLITS``
    shards by follower; their T is the sum of the parts.
 4. A block's tokens meet its answers and every document is scored.
@@ -63,8 +64,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _pack(x: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes."""
-    x = np.ascontiguousarray(x, np.uint32)
-    planes = x.view(np.uint8).reshape(-1, 4)
+    x = np.ascontiguousarray(x, np.uint64 if int(x.max(initial=0)) >> 32 else np.uint32)
+    planes = x.view(np.uint8).reshape(-1, x.itemsize)
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
     raw = bytes([width]) + planes[:, :width].T.tobytes()
     return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
@@ -74,9 +75,10 @@ def _unpack(data: bytes) -> np.ndarray:
     size = int(np.frombuffer(data, np.int64, 1)[0])
     raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
     planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
-    out = np.zeros((planes.shape[1], 4), np.uint8)
+    kind = np.dtype(np.uint64 if raw[0] > 4 else np.uint32)
+    out = np.zeros((planes.shape[1], kind.itemsize), np.uint8)
     out[:, : raw[0]] = planes.T
-    return out.view(np.uint32).ravel()
+    return out.view(kind).ravel()
 
 
 def _follower(words: np.ndarray) -> np.ndarray:
@@ -154,7 +156,7 @@ def _add_words(hot_least: int):
         words, index = np.unique(np.concatenate(pieces), return_inverse=True)
         counts = np.bincount(index, np.concatenate([_unpack(x) for x in pdf["counts"]]), minlength=len(words)).astype(np.int64)
         ends = np.cumsum([0] + [len(x) for x in pieces])
-        rows = [(b, 0, key[0], _pack(np.minimum(counts[index[a:z]], 2**32 - 1)), None, None, None) for b, a, z in zip(pdf["block"], ends, ends[1:])]
+        rows = [(b, 0, key[0], _pack(counts[index[a:z]]), None, None, None) for b, a, z in zip(pdf["block"], ends, ends[1:])]
         rows.append((None, 1, key[0], None, None, None, int((counts > 0).sum())))
         rows += [(None, 2, key[0], None, None, w, c) for w, c in zip(words.view(np.int64)[counts >= hot_least].tolist(), counts[counts >= hot_least].tolist())]
         return _answers(rows)
@@ -199,13 +201,14 @@ def _send_pairs(shards: int, hot_words: np.ndarray):
 
 
 class Trie:
-    """Two levels in one buffer: contexts, pointers, followers relative to their context, byte codes."""
+    """Two levels in one buffer: contexts, pointers, followers relative to their context, codes."""
 
     def __init__(self, buffer):
         self.contexts, at = EliasFano.from_buffer(buffer)
         self.pointers, at = EliasFano.from_buffer(buffer, at)
         self.followers, at = EliasFano.from_buffer(buffer, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.followers.n, at)
+        width = int(np.frombuffer(buffer, np.uint8, 1, at)[0])
+        self.codes = np.frombuffer(buffer, f"<u{width}", self.followers.n, at + 1)
 
     @staticmethod
     def levels(context: np.ndarray, follower: np.ndarray, count: np.ndarray, discount: float) -> bytes:
@@ -215,11 +218,12 @@ class Trie:
         code = 1 + np.round((np.log10(count - discount) - np.log10(1 - discount)) * STEPS)
         relative = (rank.astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | follower
         parts = [EliasFano.of(context[head]), EliasFano.of(np.append(head, len(context))), EliasFano.of(relative)]
-        return b"".join(x.to_bytes() for x in parts) + np.minimum(code, 255).astype(np.uint8).tobytes()
+        width = 1 if code.max(initial=0) <= 255 else 2
+        return b"".join(x.to_bytes() for x in parts) + bytes([width]) + code.astype(f"<u{width}").tobytes()
 
     def find(self, context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(byte code of each pair, 0 where absent; followers of its context)."""
-        code, followers = np.zeros(len(context), np.uint8), np.zeros(len(context), np.int64)
+        """(code of each pair, 0 where absent; followers of its context)."""
+        code, followers = np.zeros(len(context), np.uint16), np.zeros(len(context), np.int64)
         n = self.contexts.n
         if not n:
             return code, followers
@@ -232,7 +236,7 @@ class Trie:
         at = self.followers.successor(wanted)
         here = at < self.followers.n
         here[here] = self.followers.get(at[here]) == wanted[here]
-        found = np.zeros(len(rank), np.uint8)
+        found = np.zeros(len(rank), np.uint16)
         found[here] = self.codes[at[here]]
         code[seen] = found
         return code, followers
@@ -294,7 +298,7 @@ def _score(n: int, v: int, word_shards: int, pair_shards: int, hot: dict[int, tu
             is_hot[k], followers[k] = True, hot.get((int(short[k]), int(counts[k])), (0, 0))[1]
         end = int(local[lengths[0] - 1])
         context, word, index = _pairs(local, end)
-        code = np.zeros(len(context), np.uint8)
+        code = np.zeros(len(context), np.uint16)
         of_shard = dict(_pieces(_pair_shard(short[context], short[word], is_hot[context], pair_shards), pair_shards))
         for r in right[right["kind"] == 3].itertuples():
             at = of_shard[r.shard]

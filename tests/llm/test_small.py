@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -439,6 +440,21 @@ def test_scores_against_plain_counts(spark, monkeypatch):
         assert x.base_score == pytest.approx(sum(base)) and x.score == pytest.approx(total, rel=1e-6)
 
 
+def test_large_counts_do_not_saturate():
+    count = np.array([1, 10**7, 17 * 10**7, 6 * 10**9, 2**40])
+    context, follower, d = np.arange(5).astype(np.uint64), np.arange(5).astype(np.uint64), language_model.DISCOUNT
+    for some in (slice(0, 2), slice(0, 5)):
+        trie = language_model.Trie(language_model.Trie.levels(context[some], follower[some], count[some], d))
+        code, followers = trie.find(context[some], follower[some])
+        found = (1 - d) * 10.0 ** ((code.astype(float) - 1) / language_model.STEPS)
+        assert (np.abs(np.log10(found / (count[some] - d))) <= 0.5 / language_model.STEPS + 1e-9).all() and (followers == 1).all()
+    assert (language_model._unpack(language_model._pack(count)) == count).all()
+    words = np.array([7, 9], np.uint64).tobytes()
+    pieces = pd.DataFrame({"block": [1, 2], "words": [words, words], "counts": [language_model._pack(np.array([3 * 10**9, 1]))] * 2})
+    answers = language_model._add_words(10**12)((0,), pieces)
+    assert all(language_model._unpack(x).tolist() == [6 * 10**9, 2] for x in answers["codes"][:2])
+
+
 def test_elias_fano():
     from adipose.llm.elias_fano import EliasFano
 
