@@ -17,7 +17,7 @@ are its words and one end; the end also stands as the context of the first word.
    discounted counts quantised to a byte, or to two in a shard whose largest count needs more; no
    count saturates. The levels are memory-mapped from a temporary file while
    the shard's pieces are looked up by successor search and answered in one code a pair.
-   Contexts with a thousandth of all tokens (so a thousand at most) are dealt over ``SPLITS``
+   Contexts with more than a thousandth of all tokens (so fewer than a thousand) are dealt over ``SPLITS``
    shards by follower; their T is the sum of the parts.
 4. A block's tokens meet its answers and every document is scored.
 
@@ -294,7 +294,7 @@ def _score(n: int, v: int, word_shards: int, pair_shards: int, hot: dict[int, tu
         for r in right[right["kind"] == 0].itertuples():
             counts[of_shard[r.shard]] = _unpack(r.codes)
         is_hot = np.zeros(len(short), bool)
-        for k in np.flatnonzero(counts >= max(1, n // HOT_SHARE)).tolist():
+        for k in np.flatnonzero(counts >= n // HOT_SHARE + 1).tolist():
             is_hot[k], followers[k] = True, hot.get((int(short[k]), int(counts[k])), (0, 0))[1]
         end = int(local[lengths[0] - 1])
         context, word, index = _pairs(local, end)
@@ -332,9 +332,9 @@ def score(documents: DataFrame, discount: float = DISCOUNT, id_col: str = "doc_i
     n, tokens, entries = int(sums[0]), int(sums[1]), int(sums[2])
     word_shards, pair_shards = max(1, -(-entries // SHARD_WORDS)), max(1, -(-tokens // SHARD_PAIRS))
     words = blocks.select("block", "words", "counts").mapInArrow(_send_words(word_shards), "shard long, block long, words binary, counts binary")
-    unigrams = stored(words.groupBy("shard").applyInPandas(_add_words(max(1, n // HOT_SHARE)), _ANSWER), "unigram-answers")
+    unigrams = stored(words.groupBy("shard").applyInPandas(_add_words(n // HOT_SHARE + 1), _ANSWER), "unigram-answers")
     v = int(unigrams.where("kind = 1").agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0])
-    hot_rows = unigrams.where("kind = 2").orderBy(F.desc("value")).limit(HOT_SHARE + 1).collect()
+    hot_rows = unigrams.where("kind = 2").collect()
     hot_words = np.array(sorted(r["key"] for r in hot_rows), np.int64).view(np.uint64)
     pairs = blocks.select("block", "words", "tokens", "held", "lengths").mapInArrow(_send_pairs(pair_shards, hot_words), "shard long, block long, contexts binary, runs binary, followers binary, counts binary")
     bigrams = stored(pairs.groupBy("shard").applyInPandas(_add_pairs(hot_words, discount), _ANSWER), "bigram-answers")

@@ -455,6 +455,16 @@ def test_large_counts_do_not_saturate():
     assert all(language_model._unpack(x).tolist() == [6 * 10**9, 2] for x in answers["codes"][:2])
 
 
+def test_scores_do_not_depend_on_hot_words(spark, monkeypatch):
+    words = [f"w{k}" for k in range(1400)]
+    rows = [(1, " ".join(words), False), (2, " ".join(random.Random(2).sample(words, 600)), True)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    score = lambda: {r.doc_id: r.score for r in language_model.score(frame, held=F.col("held")).collect()}
+    got = score()
+    monkeypatch.setattr(language_model, "HOT_SHARE", 1)
+    assert got == pytest.approx(score()) and all(map(math.isfinite, got.values()))
+
+
 def test_elias_fano():
     from adipose.llm.elias_fano import EliasFano
 
