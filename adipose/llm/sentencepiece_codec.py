@@ -216,18 +216,28 @@ def _list_array(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
-def encode(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
-    """The columns ``keep`` with n_pieces and ids of each row's whole text."""
+def _gives_back(texts: list[str | None], raw: list[bytes], path: str) -> pa.Array:
+    """Whether each row of ids decodes to its text."""
+    return pa.array([decode_ids(np.frombuffer(r, "<i4").tolist(), pieces(path)) == (x or "").replace(MARK, " ") for r, x in zip(raw, texts)], pa.bool_())
+
+
+def encode(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None, check: bool = False) -> DataFrame:
+    """The columns ``keep`` with n_pieces and ids of each row's whole text.
+
+    With ``check`` the ids are decoded too and round_trip tells whether they give the text back.
+    """
     path = model or model_path()
     source = documents.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ta.slices(batches, "__text"):
-            raw = encoder(path)(part.column(len(keep)).to_pylist())
-            yield pa.record_batch([*part.columns[:-1], pa.array([len(x) // 4 for x in raw], pa.int64()), _list_array(raw)], names=[*keep, "n_pieces", "ids"])
+            texts = part.column(len(keep)).to_pylist()
+            raw = encoder(path)(texts)
+            flags = [_gives_back(texts, raw, path)] if check else []
+            yield pa.record_batch([*part.columns[:-1], pa.array([len(x) // 4 for x in raw], pa.int64()), _list_array(raw), *flags], names=[*keep, "n_pieces", "ids", "round_trip"][: len(keep) + 2 + check])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, n_pieces long, ids array<int>")
+    return source.mapInArrow(run, f"{schema}, n_pieces long, ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
@@ -254,8 +264,7 @@ def round_trip(documents: DataFrame, id_col: str = "doc_id", text: str = "text",
         for part in ta.slices(batches, "text"):
             texts = part.column(1).to_pylist()
             raw = encoder(path)(texts)
-            same = [decode_ids(np.frombuffer(r, "<i4").tolist(), pieces(path)) == (x or "").replace(MARK, " ") for r, x in zip(raw, texts)]
-            yield pa.record_batch([part.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
+            yield pa.record_batch([part.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), _gives_back(texts, raw, path)], names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
 
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")

@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
 
 Every stage works on all rows its predecessor kept and passes the columns of ``documents``; the
-last one gives each document's piece ids. An empty table passes through all of them.
+last one gives each document's piece ids and whether they decode to its text. An empty table passes through all of them.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids) of each document."""
-    return sentencepiece_codec.encode(docs, keep=("doc_id",))
+    """(doc_id, n_pieces, ids, round_trip) of each document; round_trip: the ids decode to its text."""
+    return sentencepiece_codec.encode(docs, keep=("doc_id",), check=True)
 
 
 STAGES = [

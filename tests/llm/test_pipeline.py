@@ -56,6 +56,16 @@ def test_stages_pass_odd_tables(spark):
         frame.collect()
 
 
+def test_sentencepiece_stage_decodes(spark):
+    rows = [(1, "one  two\n日本 é"), (2, ""), (3, None), (4, "a \x00 b <s> ▁"), (None, "no id")]
+    got = corpus_pipeline.sentencepiece_encoding(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert got.columns == ["doc_id", "n_pieces", "ids", "round_trip"]
+    assert {r.doc_id: r.round_trip for r in got.collect()} == dict.fromkeys([1, 2, 3, 4, None], True)
+    path = sentencepiece_codec.model_path()
+    right, wrong = (sentencepiece_codec.encoder(path)([x])[0] for x in ("same", "other"))
+    assert sentencepiece_codec._gives_back(["same", "same"], [right, wrong], path).to_pylist() == [True, False]
+
+
 def test_near_dedup_stage_links_from_080(spark):
     rows = []
     for n in [*range(49, 65)] * 3:  # one word of n replaced: Jaccard (n - 9) / (n + 1), from 0.80 up to 0.85
