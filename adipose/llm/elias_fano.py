@@ -1,4 +1,4 @@
-"""Monotone integer sequences in Elias-Fano form, searched without being unpacked."""
+"""Monotone integer sequences in Elias-Fano form; low bits stay packed, the high bitmap is unpacked to bucket ends."""
 
 from __future__ import annotations
 
