@@ -41,8 +41,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_windows")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

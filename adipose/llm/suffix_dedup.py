@@ -5,21 +5,28 @@ Every window of ``LENGTH`` bytes owns one anchor: the ``GRAM``-byte gram in it w
 windows of equal anchors finds every repeat, and sharding by anchor brings equal windows together.
 
 1. One pass over the texts lists the anchors, each with a digest of the stretch its windows cover.
-2. Anchors that occur once have no repeat. An occurrence whose anchor and stretch both repeat is
-   covered whole, without any text being moved.
-3. Of anchors with different stretches, one occurrence of each stretch goes with its text to the
-   anchor's shard. A shard first drops stretches none of whose window hashes repeats there; for the
-   rest it makes a suffix array by Larsson-Sadakane refinement (each round sorts only groups that
-   are still tied, by the rank ``h`` bytes on, doubling ``h``), the common prefixes by Kasai's rule
-   in parallel lanes, and marks windows that share ``LENGTH`` bytes with a neighbour.
+2. Anchors that occur once have no repeat. Of every other stretch the first place goes with its text
+   to a shard, and if it has several places the last one too. Where an anchor has one stretch only,
+   neighbouring stretches of the same two documents travel as one run; where it has several, all of
+   them go to the anchor's shard.
+3. A shard first drops stretches none of whose window hashes repeats there; for the rest it makes a
+   suffix array by Larsson-Sadakane refinement (each round sorts only groups that are still tied,
+   by the rank ``h`` bytes on, doubling ``h``), the common prefixes by Kasai's rule in parallel
+   lanes, and marks windows that share ``LENGTH`` bytes with a neighbour.
 4. An anchor with more than ``BLOCK`` stretches is split into blocks. Each block has its suffix
    array, and blocks are merged in pairs: the windows of one are binary-searched in the other.
-5. Marked windows become byte spans per document; texts with spans are cut.
+5. A third and any further place of a stretch is covered by its digest, without moving text: the
+   suffix arrays have compared the bytes of two of its places, and the job stops if they differ.
+6. Marked windows become byte spans per document; texts with spans are cut.
+
+``shared_passages`` counts, for each document, the windows of ``PASSAGE`` words that another document
+holds too, whatever their bytes: anchors of words, then window hashes where anchors disagree.
 
 Defined results: null is an empty text; texts shorter than ``LENGTH`` stay whole; rows that repeat
 are different documents and so repeat each other; rows without id are handled too; spans are judged
 on the input; bytes that are cut may split a character, so what is kept is binary; an empty table
-gives no rows; other columns are not read.
+gives no rows; other columns are not read. Rows equal in id and text are one document to
+``shared_passages``.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
@@ -38,9 +45,11 @@ from .shared import by_ids, stored
 LENGTH, GRAM = 400, 200
 BLOCK = 4096
 SHARD_BYTES = 3 << 20
+RUN_WINDOWS = 1 << 16
+PASSAGE, WORD_GRAM = 50, 25
 _POSITION_BITS = 28
 _CHUNK = 1 << 27
-_ANCHORS = "row long, anchor long, stretch long, first long, windows int, times int"
+_ANCHORS = "row long, anchor long, stretch long, first long, last long, windows int, times int"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,16 +61,24 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def owned_windows(prefix: np.ndarray, start: int, end: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor position, first window, windows) of each anchor in bytes [start, end)."""
-    parts = []
-    for a in range(start, end - length + 1, _CHUNK):
-        b = min(end, a + _CHUNK + length - 1)
+def owned_windows(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor position, first window, windows) of each run of windows with one anchor; no window crosses a document's end."""
+    parts = [(np.empty(0, np.int64),) * 3]
+    n = int(offsets[-1])
+    for a in range(0, n - length + 1, _CHUNK):
+        b = min(n, a + _CHUNK + length - 1)
         at = np.arange(a, b - gram + 1)
         value = (ta.hash_spans(prefix, at, at + gram) >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS)) | (at - a).astype(np.uint64)
         owner = (_sliding_min(value, length - gram + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        parts.append((owner[first] + a, first + a, np.diff(np.append(first, len(owner)))))
+        begin, end = np.clip(offsets[:-1], a, a + len(owner)), np.clip(offsets[1:] - length + 1, a, a + len(owner))
+        some = begin < end
+        change = np.zeros(len(owner) + 1, np.int8)
+        change[begin[some] - a] += 1
+        change[end[some] - a] -= 1
+        window = np.flatnonzero(np.cumsum(change[:-1], dtype=np.int8))
+        owner = owner[window]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)])) if len(window) else window
+        parts.append((owner[first] + a, window[first] + a, np.diff(np.append(first, len(owner)))))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -74,28 +91,24 @@ def _list_anchors(length: int, gram: int):
             data, offsets = ta.utf8(part.column(1))
             prefix = ta.prefix_hash(data)
             rows = part.column(0).to_numpy()
-            found, spans = [], []
-            for k in np.flatnonzero(np.diff(offsets) >= length).tolist():
-                anchor, first, windows = owned_windows(prefix, int(offsets[k]), int(offsets[k + 1]), length, gram)
-                stretch = ta.hash_spans(prefix, first, first + windows + length - 1) + ta.mix64((anchor - first).astype(np.uint64))
-                name = ta.hash_spans(prefix, anchor, anchor + gram)
-                own, at, group, times = np.unique(ta.mix64(name) ^ stretch, return_index=True, return_inverse=True, return_counts=True)
-                lo = first - offsets[k]
-                found.append((np.full(len(own), rows[k]), name[at].view(np.int64), stretch[at].view(np.int64), lo[at], windows[at].astype(np.int32), times.astype(np.int32)))
-                # what repeats inside the document is covered already; it goes on once
-                inner = times[group] > 1
-                if inner.any():
-                    a, b = lo[inner], (lo + windows + length - 1)[inner]
-                    head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-                    tail = np.append(head[1:], len(a)) - 1
-                    spans.append((np.full(len(head), rows[k]), a[head], b[tail]))
-            if found:
-                columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
-                yield pa.record_batch(columns, names=names)
-            if spans:
-                row, a, b = (np.concatenate(x) for x in zip(*spans))
-                none = pa.nulls(len(row), pa.int64())
-                yield pa.record_batch([pa.array(row), none, none, pa.array(a), pa.array((b - a).astype(np.int32)), pa.nulls(len(row), pa.int32())], names=names)
+            anchor, first, windows = owned_windows(prefix, offsets, length, gram)
+            doc = np.searchsorted(offsets, first, "right") - 1
+            stretch = ta.hash_spans(prefix, first, first + windows + length - 1) + ta.mix64((anchor - first).astype(np.uint64))
+            name = ta.hash_spans(prefix, anchor, anchor + gram)
+            _, at, group, times = np.unique(ta.mix64(ta.mix64(name) ^ stretch) + ta.mix64(doc.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+            last = np.empty(len(at), np.int64)
+            last[group] = np.arange(len(group))
+            lo = first - offsets[doc]
+            columns = [rows[doc[at]], name[at].view(np.int64), stretch[at].view(np.int64), lo[at], lo[last], windows[at].astype(np.int32), times.astype(np.int32)]
+            yield pa.record_batch([pa.array(x) for x in columns], names=names)
+            # places between a stretch's first and last in the same document
+            inner = times[group] > 2
+            if inner.any():
+                a, b, of = first[inner], (first + windows + length - 1)[inner], doc[inner]
+                head = np.flatnonzero(np.concatenate([[True], (a[1:] > b[:-1]) | (of[1:] != of[:-1])]))
+                tail = np.append(head[1:], len(a)) - 1
+                none, begin = pa.nulls(len(head), pa.int64()), a[head] - offsets[of[head]]
+                yield pa.record_batch([pa.array(rows[of[head]]), none, none, pa.array(begin), pa.array(begin), pa.array((b[tail] - a[head]).astype(np.int32)), pa.nulls(len(head), pa.int32())], names=names)
 
     return run
 
@@ -259,6 +272,9 @@ def _shard(length: int):
         windows = pdf["windows"].to_numpy().astype(np.int64)
         block = (pdf["block"].to_numpy() != key[1]).astype(np.int64)
         which, window = repeated_windows(pdf["body"].tolist(), windows, block, length)
+        sure = pdf["sure"].to_numpy()
+        if key[1] == key[2] and (np.bincount(which, minlength=len(pdf)) < windows)[sure].any():
+            raise ValueError("two different stretches have one digest")
         if not len(which):
             return pd.DataFrame({"row": np.empty(0, np.int64), "lo": np.empty(0, np.int64), "hi": np.empty(0, np.int64)})
         new = np.concatenate([[True], (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)])
@@ -270,7 +286,12 @@ def _shard(length: int):
     return run
 
 
+_WANTED = "first long, windows int, cell long, block int, blocks int, sure boolean"
+
+
 def _stretch_bodies(length: int):
+    names = [x.split()[0] for x in _WANTED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ta.slices(batches, "text"):
             data, offsets = ta.utf8(part.column(part.schema.get_field_index("text")))
@@ -280,15 +301,17 @@ def _stretch_bodies(length: int):
             lo = offsets[of] + flat.field("first").to_numpy()
             hi = lo + flat.field("windows").to_numpy() + length - 1
             raw = data.tobytes()
-            bodies = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
-            rows = part.column(part.schema.get_field_index("row")).take(pa.array(of))
-            yield pa.record_batch([rows, *(flat.field(c) for c in ("anchor", "first", "windows", "block", "blocks")), bodies], names=["row", "anchor", "first", "windows", "block", "blocks", "body"])
+            rows = part.column(part.schema.get_field_index("row"))
+            for at in range(0, len(lo), 4096):
+                stop = min(len(lo), at + 4096)
+                bodies = pa.array([raw[a:b] for a, b in zip(lo[at:stop].tolist(), hi[at:stop].tolist())], pa.binary())
+                yield pa.record_batch([rows.take(pa.array(of[at:stop])), *(flat.field(c).slice(at, stop - at) for c in names), bodies], names=["row", *names, "body"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to what is left of each text."""
+    """(doc_id, text, spans, ...) to what is left of each text; columns behind them pass."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
     for part in ta.slices(batches, "text"):
         rows = []
@@ -301,7 +324,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs.append([lo, hi])
             kept = b"".join(raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)]))
             rows.append((doc, len(raw), len(raw) - len(kept), len(runs), kept))
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        cut = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+        yield pa.record_batch([*cut, *part.columns[3:]], names=[*schema.names, *part.schema.names[3:]])
+
+
+def _runs(stretches: DataFrame) -> DataFrame:
+    """The two places of each stretch that is its anchor's only one, neighbours of the same two documents joined.
+
+    A run ends after ``RUN_WINDOWS`` windows, so none is longer than a small part of a shard.
+    """
+    pair = ["row_a", "row_b", "apart"]
+    each = stretches.where("not mixed").select(F.col("one.row").alias("row_a"), F.col("two.row").alias("row_b"), (F.col("two.at") - F.col("one.at")).alias("apart"), F.col("one.at").alias("first"), "windows")
+    along = Window.partitionBy(*pair).orderBy("first")
+    new = F.coalesce(F.lag(F.col("first") + F.col("windows")).over(along) != F.col("first"), F.lit(True))
+    begun = each.withColumn("new", new).withColumn("begin", F.last(F.when(F.col("new"), F.col("first")), ignorenulls=True).over(along))
+    part = F.floor((F.col("first") - F.col("begin")) / RUN_WINDOWS)
+    runs = begun.groupBy(*pair, "begin", part.alias("part")).agg(F.min("first").alias("first"), F.sum("windows").cast("int").alias("windows"))
+    places = F.explode(F.array(F.struct(F.col("row_a").alias("row"), "first"), F.struct(F.col("row_b").alias("row"), (F.col("first") + F.col("apart")).alias("first"))))
+    return runs.select(places.alias("place"), "windows", F.xxhash64(*pair, "first").alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("blocks"), F.lit(True).alias("sure")).select("place.*", "windows", "cell", "block", "blocks", "sure")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -311,34 +351,98 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     inner = listed.where("anchor is null").select("row", F.col("first").alias("lo"), (F.col("first") + F.col("windows")).alias("hi"))
     repeated = anchors.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = stored(anchors.join(repeated, "anchor"), "repeated-anchors")
-    # one stretch in several places: covered whole
-    stretches = again.groupBy("anchor", "stretch").agg(F.sum("times").alias("n"), F.min(F.struct("row", "first", "windows")).alias("one"), F.first("mixed").alias("mixed"))
-    stretches = stored(stretches, "stretches")
-    whole = again.join(stretches.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("row", F.col("first").alias("lo"), (F.col("first") + F.col("windows") + length - 1).alias("hi"))
-    # different stretches of one anchor: one of each goes to the anchor's shard
-    mixed = stretches.where("mixed").select("anchor", "stretch", "one.*")
+    one, two = F.min(F.struct("row", F.col("first").alias("at"))), F.max(F.struct("row", F.col("last").alias("at")))
+    stretches = stored(again.groupBy("anchor", "stretch").agg(F.sum("times").alias("n"), one.alias("one"), two.alias("two"), F.max("windows").alias("windows"), F.first("mixed").alias("mixed")), "stretches")
+    # the third and further places
+    more = again.join(stretches.where("n > 2").select("anchor", "stretch"), ["anchor", "stretch"]).select("row", F.explode(F.array_distinct(F.array("first", "last"))).alias("lo"), "windows")
+    whole = more.select("row", "lo", (F.col("lo") + F.col("windows") + length - 1).alias("hi"))
+    # different stretches of one anchor
+    mixed = stretches.where("mixed")
     sizes = mixed.groupBy("anchor").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-    total = mixed.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
+    places = F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))
+    apart = mixed.join(sizes, "anchor").select(F.explode(places).alias("place"), "windows", F.xxhash64("anchor").alias("cell"), F.pmod("stretch", F.col("blocks")).cast("int").alias("block"), "blocks", (F.col("n") > 1).alias("sure"))
+    sent = stored(apart.select("place.row", F.col("place.at").alias("first"), "windows", "cell", "block", "blocks", "sure").unionByName(_runs(stretches)), "sent-stretches")
+    total = sent.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-    sent = mixed.join(sizes, "anchor").withColumn("block", F.pmod("stretch", F.col("blocks")).cast("int"))
-    wanted = stored(sent.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "windows", "block", "blocks")).alias("wanted")), "wanted-stretches")
+    wanted = stored(sent.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "cell", "block", "blocks", "sure")).alias("wanted")), "wanted-stretches")
     texts = by_ids(rows.select("row", "text"), wanted.select("row"), "row").dropDuplicates(["row"])
-    bodies = texts.join(wanted, "row").mapInArrow(_stretch_bodies(length), "row long, anchor long, first long, windows int, block int, blocks int, body binary")
+    bodies = texts.join(wanted, "row").mapInArrow(_stretch_bodies(length), f"row long, {_WANTED}, body binary")
     other = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a split anchor has cells of its own; the others share shards
-    shard = F.when(F.col("blocks") > 1, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(int(shards))))
-    cells = other.select(shard.alias("shard"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "first", "windows", "block", "body")
+    shard = F.when(F.col("blocks") > 1, F.col("cell")).otherwise(F.pmod("cell", F.lit(int(shards))))
+    cells = other.select(shard.alias("shard"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "first", "windows", "block", "sure", "body")
     marked = cells.groupBy("shard", "low", "high").applyInPandas(_shard(length), "row long, lo long, hi long")
     return whole.unionByName(inner).unionByName(marked).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def drop_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; ``kept`` are the bytes that are left."""
+def _word_anchors(size: int, gram: int, listed: bool):
+    """Of each document its anchors with their stretches, or (``listed``: the wanted ones) the hashes of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ta.slices(batches, "text"):
+            data, offsets = ta.utf8(part.column(part.schema.get_field_index("text")))
+            low = ta.lower_ascii(data)
+            starts, ends, ends_of = ta.words(low, offsets)
+            prefix = ta.prefix_hash(ta.hash_spans(ta.prefix_hash(low), starts, ends))
+            rows = part.column(part.schema.get_field_index("row")).to_numpy()
+            anchor, first, windows = owned_windows(prefix, ends_of, size, gram)
+            doc = np.searchsorted(ends_of, first, "right") - 1
+            name = ta.hash_spans(prefix, anchor, anchor + gram)
+            stretch = ta.hash_spans(prefix, first, first + windows + size - 1) + ta.mix64((anchor - first).astype(np.uint64))
+            key = lambda names, stretches, docs: ta.mix64(ta.mix64(names) ^ stretches) + ta.mix64(docs.astype(np.uint64))
+            mine = key(name, stretch, doc)
+            if listed:
+                lists = part.column(part.schema.get_field_index("wanted"))
+                flat, of = lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                wanted = key(flat.field("anchor").to_numpy().view(np.uint64), flat.field("stretch").to_numpy().view(np.uint64), of)
+                order = np.argsort(wanted)
+                at = order[np.minimum(np.searchsorted(wanted[order], mine), len(order) - 1)] if len(order) else np.empty(0, np.int64)
+                some = np.flatnonzero(wanted[at] == mine) if len(order) else at
+                window = np.repeat(first[some], windows[some]) + np.arange(int(windows[some].sum())) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
+                alone = flat.field("alone").to_numpy(zero_copy_only=False)[at[some]]
+                out = [rows[np.repeat(doc[some], windows[some])], ta.hash_spans(prefix, window, window + size).view(np.int64), np.repeat(alone, windows[some]).astype(bool)]
+                yield pa.record_batch([pa.array(x) for x in out], names=["row", "window", "alone"])
+            else:
+                _, at, group = np.unique(mine, return_index=True, return_inverse=True)
+                sums = np.bincount(group, windows, len(at)).astype(np.int64)
+                yield pa.record_batch([pa.array(x) for x in (rows[doc[at]], name[at].view(np.int64), stretch[at].view(np.int64), sums)], names=["row", "anchor", "stretch", "windows"])
+
+    return run
+
+
+def shared_passages(rows: DataFrame, size: int = PASSAGE, gram: int = WORD_GRAM) -> DataFrame:
+    """(row, n_shared_windows): the windows of ``size`` words (A-Z lower-cased) that other rows hold too; rows without any are left out."""
+    anchors = stored(rows.select("row", "text").mapInArrow(_word_anchors(size, gram, False), "row long, anchor long, stretch long, windows long"), "word-anchors")
+    common = anchors.groupBy("anchor").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), (F.min("stretch") != F.max("stretch")).alias("mixed")).where("lo <> hi").select("anchor", "mixed")
+    again = stored(anchors.join(common, "anchor"), "common-anchors")
+    stretches = stored(again.groupBy("anchor", "stretch").agg(F.min("row").alias("row"), (F.min("row") == F.max("row")).alias("alone"), F.first("mixed").alias("mixed")), "word-stretches")
+    whole = again.join(stretches.where("not alone").select("anchor", "stretch"), ["anchor", "stretch"]).select("row", "windows")
+    # where an anchor's stretches differ, their windows are compared; one document stands for those with the same stretch
+    wanted = stored(stretches.where("mixed").groupBy("row").agg(F.collect_list(F.struct("anchor", "stretch", "alone")).alias("wanted")), "wanted-windows")
+    texts = by_ids(rows.select("row", "text"), wanted.select("row"), "row").dropDuplicates(["row"])
+    windows = stored(texts.join(wanted, "row").mapInArrow(_word_anchors(size, gram, True), "row long, window long, alone boolean"), "passage-windows")
+    shared = windows.groupBy("window").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.bool_and("alone").alias("alone")).where("lo <> hi or not alone").select("window")
+    found = windows.where("alone").join(shared, "window").select("row", F.lit(1).cast("long").alias("windows"))
+    return whole.unionByName(found).groupBy("row").agg(F.sum("windows").alias("n_shared_windows"))
+
+
+def drop_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text: str = "text", passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; ``kept`` are the bytes that are left.
+
+    With ``passage``, a number of words, n_shared_windows is added: the document's windows of so many
+    words that another document holds too.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text"))
     rows = rows.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text"))
-    spans = stored(repeated_spans(rows, length, gram), "spans")
-    ids = spans.select("row")
-    touched = by_ids(rows, ids, "row").join(spans, "row").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    same = by_ids(rows, ids, "row", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    spans = repeated_spans(rows, length, gram)
+    if passage:
+        spans = spans.join(shared_passages(rows, passage, (passage + 1) // 2), "row", "full")
+    spans = stored(spans, "spans")
+    ids, more = spans.select("row"), ["n_shared_windows"] if passage else []
+    none = F.array().cast(spans.schema["spans"].dataType)
+    touched = by_ids(rows, ids, "row").join(spans, "row").select("doc_id", "text", F.coalesce("spans", none).alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in more])
+    touched = touched.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", {c} long" for c in more))
+    zero = F.lit(0).cast("long")
+    same = by_ids(rows, ids, "row", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), *[zero.alias(c) for c in more])
     return touched.unionByName(same)

@@ -380,6 +380,40 @@ def test_repeats_of_odd_tables(odd, none):
     assert suffix_dedup.drop_repeats(none).count() == 0
 
 
+def test_many_copies_and_long_runs(spark, monkeypatch):
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdé \n") for _ in range(n))
+    long, part = make(3000), make(90)
+    docs = [long] * 5 + [long[:1500] + make(20) + long[1400:], part * 4, part + make(30) + part + "x" + part, make(10) + part, long[700:2200], ""]
+    monkeypatch.setattr(suffix_dedup, "RUN_WINDOWS", 100)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.drop_repeats(frame, 40, 20).collect()}
+    assert got == dict(enumerate(_spans([t.encode() for t in docs], 40)))
+
+
+def test_stretches_with_one_digest_stop_the_job():
+    pdf = pd.DataFrame({"row": [1, 2], "first": [0, 0], "windows": [5, 5], "block": [0, 0], "sure": [True, True], "body": [b"abcdefghijkl", b"abcdefghijkx"]})
+    with pytest.raises(ValueError, match="digest"):
+        suffix_dedup._shard(8)((0, 0, 0), pdf)
+
+
+def test_shared_passages_against_all_windows(spark, odd):
+    r = random.Random(10)
+    make = lambda n: [r.choice("abcdefgh") + r.choice("xyz") for _ in range(n)]
+    base = [make(r.choice([9, 10, 11, 14, 30])) for _ in range(10)]
+    docs = [r.choice([" ", "\n "]).join(w for _ in range(3) for w in (r.choice(base) if r.random() < 0.5 else make(r.randint(0, 12)))) for _ in range(60)]
+    docs += [docs[0], docs[0].upper(), " ".join(make(25) * 2), "", None]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for n in (10, 50):
+        words = [re.findall(r"[^ \t-\r]+", (t or "").lower()) for t in docs]
+        windows = [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in words]
+        on = collections.Counter(x for w in windows for x in set(w))
+        want = {k: sum(on[x] > 1 for x in w) for k, w in enumerate(windows)}
+        got = {x.doc_id: x.n_shared_windows for x in suffix_dedup.drop_repeats(frame, passage=n).collect()}
+        assert got == want and any(want.values())
+    assert suffix_dedup.drop_repeats(odd, passage=50).count() == odd.count()
+
+
 # --- 9
 
 
