@@ -6,18 +6,19 @@ windows of equal anchors finds every repeat, and sharding by anchor brings equal
 
 1. One pass over the texts lists the anchors, each with a digest of the stretch its windows cover.
 2. Anchors that occur once have no repeat. Of every other stretch the first place goes with its text
-   to a shard, and if it has several places the last one too. Where an anchor has one stretch only,
-   neighbouring stretches of the same two documents travel as one run; where it has several, all of
-   them go to the anchor's shard.
-3. A shard first drops stretches none of whose window hashes repeats there; for the rest it makes a
-   suffix array by Larsson-Sadakane refinement (each round sorts only groups that are still tied,
-   by the rank ``h`` bytes on, doubling ``h``), the common prefixes by Kasai's rule in parallel
-   lanes, and marks windows that share ``LENGTH`` bytes with a neighbour.
+   to a shard, and if it has several places the last one too.
+3. Where an anchor has several stretches, all go to the anchor's shard. It drops those none of whose
+   window hashes repeats there; for the rest it makes a suffix array by Larsson-Sadakane refinement
+   (each round sorts only groups that are still tied, by the rank ``h`` bytes on, doubling ``h``),
+   the common prefixes by Kasai's rule in parallel lanes, and marks windows that share ``LENGTH``
+   bytes with a neighbour.
 4. An anchor with more than ``BLOCK`` stretches is split into blocks. Each block has its suffix
    array, and blocks are merged in pairs: the windows of one are binary-searched in the other.
-5. A third and any further place of a stretch is covered by its digest, without moving text: the
-   suffix arrays have compared the bytes of two of its places, and the job stops if they differ.
-6. Marked windows become byte spans per document; texts with spans are cut.
+5. Where an anchor has one stretch in several places, there is nothing to sort: neighbouring
+   stretches of the same two documents travel as one run and the shard compares its bytes.
+6. A third and any further place of a stretch is covered by its digest, without moving text: the
+   bytes of two of its places have been compared by 3 or 5, and the job stops if they differ.
+7. Marked windows become byte spans per document; texts with spans are cut.
 
 ``shared_passages`` counts, for each document, the windows of ``PASSAGE`` words that another document
 holds too, whatever their bytes: anchors of words, then window hashes where anchors disagree.
@@ -42,11 +43,11 @@ from pyspark.sql import functions as F
 from . import text_arrays as ta
 from .shared import by_ids, stored
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 128
 BLOCK = 4096
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 RUN_WINDOWS = 1 << 16
-PASSAGE, WORD_GRAM = 50, 25
+PASSAGE, WORD_GRAM = 50, 13
 _POSITION_BITS = 28
 _CHUNK = 1 << 27
 _ANCHORS = "row long, anchor long, stretch long, first long, last long, windows int, times int"
@@ -149,7 +150,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 64) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 256) -> np.ndarray:
     """For each position the common prefix with its predecessor in ``order``, ``most`` at most.
 
     Kasai's rule, a position's value is at least its left neighbour's less one, is followed in text
@@ -230,6 +231,8 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray, block: np.ndarray
 
     ``block`` is 0 or 1; with two blocks only repeats between them are wanted.
     """
+    if not len(bodies):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     text, starts, which = _concatenated(bodies, windows, length)
     hashes = ta.hash_spans(ta.prefix_hash(text), starts, starts + length)
     order = np.argsort(hashes)
@@ -270,23 +273,29 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray, block: np.ndarray
 def _shard(length: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         windows = pdf["windows"].to_numpy().astype(np.int64)
+        run, sure = pdf["run"].to_numpy(), pdf["sure"].to_numpy()
+        pairs = pdf[run].groupby("cell")["body"]
+        if (pairs.first() != pairs.last()).any() or (pairs.size() != 2).any():
+            raise ValueError("two different stretches have one digest")
+        whole = pd.DataFrame({"row": pdf["row"], "lo": pdf["first"], "hi": pdf["first"] + pdf["windows"] + length - 1})[run]
+        pdf, windows, sure = pdf[~run], windows[~run], sure[~run]
         block = (pdf["block"].to_numpy() != key[1]).astype(np.int64)
         which, window = repeated_windows(pdf["body"].tolist(), windows, block, length)
-        sure = pdf["sure"].to_numpy()
         if key[1] == key[2] and (np.bincount(which, minlength=len(pdf)) < windows)[sure].any():
             raise ValueError("two different stretches have one digest")
         if not len(which):
-            return pd.DataFrame({"row": np.empty(0, np.int64), "lo": np.empty(0, np.int64), "hi": np.empty(0, np.int64)})
+            return whole
         new = np.concatenate([[True], (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)])
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(which)) - 1
         first = pdf["first"].to_numpy()[which[head]]
-        return pd.DataFrame({"row": pdf["row"].to_numpy()[which[head]], "lo": first + window[head], "hi": first + window[tail] + length})
+        marked = pd.DataFrame({"row": pdf["row"].to_numpy()[which[head]], "lo": first + window[head], "hi": first + window[tail] + length})
+        return pd.concat([whole, marked], ignore_index=True)
 
     return run
 
 
-_WANTED = "first long, windows int, cell long, block int, blocks int, sure boolean"
+_WANTED = "first long, windows int, cell long, block int, blocks int, sure boolean, run boolean"
 
 
 def _stretch_bodies(length: int):
@@ -341,7 +350,7 @@ def _runs(stretches: DataFrame) -> DataFrame:
     part = F.floor((F.col("first") - F.col("begin")) / RUN_WINDOWS)
     runs = begun.groupBy(*pair, "begin", part.alias("part")).agg(F.min("first").alias("first"), F.sum("windows").cast("int").alias("windows"))
     places = F.explode(F.array(F.struct(F.col("row_a").alias("row"), "first"), F.struct(F.col("row_b").alias("row"), (F.col("first") + F.col("apart")).alias("first"))))
-    return runs.select(places.alias("place"), "windows", F.xxhash64(*pair, "first").alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("blocks"), F.lit(True).alias("sure")).select("place.*", "windows", "cell", "block", "blocks", "sure")
+    return runs.select(places.alias("place"), "windows", F.xxhash64(*pair, "first").alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("blocks"), F.lit(True).alias("sure"), F.lit(True).alias("run")).select("place.*", "windows", "cell", "block", "blocks", "sure", "run")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -360,17 +369,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     mixed = stretches.where("mixed")
     sizes = mixed.groupBy("anchor").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     places = F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))
-    apart = mixed.join(sizes, "anchor").select(F.explode(places).alias("place"), "windows", F.xxhash64("anchor").alias("cell"), F.pmod("stretch", F.col("blocks")).cast("int").alias("block"), "blocks", (F.col("n") > 1).alias("sure"))
-    sent = stored(apart.select("place.row", F.col("place.at").alias("first"), "windows", "cell", "block", "blocks", "sure").unionByName(_runs(stretches)), "sent-stretches")
+    apart = mixed.join(sizes, "anchor").select(F.explode(places).alias("place"), "windows", F.xxhash64("anchor").alias("cell"), F.pmod("stretch", F.col("blocks")).cast("int").alias("block"), "blocks", (F.col("n") > 1).alias("sure"), F.lit(False).alias("run"))
+    sent = stored(apart.select("place.row", F.col("place.at").alias("first"), "windows", "cell", "block", "blocks", "sure", "run").unionByName(_runs(stretches)), "sent-stretches")
     total = sent.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-    wanted = stored(sent.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "cell", "block", "blocks", "sure")).alias("wanted")), "wanted-stretches")
+    wanted = stored(sent.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "cell", "block", "blocks", "sure", "run")).alias("wanted")), "wanted-stretches")
     texts = by_ids(rows.select("row", "text"), wanted.select("row"), "row").dropDuplicates(["row"])
     bodies = texts.join(wanted, "row").mapInArrow(_stretch_bodies(length), f"row long, {_WANTED}, body binary")
     other = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a split anchor has cells of its own; the others share shards
     shard = F.when(F.col("blocks") > 1, F.col("cell")).otherwise(F.pmod("cell", F.lit(int(shards))))
-    cells = other.select(shard.alias("shard"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "first", "windows", "block", "sure", "body")
+    cells = other.select(shard.alias("shard"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "first", "windows", "cell", "block", "sure", "run", "body")
     marked = cells.groupBy("shard", "low", "high").applyInPandas(_shard(length), "row long, lo long, hi long")
     return whole.unionByName(inner).unionByName(marked).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
@@ -437,7 +446,7 @@ def drop_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, i
     rows = rows.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text"))
     spans = repeated_spans(rows, length, gram)
     if passage:
-        spans = spans.join(shared_passages(rows, passage, (passage + 1) // 2), "row", "full")
+        spans = spans.join(shared_passages(rows, passage, passage // 4 + 1), "row", "full")
     spans = stored(spans, "spans")
     ids, more = spans.select("row"), ["n_shared_windows"] if passage else []
     none = F.array().cast(spans.schema["spans"].dataType)

@@ -392,9 +392,11 @@ def test_many_copies_and_long_runs(spark, monkeypatch):
 
 
 def test_stretches_with_one_digest_stop_the_job():
-    pdf = pd.DataFrame({"row": [1, 2], "first": [0, 0], "windows": [5, 5], "block": [0, 0], "sure": [True, True], "body": [b"abcdefghijkl", b"abcdefghijkx"]})
-    with pytest.raises(ValueError, match="digest"):
-        suffix_dedup._shard(8)((0, 0, 0), pdf)
+    pdf = pd.DataFrame({"row": [1, 2], "first": [0, 0], "windows": [5, 5], "cell": [4, 4], "block": [0, 0], "sure": [True, True], "run": [True, True], "body": [b"abcdefghijkl", b"abcdefghijkx"]})
+    for run in (True, False):
+        with pytest.raises(ValueError, match="digest"):
+            suffix_dedup._shard(8)((0, 0, 0), pdf.assign(run=run))
+        assert suffix_dedup._shard(8)((0, 0, 0), pdf.assign(run=run, body=[b"abcdefghijkl"] * 2))[["row", "lo", "hi"]].values.tolist() == [[1, 0, 12], [2, 0, 12]]
 
 
 def test_shared_passages_against_all_windows(spark, odd):
