@@ -12,17 +12,19 @@ are its words and one end; the end also stands as the context of the first word.
 2. Unigram counts: a block's words go to shards by hash, one packed piece a shard; a shard adds up
    the training counts and answers each piece with the totals of its words.
 3. Bigrams: a block's distinct pairs go to shards by context, with their training counts. A shard
-   adds them up and builds a trie: level one the contexts, level two each context's followers as
-   numbers relative to the context, with monotone pointers between them, all Elias-Fano, and the
-   discounted counts quantised to a byte, or to two in a shard whose largest count needs more; no
-   count saturates. The levels are memory-mapped from a temporary file while
-   the shard's pieces are looked up by successor search and answered in one code a pair.
-   Contexts with more than a thousandth of all tokens (so fewer than a thousand) are dealt over ``SPLITS``
-   shards by follower; their T is the sum of the parts.
+   adds them up and builds a trie: the followers it has, its contexts with their back-off weights
+   D * T(v) / c(v), and each context's followers as numbers relative to the context, with monotone
+   pointers between them, all Elias-Fano, and the discounted probabilities (c(v w) - D) / c(v) in
+   quantised logarithms, a byte each or two in a shard whose smallest needs more; none saturates.
+   The levels are memory-mapped from a temporary file while the shard's pieces are looked up by
+   successor search and answered in one code a pair and one a context.
+   A context with more than ``SHARD_PAIRS`` tokens is dealt by follower over as many parts as it has
+   times that many; its T is the sum of the parts. Such contexts are counted before pairs are sent.
 4. A block's tokens meet its answers and every document is scored.
 
-What is moved is proportional to the text, pieces are bounded by block and shard size, and only the
-totals and the thousand hot words at most pass through the driver.
+What is moved is proportional to the text, and pieces are bounded by block and shard size. Only the
+totals and the split contexts pass through the driver: those with more than ``SHARD_PAIRS`` tokens
+and more than one in ``HOT_SHARE``, so at most a million of two numbers each (16 MB).
 
 Defined results: a null text is empty: one token, the end; rows without id are learnt from; rows that
 repeat count as often as they occur; without training rows N and V are 0 and every word is unknown;
@@ -35,6 +37,7 @@ import mmap
 import os
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,10 +53,9 @@ DISCOUNT = 0.8
 BLOCK_BYTES = 4 << 20
 SHARD_PAIRS = 1_000_000
 SHARD_WORDS = 500_000
-HOT_SHARE, SPLITS = 1000, 64
-STEPS = 32  # quantisation: steps a decade of discounted counts
+HOT_SHARE = 1_000_000
+STEPS, WEIGHT_STEPS = 32, 2000  # quantisation: steps a decade of probabilities and of back-off weights
 END = np.uint64(0x5851F42D4C957F2D)
-FOLLOWER_BITS = 40
 _BLOCK = "block long, doc_ids binary, no_id binary, held binary, lengths binary, train_tokens long, n_tokens long, tokens binary, short binary, words binary, counts binary"
 _ANSWER = "block long, kind int, shard long, codes binary, followers binary, key long, value long"
 
@@ -81,28 +83,23 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view(kind).ravel()
 
 
-def _follower(words: np.ndarray) -> np.ndarray:
-    return words >> np.uint64(64 - FOLLOWER_BITS)
-
-
-def _five_bytes(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _short(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(32)).astype(np.int64)
 
 
-def _from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def _splits(counts: np.ndarray, hot: int, size: int) -> np.ndarray:
+    """Over how many parts of ``size`` pairs contexts with these counts are dealt, from count ``hot`` on."""
+    return np.where(counts >= hot, -(-counts // size), 1)
 
 
-def _short(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(40)).astype(np.int64)
+def _pair_shard(context: np.ndarray, follower: np.ndarray, splits: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of pairs, from the words' short hashes; a split context's pairs are spread by follower."""
+    part = ta.mix64(follower.astype(np.uint64)) % splits.astype(np.uint64)
+    return (ta.mix64(context.astype(np.uint64) << np.uint64(32) | part) % np.uint64(shards)).astype(np.int64)
 
 
-def _pair_shard(context: np.ndarray, follower: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of pairs, from the words' short hashes; a hot context's pairs are spread by follower."""
-    part = np.where(hot, follower % SPLITS, 0)
-    return (ta.mix64((context * SPLITS + part).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+def hot_least(n: int) -> int:
+    return max(SHARD_PAIRS, n // HOT_SHARE) + 1
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +145,7 @@ def _send_words(shards: int):
     return run
 
 
-def _add_words(hot_least: int):
+def _add_words(hot: int):
     """A shard's unigram totals: an answer to each piece, its number of known words, its hot words."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +155,7 @@ def _add_words(hot_least: int):
         ends = np.cumsum([0] + [len(x) for x in pieces])
         rows = [(b, 0, key[0], _pack(counts[index[a:z]]), None, None, None) for b, a, z in zip(pdf["block"], ends, ends[1:])]
         rows.append((None, 1, key[0], None, None, None, int((counts > 0).sum())))
-        rows += [(None, 2, key[0], None, None, w, c) for w, c in zip(words.view(np.int64)[counts >= hot_least].tolist(), counts[counts >= hot_least].tolist())]
+        rows += [(None, 2, key[0], None, None, w, c) for w, c in zip(words.view(np.int64)[counts >= hot].tolist(), counts[counts >= hot].tolist())]
         return _answers(rows)
 
     return run
@@ -182,7 +179,21 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
-def _send_pairs(shards: int, hot_words: np.ndarray):
+class Hot(NamedTuple):
+    """The split contexts: their hashes in order and their counts."""
+
+    words: np.ndarray
+    counts: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The count of each word that is split, else 0."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+
+def _send_pairs(shards: int, hot: Hot, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -190,89 +201,106 @@ def _send_pairs(shards: int, hot_words: np.ndarray):
                 held, lengths = np.frombuffer(row["held"], np.uint8).astype(bool), _unpack(row["lengths"])
                 context, word, index = _pairs(local, int(np.flatnonzero(words == END)[0]))
                 train = np.bincount(index[np.repeat(~held, lengths)], minlength=len(context))
-                short, hot = _short(words), np.isin(words, hot_words)
+                short, splits = _short(words), _splits(hot.of(words), 1, size)
                 out = []
-                for s, at in _pieces(_pair_shard(short[context], short[word], hot[context], shards), shards):
+                for s, at in _pieces(_pair_shard(short[context], short[word], splits[context], shards), shards):
                     head = _heads(context[at])
-                    out.append((s, row["block"], words[context[at][head]].tobytes(), _pack(np.diff(np.append(head, len(at)))), _five_bytes(_follower(words[word[at]])), _pack(train[at])))
+                    out.append((s, row["block"], words[context[at][head]].tobytes(), _pack(np.diff(np.append(head, len(at)))), words[word[at]].tobytes(), _pack(train[at])))
                 yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["shard", "block", "contexts", "runs", "followers", "counts"])
 
     return run
 
 
 class Trie:
-    """Two levels in one buffer: contexts, pointers, followers relative to their context, codes."""
+    """Levels in one buffer: contexts, pointers, followers relative to their context, the shard's followers, codes, back-off weights."""
 
     def __init__(self, buffer):
-        self.contexts, at = EliasFano.from_buffer(buffer)
-        self.pointers, at = EliasFano.from_buffer(buffer, at)
-        self.followers, at = EliasFano.from_buffer(buffer, at)
+        at, parts = 0, []
+        for _ in range(4):
+            part, at = EliasFano.from_buffer(buffer, at)
+            parts.append(part)
+        self.contexts, self.pointers, self.relative, self.followers = parts
         width = int(np.frombuffer(buffer, np.uint8, 1, at)[0])
-        self.codes = np.frombuffer(buffer, f"<u{width}", self.followers.n, at + 1)
+        self.codes = np.frombuffer(buffer, f"<u{width}", self.relative.n, at + 1)
+        self.weights = np.frombuffer(buffer, "<u2", self.contexts.n, at + 1 + width * self.relative.n)
 
     @staticmethod
-    def levels(context: np.ndarray, follower: np.ndarray, count: np.ndarray, discount: float) -> bytes:
-        """The buffer for pairs in order of (context, follower) with counts above 0; contexts below 2**63."""
+    def levels(context: np.ndarray, follower: np.ndarray, count: np.ndarray, discount: float, total: np.ndarray | None = None) -> bytes:
+        """The buffer for pairs in order of (context, follower) with counts above 0; contexts and followers below 2**63.
+
+        ``total``: c(v) of each pair's context, by default the sum of its counts here.
+        """
         head = _heads(context) if len(context) else np.empty(0, np.int64)
-        rank = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(context))))
-        code = 1 + np.round((np.log10(count - discount) - np.log10(1 - discount)) * STEPS)
-        relative = (rank.astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | follower
-        parts = [EliasFano.of(context[head]), EliasFano.of(np.append(head, len(context))), EliasFano.of(relative)]
+        size = np.diff(np.append(head, len(context)))
+        rank = np.repeat(np.arange(len(head)), size)
+        if total is None:
+            total = np.repeat(np.add.reduceat(count, head) if len(head) else count, size)
+        code = 1 + np.round(-np.log10((count - discount) / total) * STEPS)
+        weight = 1 + np.round(-np.log10(discount * size / total[head]) * WEIGHT_STEPS)
+        known, number = np.unique(follower, return_inverse=True)
+        relative = rank.astype(np.uint64) * np.uint64(len(known)) + number.astype(np.uint64)
+        parts = [EliasFano.of(context[head]), EliasFano.of(np.append(head, len(context))), EliasFano.of(relative), EliasFano.of(known)]
         width = 1 if code.max(initial=0) <= 255 else 2
-        return b"".join(x.to_bytes() for x in parts) + bytes([width]) + code.astype(f"<u{width}").tobytes()
-
-    def find(self, context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each pair, 0 where absent; followers of its context)."""
-        code, followers = np.zeros(len(context), np.uint16), np.zeros(len(context), np.int64)
-        n = self.contexts.n
-        if not n:
-            return code, followers
-        rank = self.contexts.successor(context)
-        seen = rank < n
-        seen[seen] = self.contexts.get(rank[seen]) == context[seen]
-        rank = rank[seen]
-        followers[seen] = (self.pointers.get(rank + 1) - self.pointers.get(rank)).astype(np.int64)
-        wanted = (rank.astype(np.uint64) << np.uint64(FOLLOWER_BITS)) | follower[seen]
-        at = self.followers.successor(wanted)
-        here = at < self.followers.n
-        here[here] = self.followers.get(at[here]) == wanted[here]
-        found = np.zeros(len(rank), np.uint16)
-        found[here] = self.codes[at[here]]
-        code[seen] = found
-        return code, followers
-
-
-def _add_pairs(hot_words: np.ndarray, discount: float):
-    """A shard's trie, an answer to each piece, and the hot contexts' followers in this shard."""
+        return b"".join(x.to_bytes() for x in parts) + bytes([width]) + code.astype(f"<u{width}").tobytes() + weight.astype("<u2").tobytes()
+
+    @staticmethod
+    def _at(level: EliasFano, wanted: np.ndarray) -> np.ndarray:
+        """Where each value stands in a level, or -1."""
+        at = level.successor(wanted)
+        here = at < level.n
+        here[here] = level.get(at[here]) == wanted[here]
+        return np.where(here, at, -1)
+
+    def find(self, context: np.ndarray, runs: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code of each pair, 0 where absent; back-off code and followers of each context, 0 where it is unseen).
+
+        ``runs``: how many of the followers belong to each context.
+        """
+        code, weight, followers = np.zeros(len(follower), np.uint16), np.zeros(len(context), np.uint16), np.zeros(len(context), np.int64)
+        rank = self._at(self.contexts, context)
+        seen = np.flatnonzero(rank >= 0)
+        weight[seen] = self.weights[rank[seen]]
+        followers[seen] = (self.pointers.get(rank[seen] + 1) - self.pointers.get(rank[seen])).astype(np.int64)
+        number, of = self._at(self.followers, follower), np.repeat(rank, runs)
+        both = np.flatnonzero((number >= 0) & (of >= 0))
+        at = self._at(self.relative, of[both].astype(np.uint64) * np.uint64(self.followers.n) + number[both].astype(np.uint64))
+        code[both[at >= 0]] = self.codes[at[at >= 0]]
+        return code, weight, followers
+
+
+def _add_pairs(hot: Hot, discount: float):
+    """A shard's trie, an answer to each piece, and the split contexts' followers in this shard."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         # one bit goes for the sign, so that levels hold any hash
         heads = [np.frombuffer(x, np.uint64) for x in pdf["contexts"]]
-        runs = [_unpack(x) for x in pdf["runs"]]
-        context = np.concatenate([np.repeat(h, r) for h, r in zip(heads, runs)]) >> np.uint64(1)
-        follower = np.concatenate([_from_five(x) for x in pdf["followers"]])
+        runs = [_unpack(x).astype(np.int64) for x in pdf["runs"]]
+        context = np.concatenate([np.repeat(h, r) for h, r in zip(heads, runs)])
+        follower = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["followers"]]) >> np.uint64(1)
         count = np.concatenate([_unpack(x) for x in pdf["counts"]]).astype(np.int64)
         some = np.flatnonzero(count)
         some = some[np.lexsort((follower[some], context[some]))]
         c, f = context[some], follower[some]
         head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])])) if len(some) else some
-        total = np.add.reduceat(count[some], head) if len(some) else some
+        sums, c, f = np.add.reduceat(count[some], head) if len(some) else some, c[head], f[head]
+        first = _heads(c) if len(c) else head
+        split = hot.of(c)
+        total = np.where(split > 0, split, np.repeat(np.add.reduceat(sums, first) if len(c) else sums, np.diff(np.append(first, len(c)))))
         rows = []
         with tempfile.TemporaryFile() as file:
-            file.write(Trie.levels(c[head], f[head], total, discount))
+            file.write(Trie.levels(c >> np.uint64(1), f, sums, discount, total))
             file.flush()
             mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
             trie = Trie(mapped)
             at = 0
             for block, h, r in zip(pdf["block"], heads, runs):
                 end = at + int(r.sum())
-                code, followers = trie.find(context[at:end], follower[at:end])
-                rows.append((block, 3, key[0], _pack(code), _pack(followers[np.cumsum(r) - r]), None, None))
+                code, weight, _ = trie.find(h >> np.uint64(1), r, follower[at:end])
+                rows.append((block, 3, key[0], _pack(code), _pack(weight), None, None))
                 at = end
-            hot = hot_words >> np.uint64(1)
-            if len(hot):
-                _, followers = trie.find(hot, np.zeros(len(hot), np.uint64))
-                rows += [(None, 4, key[0], None, None, int(w), int(t)) for w, t in zip(hot_words.view(np.int64), followers) if t]
+            here = c[first][split[first] > 0]
+            _, _, followers = trie.find(here >> np.uint64(1), np.zeros(len(here), np.int64), np.empty(0, np.uint64))
+            rows += [(None, 4, key[0], None, None, w, t) for w, t in zip(here.view(np.int64).tolist(), followers.tolist())]
             del trie
         return _answers(rows)
 
@@ -282,34 +310,32 @@ def _add_pairs(hot_words: np.ndarray, discount: float):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n: int, v: int, word_shards: int, pair_shards: int, hot: dict[int, tuple[int, int]], discount: float):
-    """A block's documents from its tokens and all its answers. ``hot``: short hash and count to followers."""
+def _score(n: int, v: int, word_shards: int, pair_shards: int, least: int, size: int, hot: dict[tuple[int, int], float]):
+    """A block's documents from its tokens and all its answers. ``hot``: short hash and count of a split context to its back-off weight."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         local, short = _unpack(row["tokens"]).astype(np.int64), _unpack(row["short"]).astype(np.int64)
         lengths, held = _unpack(row["lengths"]).astype(np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
-        counts, followers = np.zeros(len(short), np.int64), np.zeros(len(short), np.int64)
+        counts, weight = np.zeros(len(short), np.int64), np.full(len(short), -1.0)
         of_shard = dict(_pieces(short % word_shards, word_shards))
         for r in right[right["kind"] == 0].itertuples():
             counts[of_shard[r.shard]] = _unpack(r.codes)
-        is_hot = np.zeros(len(short), bool)
-        for k in np.flatnonzero(counts >= n // HOT_SHARE + 1).tolist():
-            is_hot[k], followers[k] = True, hot.get((int(short[k]), int(counts[k])), (0, 0))[1]
+        splits = _splits(counts, least, size)
         end = int(local[lengths[0] - 1])
         context, word, index = _pairs(local, end)
-        code = np.zeros(len(context), np.uint16)
-        of_shard = dict(_pieces(_pair_shard(short[context], short[word], is_hot[context], pair_shards), pair_shards))
+        code = np.zeros(len(context), np.int64)
+        of_shard = dict(_pieces(_pair_shard(short[context], short[word], splits[context], pair_shards), pair_shards))
         for r in right[right["kind"] == 3].itertuples():
             at = of_shard[r.shard]
             code[at] = _unpack(r.codes)
-            own = context[at][_heads(context[at])]
-            plain = ~is_hot[own]
-            followers[own[plain]] = _unpack(r.followers)[plain]
+            own, found = context[at][_heads(context[at])], _unpack(r.followers).astype(np.int64)
+            weight[own[found > 0]] = 10.0 ** ((1 - found[found > 0]) / WEIGHT_STEPS)
+        for k in np.flatnonzero(counts >= least).tolist():
+            weight[k] = hot[int(short[k]), int(counts[k])]
         base = (counts + 1) / (n + v + 1)
-        c = counts[context]
-        discounted = np.where(code > 0, (1 - discount) * 10.0 ** ((code.astype(float) - 1) / STEPS), 0.0)
-        p = np.where(c > 0, (np.minimum(discounted, c) + discount * followers[context] * base[word]) / np.maximum(c, 1), base[word])
+        discounted = np.where(code > 0, 10.0 ** ((1 - code) / STEPS), 0.0)
+        p = np.where(weight[context] >= 0, discounted + weight[context] * base[word], base[word])
         first = np.cumsum(lengths) - lengths
         ids = np.frombuffer(row["doc_ids"], np.int64)
         return pd.DataFrame(
@@ -332,14 +358,15 @@ def score(documents: DataFrame, discount: float = DISCOUNT, id_col: str = "doc_i
     n, tokens, entries = int(sums[0]), int(sums[1]), int(sums[2])
     word_shards, pair_shards = max(1, -(-entries // SHARD_WORDS)), max(1, -(-tokens // SHARD_PAIRS))
     words = blocks.select("block", "words", "counts").mapInArrow(_send_words(word_shards), "shard long, block long, words binary, counts binary")
-    unigrams = stored(words.groupBy("shard").applyInPandas(_add_words(n // HOT_SHARE + 1), _ANSWER), "unigram-answers")
+    unigrams = stored(words.groupBy("shard").applyInPandas(_add_words(hot_least(n)), _ANSWER), "unigram-answers")
     v = int(unigrams.where("kind = 1").agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0])
     hot_rows = unigrams.where("kind = 2").collect()
-    hot_words = np.array(sorted(r["key"] for r in hot_rows), np.int64).view(np.uint64)
-    pairs = blocks.select("block", "words", "tokens", "held", "lengths").mapInArrow(_send_pairs(pair_shards, hot_words), "shard long, block long, contexts binary, runs binary, followers binary, counts binary")
-    bigrams = stored(pairs.groupBy("shard").applyInPandas(_add_pairs(hot_words, discount), _ANSWER), "bigram-answers")
+    order = np.argsort(keys := np.array([r["key"] for r in hot_rows], np.int64).view(np.uint64))
+    hot = Hot(keys[order], np.array([r["value"] for r in hot_rows], np.int64)[order])
+    pairs = blocks.select("block", "words", "tokens", "held", "lengths").mapInArrow(_send_pairs(pair_shards, hot, SHARD_PAIRS), "shard long, block long, contexts binary, runs binary, followers binary, counts binary")
+    bigrams = stored(pairs.groupBy("shard").applyInPandas(_add_pairs(hot, discount), _ANSWER), "bigram-answers")
     followers = {r["key"]: r["t"] for r in bigrams.where("kind = 4").groupBy("key").agg(F.sum("value").alias("t")).collect()}
-    hot = {(int(np.int64(r["key"]).view(np.uint64) >> np.uint64(40)), r["value"]): (r["key"], followers.get(r["key"], 0)) for r in hot_rows}
+    weights = {(int(s), r["value"]): discount * followers.get(r["key"], 0) / r["value"] for s, r in zip(_short(keys), hot_rows)}
     answers = unigrams.where("kind = 0").unionByName(bigrams.where("kind = 3"))
     left = blocks.select("block", "doc_ids", "no_id", "held", "lengths", "tokens", "short")
-    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(n, v, word_shards, pair_shards, hot, discount), _SCORES)
+    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(n, v, word_shards, pair_shards, hot_least(n), SHARD_PAIRS, weights), _SCORES)

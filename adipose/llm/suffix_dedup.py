@@ -161,23 +161,32 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     rows = -(-n // lanes)
-    padded = np.concatenate([text.astype(np.int16), np.full(rows * lanes - n + most + 1, -1, np.int16)])
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.zeros(n, np.uint64)
+    for j in range(8):
+        eight = eight << np.uint64(8) | padded[j : j + n]
     out = np.zeros(rows * lanes, np.int32)
     have = np.zeros(rows, np.int64)
     other = np.full(rows, -1, np.int64)
     begin = np.arange(rows) * lanes
+
+    def grow(some: np.ndarray, values: np.ndarray, step: int) -> None:
+        """Lengthen by ``step`` bytes where they are equal, as long as ``most`` and the text's end allow."""
+        while len(some):
+            a, b, l = at[some], other[some], have[some]
+            some = some[(l + step <= np.minimum(most, n - np.maximum(a, b)))]
+            l, a, b = have[some], at[some], other[some]
+            some = some[values[a + l] == values[b + l]]
+            have[some] += step
+
     for step in range(lanes):
         at = begin + step
         last, other = other, np.where(at < n, before[np.minimum(at, n - 1)], -1)
         holds = (other >= 0) & ((have < most) | (other == last + 1))
         have = np.where(holds, np.maximum(have - 1, 0), 0)
-        grow = np.flatnonzero((other >= 0) & (have < most))
-        while len(grow):
-            a, b, l = at[grow], other[grow], have[grow]
-            same = (padded[a + l] == padded[b + l]) & (padded[a + l] >= 0)
-            have[grow[same]] += 1
-            grow = grow[same]
-            grow = grow[have[grow] < most]
+        some = np.flatnonzero((other >= 0) & (have < most))
+        grow(some, eight, 8)
+        grow(some, text, 1)
         out[at] = have
     return out[:n]
 

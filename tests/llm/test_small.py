@@ -461,14 +461,18 @@ def test_scores_against_plain_counts(spark, monkeypatch):
             ones.update(w)
             pairs.update(zip([None, *w], w))
     n, v, followers, d = sum(ones.values()), len(ones), collections.Counter(a for a, _ in pairs), language_model.DISCOUNT
+    steps = lambda x, n: 10 ** (round(math.log10(x) * n) / n)
+    assert sum(c > language_model.hot_least(n) for c in ones.values()) > 2  # some contexts are split
     for k, w in tokens.items():
         base = [math.log10((ones[x] + 1) / (n + v + 1)) for x in w]
         total = 0.0
         for a, x, u in zip([None, *w], w, base):
             if ones[a]:
-                c = pairs[a, x]
-                step = round((math.log10(c - d) - math.log10(1 - d)) * language_model.STEPS) / language_model.STEPS if c else 0
-                total += math.log10(min(1, (min((1 - d) * 10**step, ones[a]) * (c > 0) + d * followers[a] * 10**u) / ones[a]))
+                seen = steps((pairs[a, x] - d) / ones[a], language_model.STEPS) if pairs[a, x] else 0
+                weight = d * followers[a] / ones[a]
+                if ones[a] < language_model.hot_least(n):
+                    weight = steps(weight, language_model.WEIGHT_STEPS)
+                total += math.log10(min(1, seen + weight * 10**u))
             else:
                 total += u
         x = got[k]
@@ -478,12 +482,17 @@ def test_scores_against_plain_counts(spark, monkeypatch):
 
 def test_large_counts_do_not_saturate():
     count = np.array([1, 10**7, 17 * 10**7, 6 * 10**9, 2**40])
-    context, follower, d = np.arange(5).astype(np.uint64), np.arange(5).astype(np.uint64), language_model.DISCOUNT
-    for some in (slice(0, 2), slice(0, 5)):
-        trie = language_model.Trie(language_model.Trie.levels(context[some], follower[some], count[some], d))
-        code, followers = trie.find(context[some], follower[some])
-        found = (1 - d) * 10.0 ** ((code.astype(float) - 1) / language_model.STEPS)
-        assert (np.abs(np.log10(found / (count[some] - d))) <= 0.5 / language_model.STEPS + 1e-9).all() and (followers == 1).all()
+    follower, d = np.arange(10).astype(np.uint64), language_model.DISCOUNT
+    for some in (2, 5):
+        # each context has a pair of that count and another of one
+        counts, context = np.stack([count[:some], np.ones(some, np.int64)], axis=1).ravel(), np.repeat(np.arange(some), 2).astype(np.uint64)
+        trie = language_model.Trie(language_model.Trie.levels(context, follower[: 2 * some], counts, d))
+        code, weight, followers = trie.find(np.append(context[::2], 99).astype(np.uint64), np.append(np.full(some, 2), 0), follower[: 2 * some])
+        want = (counts - d) / np.repeat(count[:some] + 1, 2)
+        assert (np.abs((1 - code.astype(float)) / language_model.STEPS - np.log10(want)) <= 0.5 / language_model.STEPS + 1e-9).all()
+        assert (np.abs((1 - weight[:-1].astype(float)) / language_model.WEIGHT_STEPS - np.log10(2 * d / (count[:some] + 1))) <= 0.5 / language_model.WEIGHT_STEPS + 1e-9).all()
+        assert followers.tolist() == [2] * some + [0] and weight[-1] == 0
+    assert trie.find(context[:1], np.array([3]), np.array([0, 2, 77], np.uint64))[0].tolist()[1:] == [0, 0]
     assert (language_model._unpack(language_model._pack(count)) == count).all()
     words = np.array([7, 9], np.uint64).tobytes()
     pieces = pd.DataFrame({"block": [1, 2], "words": [words, words], "counts": [language_model._pack(np.array([3 * 10**9, 1]))] * 2})
@@ -499,6 +508,25 @@ def test_scores_do_not_depend_on_hot_words(spark, monkeypatch):
     got = score()
     monkeypatch.setattr(language_model, "HOT_SHARE", 1)
     assert got == pytest.approx(score()) and all(map(math.isfinite, got.values()))
+    monkeypatch.setattr(language_model, "HOT_SHARE", 10**6)
+    for pairs in (700, 40, 1):  # from no split context to every one, in as many parts as it has tokens
+        monkeypatch.setattr(language_model, "SHARD_PAIRS", pairs)
+        assert got == pytest.approx(score(), rel=1e-4)
+
+
+def test_scores_of_a_few_thousand_tokens(spark):
+    r = random.Random(12)
+    rows = [(k, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 60)))) for k in range(90)]
+    got = {x.doc_id: x.score for x in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tokens = {k: [*t.split(), None] for k, t in rows}
+    train = [w for k, w in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    ones, pairs, d = collections.Counter(x for w in train for x in w), collections.Counter(p for w in train for p in zip([None, *w], w)), language_model.DISCOUNT
+    n, followers = sum(ones.values()), collections.Counter(a for a, _ in pairs)
+    assert 1000 < n < 3000
+    for k, w in tokens.items():
+        p = [(ones[x] + 1) / (n + len(ones) + 1) for x in w]
+        p = [(max(pairs[a, x] - d, 0) + d * followers[a] * u) / ones[a] if ones[a] else u for a, x, u in zip([None, *w], w, p)]
+        assert abs(got[k] - sum(map(math.log10, p))) <= len(w) * (0.5 / language_model.STEPS + 0.5 / language_model.WEIGHT_STEPS)
 
 
 def test_elias_fano():
