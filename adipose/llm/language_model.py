@@ -54,6 +54,7 @@ BLOCK_BYTES = 4 << 20
 SHARD_PAIRS = 1_000_000
 SHARD_WORDS = 500_000
 HOT_SHARE = 1_000_000
+MOST_TASKS = 20_000
 STEPS, WEIGHT_STEPS = 32, 2000  # quantisation: steps a decade of probabilities and of back-off weights
 END = np.uint64(0x5851F42D4C957F2D)
 _BLOCK = "block long, doc_ids binary, no_id binary, held binary, lengths binary, train_tokens long, n_tokens long, tokens binary, short binary, words binary, counts binary"
@@ -296,11 +297,11 @@ def _add_pairs(hot: Hot, discount: float):
             for block, h, r in zip(pdf["block"], heads, runs):
                 end = at + int(r.sum())
                 code, weight, _ = trie.find(h >> np.uint64(1), r, follower[at:end])
-                rows.append((block, 3, key[0], _pack(code), _pack(weight), None, None))
+                rows.append((block, 3, key[1], _pack(code), _pack(weight), None, None))
                 at = end
             here = c[first][split[first] > 0]
             _, _, followers = trie.find(here >> np.uint64(1), np.zeros(len(here), np.int64), np.empty(0, np.uint64))
-            rows += [(None, 4, key[0], None, None, w, t) for w, t in zip(here.view(np.int64).tolist(), followers.tolist())]
+            rows += [(None, 4, key[1], None, None, w, t) for w, t in zip(here.view(np.int64).tolist(), followers.tolist())]
             del trie
         return _answers(rows)
 
@@ -364,7 +365,10 @@ def score(documents: DataFrame, discount: float = DISCOUNT, id_col: str = "doc_i
     order = np.argsort(keys := np.array([r["key"] for r in hot_rows], np.int64).view(np.uint64))
     hot = Hot(keys[order], np.array([r["value"] for r in hot_rows], np.int64)[order])
     pairs = blocks.select("block", "words", "tokens", "held", "lengths").mapInArrow(_send_pairs(pair_shards, hot, SHARD_PAIRS), "shard long, block long, contexts binary, runs binary, followers binary, counts binary")
-    bigrams = stored(pairs.groupBy("shard").applyInPandas(_add_pairs(hot, discount), _ANSWER), "bigram-answers")
+    # shards are dealt out evenly, where a hash would put several of them into one task
+    parts = min(pair_shards, MOST_TASKS)
+    pairs = pairs.withColumn("part", (F.col("shard") % parts).cast("int")).repartitionById(parts, F.col("part"))
+    bigrams = stored(pairs.groupBy("part", "shard").applyInPandas(_add_pairs(hot, discount), _ANSWER), "bigram-answers")
     followers = {r["key"]: r["t"] for r in bigrams.where("kind = 4").groupBy("key").agg(F.sum("value").alias("t")).collect()}
     weights = {(int(s), r["value"]): discount * followers.get(r["key"], 0) / r["value"] for s, r in zip(_short(keys), hot_rows)}
     answers = unigrams.where("kind = 0").unionByName(bigrams.where("kind = 3"))
