@@ -122,8 +122,10 @@ def reactions(spark: SparkSession, d: str) -> DataFrame:
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", compound.alias("compound"))
     side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, item))), lambda x: x["compound"])
     built = lines.groupBy(F.col("l_orderkey").alias("reaction_ord")).agg(side("R").alias("reactants"), side("A").alias("products"), side("N").alias("genes"))
+    key = F.col("reaction_ord")
+    enzymes = F.when(key % 4 != 0, F.array(F.concat(F.lit("E"), (key % 10).cast("string")), F.lit("E0")))
     free = F.array().cast("array<map<string,string>>")
-    return built.select("reaction_ord", F.col("reaction_ord").alias("reaction_id"), F.concat(F.lit("order "), F.col("reaction_ord").cast("string")).alias("reaction_name"), "reactants", "products", "genes", free.alias("proteins"), free.alias("curations"), free.alias("pathways"))
+    return built.select("reaction_ord", F.col("reaction_ord").alias("reaction_id"), F.concat(F.lit("order "), F.col("reaction_ord").cast("string")).alias("reaction_name"), "reactants", "products", "genes", free.alias("proteins"), free.alias("curations"), free.alias("pathways"), enzymes.alias("enzyme_ids"), F.array(F.concat(F.lit("P"), (key % 7).cast("string"))).alias("pathway_ids"))
 
 
 PARTICIPANTS = """p AS (

@@ -131,7 +131,7 @@ def s11_headgroups(spark, d):
 
 @query(f"""WITH {t.LINES}, k AS (
   SELECT dataset_id, col_idx, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, col_idx ORDER BY row_idx) AS i FROM c WHERE text <> '') WHERE i <= 100 GROUP BY dataset_id, col_idx
-) SELECT c.dataset_id, c.row_idx, f.name AS input_name, c.col_idx AS ordinal, c.value FROM c JOIN k ON c.dataset_id = k.dataset_id AND c.col_idx = k.col_idx AND k.numbers > 0.8
+) SELECT c.dataset_id, c.row_idx, f.name AS input_name, c.col_idx AS ordinal, c.value FROM c JOIN k ON c.dataset_id = k.dataset_id AND c.col_idx = k.col_idx AND k.numbers > 0.8 AND c.col_idx <> 3
 JOIN f ON f.dataset_id = c.dataset_id AND f.row_idx = c.row_idx WHERE f.name <> '' AND c.value IS NOT NULL""")
 def p3_extract(spark, d):
     rows = _rows(spark, d)
@@ -139,6 +139,44 @@ def p3_extract(spark, d):
     return found.select("dataset_id", "row_idx", "input_name", "ordinal", "value")
 
 
+# two columns have the header "nation": the last one counts, and the sample is listed twice
+REPEATED = f"""{t.LINES}, k AS (
+  SELECT dataset_id, col_idx, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, col_idx ORDER BY row_idx) AS i FROM c WHERE text <> '') WHERE i <= 100 GROUP BY dataset_id, col_idx
+), u AS (
+  SELECT c.dataset_id, c.row_idx, CASE c.col_idx WHEN 1 THEN 'balance' WHEN 2 THEN 'segment' ELSE 'nation' END AS sample, c.value FROM c JOIN k ON c.dataset_id = k.dataset_id AND c.col_idx = k.col_idx AND k.numbers > 0.8
+  JOIN f ON f.dataset_id = c.dataset_id AND f.row_idx = c.row_idx WHERE c.col_idx <> 3 AND f.name <> '' AND c.value IS NOT NULL)"""
+
+
+def _repeated(spark, d):
+    rows, names = _rows(spark, d), t.column_names(spark, d)
+    listed = names.where("col_idx > 0").select("dataset_id", F.col("col_idx").alias("ordinal"), F.col("column").alias("sample_id"))
+    return quant.extract(rows, names, profile.column_profile(profile.long_cells(rows))), samples.sample_table(listed)
+
+
+@query(f"""WITH {REPEATED} SELECT dataset_id, sample AS "group", row_idx, round(value, 6) AS mean, 0.0 AS std, CAST(CASE sample WHEN 'nation' THEN 2 ELSE 1 END AS BIGINT) AS n FROM u""")
+def a1_repeated_headers(spark, d):
+    values = stats.lipid_group_values(*_repeated(spark, d))
+    return values.select("dataset_id", "group", "row_idx", R("mean").alias("mean"), R("std").alias("std"), "n")
+
+
+@query(f"""WITH {REPEATED}, l AS (SELECT DISTINCT dataset_id, row_idx FROM u), g AS (SELECT unnest(['balance', 'segment', 'nation']) AS sample)
+SELECT l.dataset_id, g.sample AS "group", l.row_idx, CASE WHEN u.value IS NULL THEN '' ELSE u.sample || '=' || round(u.value, 2) END AS "values" FROM l CROSS JOIN g LEFT JOIN u ON u.dataset_id = l.dataset_id AND u.row_idx = l.row_idx AND u.sample = g.sample""")
+def a4_repeated_headers(spark, d):
+    maps = stats.grouped_data(*_repeated(spark, d))
+    return maps.select("dataset_id", "group", "row_idx", _shown("values").alias("values"))
+
+
+@query(f"""WITH {REPEATED} SELECT dataset_id, row_idx, string_agg(sample || '=' || round(value, 2), ' ' ORDER BY sample) AS "values" FROM u GROUP BY dataset_id, row_idx""")
+def k2_repeated_headers(spark, d):
+    values, _ = _repeated(spark, d)
+    return export.nested_dataset(quant.lipids(values), values).select("dataset_id", "row_idx", _shown("values").alias("values"))
+
+
+def _shown(values):
+    """A map of values as text, in order of its keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(values)), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"], 2).cast("string"))), " ")
+
+
 @query("""SELECT sample_id, coalesce(nullif(trim(regexp_extract(sample_id, '^([^0-9]+)', 1), '_'), ''), 'unknown') AS "group" FROM (
   SELECT n_name AS sample_id FROM nation UNION ALL SELECT c_mktsegment || '__' || c_custkey FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR) || 'a' FROM customer UNION ALL SELECT '___' || c_custkey FROM customer)""")
 def p4_group_by_name(spark, d):
@@ -286,17 +324,20 @@ def r4_has_main(spark, d):
 LINKED = f"{t.PARTICIPANTS}, {t.OBSERVED}, k AS (SELECT o.row_idx, o.lm_id, p.reaction_ord, p.role, p.pos FROM o JOIN p ON o.lm_id = p.lm_id)"
 
 
-@query(f"""WITH {LINKED} SELECT row_idx, lm_id, reaction_ord, CAST(reaction_ord AS VARCHAR) AS reaction_id, 'order ' || reaction_ord AS reaction_name, 'species-level' AS type, role, CAST(pos AS INTEGER) AS pos FROM k""")
+@query(f"""WITH {LINKED} SELECT row_idx, lm_id, reaction_ord, CAST(reaction_ord AS VARCHAR) AS reaction_id, 'order ' || reaction_ord AS reaction_name, 'species-level' AS type, CASE WHEN reaction_ord % 4 <> 0 THEN 'E' || (reaction_ord % 10) || ',E0' END AS enzyme_ids, 'P' || (reaction_ord % 7) AS pathway_ids, 'order ' || reaction_ord AS details_name, role, CAST(pos AS INTEGER) AS pos FROM k""")
 def r5_lipid_reactions(spark, d):
     seen = t.observed(spark, d)
-    return reactions.lipid_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen)).drop("input_name")
+    links = reactions.lipid_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen, details=True))
+    links = links.withColumns({c: F.array_join(c, ",") for c in ("enzyme_ids", "pathway_ids")}).withColumn("details_name", F.get_json_object("details", "$.reaction_name"))
+    return links.drop("input_name", "details")
 
 
-@query(f"""WITH {LINKED} SELECT o.row_idx, CASE WHEN o.lm_id IS NOT NULL THEN CAST(count(k.row_idx) AS INTEGER) END AS links FROM o LEFT JOIN k ON k.row_idx = o.row_idx GROUP BY o.row_idx, o.lm_id""")
+@query(f"""WITH {LINKED} SELECT o.row_idx, CASE WHEN o.lm_id IS NOT NULL THEN coalesce(string_agg(k.reaction_ord || ' ' || k.role || ' ' || k.pos || coalesce(' E' || CASE WHEN k.reaction_ord % 4 <> 0 THEN k.reaction_ord % 10 END, '') || ' P' || (k.reaction_ord % 7), ', ' ORDER BY k.reaction_ord, k.role DESC, k.pos), '') END AS links FROM o LEFT JOIN k ON k.row_idx = o.row_idx GROUP BY o.row_idx, o.lm_id""")
 def r5_nested_reactions(spark, d):
     seen = t.observed(spark, d)
     nested = reactions.nested_reactions(seen, reactions.reaction_links(t.reactions(spark, d), seen))
-    return nested.select("row_idx", F.when(F.col("reactions").isNotNull(), F.size("reactions")).alias("links"))
+    link = lambda x: F.concat_ws(" ", x["reaction_id"], x["role"], x["pos"].cast("string"), F.get(x["enzyme_ids"], F.lit(0)), F.get(x["pathway_ids"], F.lit(0)))
+    return nested.select("row_idx", F.array_join(F.transform("reactions", link), ", ").alias("links"))
 
 
 EDGES = f"{t.PARTICIPANTS}, e AS (SELECT a.display AS src, b.display AS dst, max(a.reaction_ord) AS reaction_id FROM p AS a JOIN p AS b ON a.reaction_ord = b.reaction_ord AND a.role = 'reactant' AND b.role = 'product' GROUP BY a.display, b.display)"
@@ -336,6 +377,13 @@ def r11_next_reactions(spark, d):
     return reactions.next_reactions(t.reactions(spark, d))
 
 
+@query(f"""WITH {t.PARTICIPANTS}, x AS (SELECT DISTINCT reaction_ord, role, lm_id FROM p WHERE lm_id IS NOT NULL), y AS (SELECT lm_id, reaction_ord, count(*) AS sides, max(role) AS role FROM x GROUP BY lm_id, reaction_ord), z AS (
+  SELECT lm_id, CAST(sum(CASE WHEN sides = 2 OR role = 'product' THEN 1 ELSE 0 END) AS BIGINT) AS producers, CAST(sum(CASE WHEN sides = 2 OR role = 'reactant' THEN 1 ELSE 0 END) AS BIGINT) AS consumers, CAST(sum(sides - 1) AS BIGINT) AS loops FROM y GROUP BY lm_id)
+SELECT lm_id, producers, consumers, producers * consumers - loops AS links FROM z WHERE producers > 0 AND consumers > 0""")
+def r11_compound_links(spark, d):
+    return reactions.compound_links(t.reactions(spark, d))
+
+
 @query(f"""WITH {NEXT}, y AS (SELECT a.src, a.dst AS mid, b.dst FROM x AS a JOIN x AS b ON a.dst = b.src AND b.dst <> a.src)
 SELECT 1 AS hops, count(*) AS chains, CAST(sum(src) AS BIGINT) AS starts FROM x UNION ALL SELECT 2, count(*), CAST(sum(src) AS BIGINT) FROM y""")
 def r11_chains(spark, d):
@@ -373,9 +421,43 @@ def v1_v16_issues(spark, d):
     return _validated(spark, d)[0].groupBy("dataset_id", "check_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH h AS (
+  SELECT 'nation ' || n_nationkey AS dataset_id, n_nationkey % 5 AS kind, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation
+), i AS (
+  SELECT dataset_id, 'V1' AS check_id, 'critical' AS severity, 'no data rows' AS message, NULL AS location, 'see whether the file was read as it should be' AS suggestion FROM h WHERE kind = 0 OR n = 0
+  UNION ALL SELECT dataset_id, 'V2', 'critical', '1 columns, at least 2 are needed', NULL, 'give a column of names and one or more of samples' FROM h WHERE kind = 1 AND n > 0
+  UNION ALL SELECT dataset_id, 'V3', 'error', 'duplicate headers: b, a', NULL, 'give every column a header of its own' FROM h WHERE kind = 2 AND n > 0
+  UNION ALL SELECT dataset_id, 'V4', 'warning', 'blank headers at 1, 3', '{"columns":[1,3]}', 'name every column' FROM h WHERE kind = 3 AND n > 0
+  UNION ALL SELECT dataset_id, 'V6', 'error', '0 sample columns, at least 2 are needed', '{"sample_count":0}', '' FROM h WHERE kind = 1 AND n > 0
+  UNION ALL SELECT dataset_id, 'V7', 'warning', n || ' rows, at least 60 are needed', '{"lipid_count":' || n || '}', '' FROM h WHERE kind > 0 AND n BETWEEN 1 AND 59
+) SELECT * FROM i""")
+def v1_v7_headers(spark, d):
+    key = F.col("n_nationkey")
+    names = [["name", "a", "b"], ["name"], ["name", "b", "a", "b", "a"], ["name", "", "x", " "], ["name", "a", "b"]]
+    header = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in names]), (key % 5 + 1).cast("int"))
+    columns = t.table(spark, d, "nation").select(F.concat(F.lit("nation "), key.cast("string")).alias("dataset_id"), F.posexplode(header).alias("col_idx", "column"))
+    rows = delimited.split_lines(t.customer_lines(spark, d), t.COLUMNS).where("cast(substring(dataset_id, 8) as int) % 5 > 0")
+    issues = validate.counted_issues(columns, validate.entries(rows), min_samples=2, min_lipids=60)
+    return issues.where("check_id in ('V1', 'V2', 'V3', 'V4', 'V6', 'V7')").drop("category")
+
+
+@query(f"""WITH {t.LINES}, i AS (
+  SELECT dataset_id, 'V5' AS check_id, 'row ' || row_idx || ' has 2 extra fields' AS message, '{{"row":' || row_idx || ',"extra_fields":["surplus","2"]}}' AS location FROM f WHERE longer
+  UNION ALL SELECT dataset_id, 'V5', 'row ' || row_idx || ' lacks segment, nation, nation', '{{"row":' || row_idx || ',"missing_columns":["segment","nation","nation"]}}' FROM f WHERE short
+  UNION ALL SELECT dataset_id, 'V8', 'row ' || row_idx || ' has no name', '{{"row":' || row_idx || '}}' FROM f WHERE name = ''
+  UNION ALL SELECT dataset_id, 'V14', count(*) || ' short names', '{{"examples":["' || array_to_string((array_agg(name ORDER BY row_idx))[1:5], '","') || '"]}}' FROM f WHERE length(name) BETWEEN 1 AND 2 GROUP BY dataset_id
+  UNION ALL SELECT dataset_id, 'V15', count(*) || ' placeholder names (unknown)', '{{"examples":["' || array_to_string((array_agg(name ORDER BY row_idx))[1:5], '","') || '"]}}' FROM f WHERE name LIKE 'unknown%' GROUP BY dataset_id
+  UNION ALL SELECT dataset_id, 'V16', count(*) || ' rows without any value', '{{"rows":[' || array_to_string((array_agg(row_idx ORDER BY row_idx))[1:10], ',') || ']}}' FROM f WHERE c1 = '' AND c2 = '' AND c3 = '' AND c4 = '' GROUP BY dataset_id
+  UNION ALL SELECT dataset_id, 'V13', count(*) || ' names are repeated', '{{"examples":["' || array_to_string((array_agg(name ORDER BY first_row))[1:5], '","') || '"]}}' FROM (SELECT dataset_id, name, min(row_idx) AS first_row FROM f WHERE name <> '' GROUP BY dataset_id, name HAVING count(*) > 1) GROUP BY dataset_id
+) SELECT * FROM i""")
+def v5_v16_details(spark, d):
+    issues = _validated(spark, d)[0].where("check_id in ('V5', 'V8', 'V13', 'V14', 'V15', 'V16')").where("check_id <> 'V15' or message like '%unknown%'")
+    return issues.select("dataset_id", "check_id", "message", "location")
+
+
 @query(f"""WITH {ISSUES} SELECT dataset_id, CAST(col_idx AS INTEGER) AS col_idx, total, CAST(missing AS BIGINT) AS missing, CAST(odd AS BIGINT) AS non_numeric, CAST(negative AS BIGINT) AS negative, CAST(zero AS BIGINT) AS zero, numeric FROM cc""")
 def v9_v12_column_counts(spark, d):
-    return validate.column_counts(validate.cell_table(_rows(spark, d)))
+    return validate.column_counts(_rows(spark, d))
 
 
 @query(f"""WITH {ISSUES}, x AS (SELECT dataset_id, row_idx, text, row_number() OVER (PARTITION BY dataset_id ORDER BY row_idx) AS k FROM c WHERE col_idx = 1 AND text <> '' AND value IS NULL)

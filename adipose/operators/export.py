@@ -9,7 +9,11 @@ from .reactions import lipid_reactions
 
 
 def wide_matrix(quant: DataFrame, sample_ids: list[str]) -> DataFrame:
-    """One row per lipid row and one column per sample of the list; more than the pivot limit is refused."""
+    """One row per lipid row and one column per sample of the list; more than the pivot limit is refused.
+
+    A sample that the list names twice has one column.
+    """
+    sample_ids = list(dict.fromkeys(sample_ids))
     most = int(quant.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     if len(sample_ids) > most:
         raise ValueError(f"{len(sample_ids)} samples are more than spark.sql.pivotMaxValues ({most}); use the long or nested form")
@@ -33,10 +37,19 @@ def write_annotations(annotated: DataFrame, path: str) -> None:
 
 
 def report(issues: DataFrame, summary: DataFrame) -> DataFrame:
-    """(dataset_id, passed, has_warnings, issue_count, issues, summary), one row per dataset."""
-    found = issues.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("issue_count"), F.array_sort(F.collect_list(F.struct("check_id", "severity", "category", "message", "location", "suggestion"))).alias("issues"))
-    sums = summary.select("dataset_id", F.col("validation_passed").alias("passed"), "has_warnings", F.struct(*[c for c in summary.columns if c != "dataset_id"]).alias("summary"))
-    return sums.join(found, "dataset_id", "left").withColumn("issue_count", F.coalesce("issue_count", F.lit(0)))
+    """(dataset_id, passed, has_warnings, issue_count, summary), one row per dataset.
+
+    The issues stay a table of their own, since a dataset can have one for each of its rows.
+    """
+    levels = [F.col(f"{s}_count") for s in ("critical", "error", "warning", "info")]
+    sums = F.struct(*[c for c in summary.columns if c != "dataset_id"]).alias("summary")
+    return summary.select("dataset_id", F.col("validation_passed").alias("passed"), "has_warnings", (levels[0] + levels[1] + levels[2] + levels[3]).alias("issue_count"), sums)
+
+
+def write_report(issues: DataFrame, summary: DataFrame, path: str) -> None:
+    """``verdicts``: a JSON line a dataset; ``issues``: a folder a dataset, a JSON line an issue, in as many files as it needs."""
+    report(issues, summary).write.json(f"{path}/verdicts")
+    issues.write.partitionBy("dataset_id").json(f"{path}/issues")
 
 
 def as_list(c: Column) -> Column:

@@ -14,7 +14,7 @@ FIRST, FEW, NUMERIC, SHORT = 100, 10, 0.8, 20
 def long_cells(raw_rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """(dataset_id, row_idx, col_idx, raw[, column]): a row a cell."""
     cells = raw_rows.select("dataset_id", "row_idx", F.posexplode("cells").alias("col_idx", "raw"))
-    return cells if columns is None else cells.join(F.broadcast(columns.select("dataset_id", "col_idx", "column")), ["dataset_id", "col_idx"])
+    return cells if columns is None else cells.join(columns.select("dataset_id", "col_idx", "column"), ["dataset_id", "col_idx"])
 
 
 def column_profile(cells: DataFrame) -> DataFrame:

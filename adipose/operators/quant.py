@@ -12,14 +12,15 @@ def extract(raw_rows: DataFrame, columns: DataFrame, profile: DataFrame, lipid_i
     """quant (dataset_id, row_idx, input_name, ordinal, sample_id, value) of numeric sample columns.
 
     Rows with a blank name, whole columns that are empty or not numeric, and cells that are blank or
-    no number are left out; a row without any value is so too. ``columns`` lists the sample columns.
+    no number are left out; a row without any value is so too. ``columns`` lists the sample columns;
+    of those with equal names the last one counts, whether or not it is numeric.
     """
     usable = profile.where("not is_empty and column_type = 'numeric'").select("dataset_id", "col_idx")
-    sample = columns.where((F.col("col_idx") != lipid_idx) & (strip(F.col("column")) != "")).join(usable, ["dataset_id", "col_idx"], "left_semi")
-    sample = sample.select("dataset_id", F.col("col_idx").alias("ordinal"), F.col("column").alias("sample_id"))
+    last = columns.where((F.col("col_idx") != lipid_idx) & (strip(F.col("column")) != "")).groupBy("dataset_id", F.col("column").alias("sample_id")).agg(F.max("col_idx").alias("col_idx"))
+    sample = last.join(usable, ["dataset_id", "col_idx"], "left_semi").select("dataset_id", F.col("col_idx").alias("ordinal"), "sample_id")
     named = raw_rows.select("dataset_id", "row_idx", strip(F.col("cells")[lipid_idx]).alias("input_name"), "cells").where("input_name <> ''")
     cells = named.select("dataset_id", "row_idx", "input_name", F.posexplode("cells").alias("ordinal", "raw")).where((F.col("ordinal") != lipid_idx) & (F.col("raw") != ""))
-    return cells.join(F.broadcast(sample), ["dataset_id", "ordinal"]).select("dataset_id", "row_idx", "input_name", "ordinal", "sample_id", number(F.col("raw")).alias("value")).where("value is not null")
+    return cells.join(sample, ["dataset_id", "ordinal"]).select("dataset_id", "row_idx", "input_name", "ordinal", "sample_id", number(F.col("raw")).alias("value")).where("value is not null")
 
 
 def lipids(quant: DataFrame) -> DataFrame:

@@ -48,19 +48,25 @@ def keep_main(reactions: DataFrame) -> DataFrame:
     return kept.withColumn("reaction_name", F.concat(side_name(F.col("reactants")), F.lit(" -> "), side_name(F.col("products"))))
 
 
-def reaction_links(reactions: DataFrame, ids: DataFrame) -> DataFrame:
-    """(lm_id, reaction_ord, reaction_id, reaction_name, type, role, pos): one a participant with one of ``ids``.
+_DETAILS = ["reaction_id", "reaction_name", "reactants", "products", "genes", "proteins", "curations", "pathways", "type", "enzyme_ids", "pathway_ids"]
+
+
+def reaction_links(reactions: DataFrame, ids: DataFrame, details: bool = False) -> DataFrame:
+    """(lm_id, reaction_ord, reaction_id, reaction_name, type, enzyme_ids, pathway_ids, role, pos): one a participant with one of ``ids``.
 
     Kept at the level of ids; ``lipid_reactions`` expands it to lipid rows late, since many rows can
-    share an id and an id many reactions.
+    share an id and an id many reactions. ``details`` adds the whole reaction as JSON text.
     """
-    kind = F.coalesce(F.col("type"), F.lit("species-level")) if "type" in reactions.columns else F.lit("species-level")
-    each = participants(reactions).join(reactions.select("reaction_ord", kind.alias("type")), "reaction_ord")
-    named = each.select(
-        F.col("compound.compound_lm_id").alias("lm_id"), "reaction_ord", F.coalesce(F.col("reaction_id").cast("string"), F.lit("")).alias("reaction_id"),
-        F.coalesce("reaction_name", F.lit("")).alias("reaction_name"), "type", "role", "pos",
+    listed = lambda c: F.col(c).cast("array<string>") if c in reactions.columns else F.lit(None).cast("array<string>")
+    kind = F.coalesce(filled(F.col("type")), F.lit("species-level")) if "type" in reactions.columns else F.lit("species-level")
+    ids = ids.where("lm_id <> ''").select("lm_id").distinct()
+    each = participants(reactions).select(F.col("compound.compound_lm_id").alias("lm_id"), "reaction_ord", "role", "pos").join(ids, "lm_id", "left_semi")
+    whole = [F.to_json(F.struct(*[c for c in _DETAILS if c in reactions.columns])).alias("details")] if details else []
+    about = reactions.select(
+        "reaction_ord", F.coalesce(F.col("reaction_id").cast("string"), F.lit("")).alias("reaction_id"), F.coalesce("reaction_name", F.lit("")).alias("reaction_name"),
+        kind.alias("type"), listed("enzyme_ids").alias("enzyme_ids"), listed("pathway_ids").alias("pathway_ids"), *whole,
     )
-    return named.join(ids.where("lm_id <> ''").select("lm_id").distinct(), "lm_id", "left_semi")
+    return each.join(about, "reaction_ord").select("lm_id", *about.columns[:6], "role", "pos", *about.columns[6:])
 
 
 def lipid_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def lipid_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
 
 def nested_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
     """``lipids`` with the list of their links in order; empty without match, null without id."""
-    order = F.struct("reaction_ord", (F.col("role") == "product").alias("second"), "pos", "reaction_id", "reaction_name", "type", "role")
+    order = F.struct("reaction_ord", (F.col("role") == "product").alias("second"), "pos", "reaction_id", "reaction_name", "type", "enzyme_ids", "pathway_ids", "role", *["details"][: "details" in links.columns])
     lists = links.groupBy("lm_id").agg(F.array_sort(F.collect_list(order)).alias("reactions"))
     empty = F.array().cast(lists.schema["reactions"].dataType)
     return lipids.join(lists, "lm_id", "left").withColumn("reactions", F.when(F.coalesce("lm_id", F.lit("")) != "", F.coalesce("reactions", empty)))
@@ -84,9 +90,10 @@ def edges(reactions: DataFrame) -> DataFrame:
 
 
 def graph_size(edge_table: DataFrame) -> DataFrame:
-    """(nodes, edges)."""
-    ends = edge_table.select(F.col("src").alias("id")).unionByName(edge_table.select(F.col("dst").alias("id"))).distinct()
-    return ends.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(edge_table.agg(F.count(F.lit(1)).alias("edges"))))
+    """(nodes, edges), the edges being read once: an edge is listed under its source and its target."""
+    ends = edge_table.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("edge")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("edge")))).alias("end")).select("end.*")
+    per_node = ends.groupBy("id").agg(F.sum("edge").alias("edges"))
+    return per_node.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"))
 
 
 def complete_reactions(reactions: DataFrame, ids: DataFrame, complete: bool = True) -> DataFrame:
@@ -114,12 +121,37 @@ def component_quantities(reactions: DataFrame, lipids: DataFrame, quant: DataFra
     return each.join(per_id, "lm_id").select("reaction_ord", "role", "lm_id", "sample_id", "value")
 
 
+def _sides(reactions: DataFrame) -> DataFrame:
+    return participants(reactions).select("reaction_ord", "role", filled(F.col("compound.compound_lm_id")).alias("lm_id")).where("lm_id is not null").distinct()
+
+
+def compound_links(reactions: DataFrame) -> DataFrame:
+    """(lm_id, producers, consumers, links): the compounds that link reactions, and how many pairs of reactions each links.
+
+    One row a compound, counted before the shuffle: a hub makes producers x consumers links, which are
+    counted here and listed by ``next_reactions`` only on request. ``links`` leaves out a reaction with itself.
+    """
+    sides = _sides(reactions)
+    both = sides.groupBy("reaction_ord", "lm_id").agg((F.count(F.lit(1)) == 2).alias("loop"), F.min("role").alias("role"))
+    made, used = F.count_if(F.col("loop") | (F.col("role") == "product")), F.count_if(F.col("loop") | (F.col("role") == "reactant"))
+    counts = both.groupBy("lm_id").agg(made.alias("producers"), used.alias("consumers"), F.count_if("loop").alias("loops"))
+    return counts.where("producers > 0 and consumers > 0").select("lm_id", "producers", "consumers", (F.col("producers") * F.col("consumers") - F.col("loops")).alias("links"))
+
+
+#: Producers of one compound go to as many parts of about this size; its consumers are copied to each part.
+HUB = 1000
+
+
 def next_reactions(reactions: DataFrame) -> DataFrame:
-    """(src, dst): reaction ``dst`` takes a product of reaction ``src``; ids shared twice count once."""
-    ids = participants(reactions).select("reaction_ord", "role", filled(F.col("compound.compound_lm_id")).alias("lm_id")).where("lm_id is not null").distinct()
-    made = ids.where("role = 'product'").select(F.col("reaction_ord").alias("src"), "lm_id")
-    used = ids.where("role = 'reactant'").select(F.col("reaction_ord").alias("dst"), "lm_id")
-    return made.join(used, "lm_id").where("src <> dst").select("src", "dst").distinct()
+    """(src, dst): reaction ``dst`` takes a product of reaction ``src``; ids shared twice count once.
+
+    A hub's producers are dealt over parts, so that no task makes all of its links.
+    """
+    ids = _sides(reactions)
+    parts = compound_links(reactions).where("links > 0").select("lm_id", F.ceil(F.col("producers") / HUB).cast("int").alias("parts"))
+    made = ids.where("role = 'product'").join(parts, "lm_id").select(F.col("reaction_ord").alias("src"), "lm_id", F.pmod(F.xxhash64("reaction_ord"), F.col("parts")).cast("int").alias("part"))
+    used = ids.where("role = 'reactant'").join(parts, "lm_id").select(F.col("reaction_ord").alias("dst"), "lm_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return made.join(used, ["lm_id", "part"]).where("src <> dst").select("src", "dst").distinct()
 
 
 def chains(reactions: DataFrame, hops: int) -> DataFrame:

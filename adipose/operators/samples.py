@@ -33,5 +33,5 @@ def with_labels(samples: DataFrame, columns: DataFrame, by: str = "name", lipid_
     label = filled(F.trim("label")).alias("label")
     if by == "name":
         last = columns.groupBy("dataset_id", F.col("column").alias("sample_id")).agg(F.max_by("label", "col_idx").alias("label"))
-        return samples.join(F.broadcast(last.select("dataset_id", "sample_id", label)), ["dataset_id", "sample_id"], "left")
-    return samples.join(F.broadcast(columns.where("col_idx > 0").select("dataset_id", (F.col("col_idx") - 1).alias("ordinal"), label)), ["dataset_id", "ordinal"], "left")
+        return samples.join(last.select("dataset_id", "sample_id", label), ["dataset_id", "sample_id"], "left")
+    return samples.join(columns.where("col_idx > 0").select("dataset_id", (F.col("col_idx") - 1).alias("ordinal"), label), ["dataset_id", "ordinal"], "left")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def lipid_group_values(quant: DataFrame, samples: DataFrame) -> DataFrame:
-    """(dataset_id, group, row_idx, input_name, mean, std, n): population std, 0 for one value."""
+    """(dataset_id, group, row_idx, input_name, mean, std, n): population std, 0 for one value.
+
+    A sample that a repeated header lists twice counts twice, each time with the last column's value.
+    """
     joined = quant.join(samples.select("dataset_id", "sample_id", "group"), ["dataset_id", "sample_id"])
     return joined.groupBy("dataset_id", "group", "row_idx", "input_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
 
@@ -43,6 +46,7 @@ def grouped_data(quant: DataFrame, samples: DataFrame) -> DataFrame:
     """
     groups = samples.groupBy("dataset_id").agg(F.array_sort(F.collect_set("group")).alias("groups"))
     rows = quant.select("dataset_id", "row_idx", "input_name").distinct().join(groups, "dataset_id").withColumn("group", F.explode("groups")).drop("groups")
-    joined = quant.join(samples.select("dataset_id", "sample_id", "group"), ["dataset_id", "sample_id"])
+    listed = samples.select("dataset_id", "sample_id", "group").distinct()  # a repeated header lists a sample twice
+    joined = quant.join(listed, ["dataset_id", "sample_id"])
     maps = joined.groupBy("dataset_id", "group", "row_idx").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("sample_id", "value")))).alias("values"))
     return rows.join(maps, ["dataset_id", "group", "row_idx"], "left").withColumn("values", F.coalesce("values", F.create_map().cast("map<string,double>")))

@@ -3,6 +3,9 @@
 The first column holds names and all others are samples. ``issues`` is (dataset_id, check_id,
 severity, category, message, location, suggestion), location a JSON text. A table without rows is
 only told so (V1).
+
+The rows are read four times, whatever the number of checks: for the counts of all columns and row
+flags, for the first examples of each, for the findings that are a row each, and for repeated names.
 """
 
 from __future__ import annotations
@@ -13,50 +16,79 @@ from pyspark.sql import functions as F
 from ..functions.text import number, strip
 
 # fixed values: severities, share of missing values that warns, share of zeros, length of a short name, examples
-CRITICAL, ERROR, WARNING, INFO = "critical", "error", "warning", "info"
+CRITICAL, ERROR, WARNING, INFO = LEVELS = "critical", "error", "warning", "info"
 MISSING_WARNS, ZEROS_WARN, SHORT_NAME = 10.0, 0.5, 3
 PLACEHOLDERS = {"numbers only": r"^\d+$", "NA": r"^[Nn][Aa]$", "unknown": r"^[Uu]nknown"}
 
 
-def _issue(rows: DataFrame, check: str, severity: str | Column, category: str, message: Column, location: Column | None = None, suggestion: str = "") -> DataFrame:
-    level = severity if isinstance(severity, Column) else F.lit(severity)
+def _found(when: Column, check: str, severity: str | Column, category: str, message: Column, location: Column | None = None, suggestion: str | Column = "") -> Column:
+    """The issue where ``when`` holds, else null."""
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
     where = F.lit(None).cast("string") if location is None else F.to_json(location)
-    return rows.select("dataset_id", F.lit(check).alias("check_id"), level.alias("severity"), F.lit(category).alias("category"), message.alias("message"), where.alias("location"), F.lit(suggestion).alias("suggestion"))
+    fields = {"check_id": F.lit(check), "severity": text(severity), "category": F.lit(category), "message": message, "location": where, "suggestion": text(suggestion)}
+    return F.when(when, F.struct(*[c.alias(k) for k, c in fields.items()]))
+
+
+def _issues(rows: DataFrame, found: list[Column]) -> DataFrame:
+    return rows.select("dataset_id", F.explode(F.array_compact(F.array(*found))).alias("issue")).select("dataset_id", "issue.*")
 
 
 def _text(pattern: str, *columns: str | Column) -> Column:
     return F.format_string(pattern, *[F.col(c) if isinstance(c, str) else c for c in columns])
 
 
-def cell_table(raw_rows: DataFrame) -> DataFrame:
-    """(dataset_id, row_idx, col_idx, text, value) of the sample cells."""
-    cells = raw_rows.select("dataset_id", "row_idx", F.posexplode("cells").alias("col_idx", "raw")).where("col_idx > 0")
-    text = strip(F.coalesce("raw", F.lit("")))
-    return cells.select("dataset_id", "row_idx", "col_idx", text.alias("text"), number(text).alias("value"))
+def _first(cells: str = "cells") -> Column:
+    return strip(F.coalesce(F.get(cells, F.lit(0)), F.lit("")))
+
+
+def entries(raw_rows: DataFrame) -> DataFrame:
+    """(dataset_id, row_idx, col_idx, text, value, blank): a row a sample cell, and one with col_idx -1 a row, its text being the name."""
+    blank = ~F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x: strip(F.coalesce(x, F.lit(""))) != "")
+    each = raw_rows.select("dataset_id", "row_idx", blank.alias("blank"), F.posexplode(F.concat(F.slice("cells", 1, 1), "cells")).alias("col_idx", "raw")).where("col_idx <> 1")
+    cell = each.select("dataset_id", "row_idx", (F.col("col_idx") - 1).alias("col_idx"), strip(F.coalesce("raw", F.lit(""))).alias("text"), "blank")
+    return cell.withColumn("value", F.when(F.col("col_idx") > 0, number(F.col("text"))))
 
 
-def column_counts(cells: DataFrame) -> DataFrame:
-    """Per sample column, in one shuffle: total, missing, non_numeric, negative, zero, numeric."""
-    filled = F.col("text") != ""
+def _flags() -> dict[str, Column]:
+    """What is counted of entries, and shown by examples."""
+    cell, name = F.col("col_idx") > 0, F.col("col_idx") < 0
+    return {
+        "non_numeric": cell & (F.col("text") != "") & F.col("value").isNull(), "negative": cell & (F.col("value") < 0),
+        "short": name & (F.col("text") != "") & (F.length("text") < SHORT_NAME), **{k: name & F.col("text").rlike(p) for k, p in PLACEHOLDERS.items()}, "blank": name & F.col("blank"),
+    }
+
+
+def counts(cells: DataFrame) -> DataFrame:
+    """Per column, and per dataset at col_idx -1, in one shuffle: total, missing, zero, numeric and what ``_flags`` names."""
+    cell = F.col("col_idx") > 0
     return cells.groupBy("dataset_id", "col_idx").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~filled).alias("missing"), F.count_if(filled & F.col("value").isNull()).alias("non_numeric"),
-        F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.col("value") == 0).alias("zero"), F.count("value").alias("numeric"),
+        F.count(F.lit(1)).alias("total"), F.count_if(cell & (F.col("text") == "")).alias("missing"), F.count_if(cell & (F.col("value") == 0)).alias("zero"), F.count("value").alias("numeric"),
+        *[F.count_if(c).alias(k) for k, c in _flags().items()],
     )
 
 
-def _examples(cells: DataFrame, bad: Column, name: str) -> DataFrame:
-    """The first three (row, text) of the cells that are bad, by column; ranked, not gathered."""
-    rank = F.row_number().over(Window.partitionBy("dataset_id", "col_idx").orderBy("row_idx"))
-    top = cells.where(bad).withColumn("rank", rank).where("rank <= 3")
-    return top.groupBy("dataset_id", "col_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("row_idx").alias("row"), "text"))).alias(name))
+def column_counts(raw_rows: DataFrame) -> DataFrame:
+    """(dataset_id, col_idx, total, missing, non_numeric, negative, zero, numeric) of the sample columns."""
+    return counts(entries(raw_rows)).where("col_idx > 0").select("dataset_id", "col_idx", "total", "missing", "non_numeric", "negative", "zero", "numeric")
 
 
-def name_table(raw_rows: DataFrame) -> DataFrame:
-    return raw_rows.select("dataset_id", "row_idx", strip(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))).alias("name"))
+def _examples(cells: DataFrame) -> DataFrame:
+    """(dataset_id, col_idx, examples): the first ten of each flag; ranked before the shuffle, so no column is gathered."""
+    kinds = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in _flags().items()]))
+    flagged = cells.select("dataset_id", "col_idx", "row_idx", "text", F.explode(kinds).alias("kind"))
+    rank = F.row_number().over(Window.partitionBy("dataset_id", "col_idx", "kind").orderBy("row_idx"))
+    top = flagged.withColumn("rank", rank).where("rank <= 10")
+    return top.groupBy("dataset_id", "col_idx").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("row_idx").alias("row"), "text"))).alias("examples"))
+
 
+def _of(kind: str, n: int, field: str | None = None) -> Column:
+    """The first n examples of a flag: (row, text), or one of the two."""
+    some = F.slice(F.filter("examples", lambda x: x["kind"] == kind), 1, n)
+    return F.transform(some, lambda x: x[field] if field else F.struct(x["row"].alias("row"), x["text"].alias("text")))
 
-def _first_names(n: int) -> Column:
-    return F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("row_idx", "name")))), 1, n), lambda x: x["name"])
+
+def name_table(raw_rows: DataFrame) -> DataFrame:
+    return raw_rows.select("dataset_id", "row_idx", _first().alias("name"))
 
 
 def duplicate_names(names: DataFrame) -> DataFrame:
@@ -64,99 +96,89 @@ def duplicate_names(names: DataFrame) -> DataFrame:
     return names.where("name <> ''").groupBy("dataset_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
 
 
-def structure_issues(columns: DataFrame, row_counts: DataFrame, raw_rows: DataFrame, min_samples: int = 1, min_lipids: int = 1) -> DataFrame:
-    """V1 to V7. ``row_counts`` is (dataset_id, rows), 0 for a table without rows."""
-    empty = row_counts.where("rows = 0")
-    some = row_counts.where("rows > 0")
-    width = columns.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("columns"), F.collect_list(F.when(F.trim("column") == "", F.col("col_idx"))).alias("blank"))
-    here = some.join(width, "dataset_id", "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
-    again = columns.groupBy("dataset_id", "column").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("dataset_id").agg(F.array_sort(F.collect_list("column")).alias("names")).join(some, "dataset_id", "left_semi")
-    extra = raw_rows.where(F.size("extra_fields") > 0)
-    short = raw_rows.where(F.size("missing_columns") > 0)
-    parts = [
-        _issue(empty, "V1", CRITICAL, "structure", F.lit("no data rows")),
-        _issue(here.where("columns < 2"), "V2", CRITICAL, "structure", _text("%d columns, at least 2 are needed", "columns")),
-        _issue(again, "V3", ERROR, "structure", _text("duplicate headers: %s", F.array_join("names", ", "))),
-        _issue(here.where("size(blank) > 0"), "V4", WARNING, "structure", _text("blank headers at %s", F.array_join(F.array_sort("blank").cast("array<string>"), ", ")), F.struct(F.array_sort("blank").alias("columns"))),
-        _issue(extra, "V5", ERROR, "structure", _text("row %d has %d extra fields", "row_idx", F.size("extra_fields")), F.struct(F.col("row_idx").alias("row"))),
-        _issue(short, "V5", ERROR, "structure", _text("row %d lacks %s", "row_idx", F.array_join("missing_columns", ", ")), F.struct(F.col("row_idx").alias("row"))),
-        _issue(here.where(F.col("columns") - 1 < min_samples), "V6", ERROR, "structure", _text("%d sample columns, at least %d are needed", F.col("columns") - 1, F.lit(min_samples))),
-        _issue(here.where(F.col("rows") < min_lipids), "V7", WARNING, "structure", _text("%d rows, at least %d are needed", "rows", F.lit(min_lipids))),
+def headers(columns: DataFrame) -> DataFrame:
+    """(dataset_id, width, repeated, unnamed) of each dataset's columns."""
+    names = columns.groupBy("dataset_id", "column").agg(F.count(F.lit(1)).alias("n"), F.min("col_idx").alias("first"), F.collect_list("col_idx").alias("at"))
+    again = F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("first", "column"))))
+    return names.groupBy("dataset_id").agg(
+        F.sum("n").alias("width"), F.transform(again, lambda x: x["column"]).alias("repeated"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.trim("column") == "", F.col("at"))))).alias("unnamed"),
+    )
+
+
+def sized(columns: DataFrame, cells: DataFrame) -> DataFrame:
+    """The counts of every column that ``columns`` lists, and of every dataset at col_idx -1 with its ``headers``."""
+    whole = headers(columns).select("dataset_id", F.lit(-1).alias("col_idx"), F.lit(None).cast("string").alias("column"), "width", "repeated", "unnamed")
+    each = columns.where("col_idx > 0").select("dataset_id", "col_idx", "column")
+    return whole.unionByName(each, allowMissingColumns=True).join(counts(cells), ["dataset_id", "col_idx"], "left").withColumn("rows", F.when(F.col("col_idx") < 0, F.coalesce("total", F.lit(0))))
+
+
+def counted_issues(columns: DataFrame, cells: DataFrame, min_samples: int = 1, min_lipids: int = 1, max_missing_percent: float = 50.0) -> DataFrame:
+    """V1 to V4, V6, V7, V9 to V12 and V14 to V16: what follows from counts, with the first examples."""
+    rows = sized(columns, cells).join(_examples(cells), ["dataset_id", "col_idx"], "left").withColumn("percent", F.try_divide(F.col("missing") * 100.0, F.col("total")))
+    here, samples, much = F.col("rows") > 0, F.col("width") - 1, F.col("percent") > max_missing_percent
+    column = F.struct("column")
+    shown = lambda kind, n, field=None: F.struct(_of(kind, n, field).alias("examples"))
+    both = lambda kind: F.struct("column", _of(kind, 3).alias("examples"))
+    found = [
+        _found(F.col("rows") == 0, "V1", CRITICAL, "structure", F.lit("no data rows"), None, "see whether the file was read as it should be"),
+        _found(here & (F.col("width") < 2), "V2", CRITICAL, "structure", _text("%d columns, at least 2 are needed", "width"), None, "give a column of names and one or more of samples"),
+        _found(here & (F.size("repeated") > 0), "V3", ERROR, "structure", _text("duplicate headers: %s", F.array_join("repeated", ", ")), None, "give every column a header of its own"),
+        _found(here & (F.size("unnamed") > 0), "V4", WARNING, "structure", _text("blank headers at %s", F.array_join(F.col("unnamed").cast("array<string>"), ", ")), F.struct(F.col("unnamed").alias("columns")), "name every column"),
+        _found(here & (samples < min_samples), "V6", ERROR, "structure", _text("%d sample columns, at least %d are needed", samples, F.lit(min_samples)), F.struct(samples.alias("sample_count"))),
+        _found(here & (F.col("rows") < min_lipids), "V7", WARNING, "structure", _text("%d rows, at least %d are needed", "rows", F.lit(min_lipids)), F.struct(F.col("rows").alias("lipid_count"))),
+        _found((F.col("percent") > MISSING_WARNS) | much, "V9", F.when(much, ERROR).otherwise(WARNING), "missing_data", _text("%s: %.1f%% missing (%d/%d)", "column", "percent", "missing", "total"), F.struct("column", F.col("missing").alias("missing_count")), F.when(much, f"at most {max_missing_percent}% may be missing").otherwise("")),
+        _found(F.col("non_numeric") > 0, "V10", ERROR, "invalid_value", _text("%s: %d cells are not numbers", "column", "non_numeric"), both("non_numeric"), "sample cells must be numbers"),
+        _found(F.col("negative") > 0, "V11", WARNING, "invalid_value", _text("%s: %d negative values", "column", "negative"), both("negative"), "quantities are positive as a rule"),
+        _found((F.col("col_idx") > 0) & (F.col("zero") > ZEROS_WARN * F.col("numeric")), "V12", WARNING, "data_quality", _text("%s: %d of %d values are zero", "column", "zero", "numeric"), column),
+        _found(F.col("short") > 0, "V14", INFO, "data_quality", _text("%d short names", "short"), shown("short", 5, "text")),
+        *[_found(F.col(f"`{k}`") > 0, "V15", INFO, "data_quality", _text(f"%d placeholder names ({k})", F.col(f"`{k}`")), shown(k, 5, "text")) for k in PLACEHOLDERS],
+        _found(F.col("blank") > 0, "V16", WARNING, "data_consistency", _text("%d rows without any value", "blank"), F.struct(_of("blank", 10, "row").alias("rows")), "leave out rows without values"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def value_issues(cells: DataFrame, columns: DataFrame, max_missing_percent: float = 50.0) -> DataFrame:
-    """V9 to V12: one count per column for all four, and the first three examples of V10 and V11."""
-    named = column_counts(cells).join(F.broadcast(columns.select("dataset_id", "col_idx", "column")), ["dataset_id", "col_idx"])
-    named = named.withColumn("percent", F.try_divide(F.col("missing") * 100.0, F.col("total")))
-    bad = named.where("non_numeric > 0").join(_examples(cells, (F.col("text") != "") & F.col("value").isNull(), "examples"), ["dataset_id", "col_idx"])
-    low = named.where("negative > 0").join(_examples(cells, F.col("value") < 0, "examples"), ["dataset_id", "col_idx"])
-    at = F.struct("column")
-    level = F.when(F.col("percent") > max_missing_percent, ERROR).otherwise(WARNING)
-    parts = [
-        _issue(named.where((F.col("percent") > MISSING_WARNS) | (F.col("percent") > max_missing_percent)), "V9", level, "missing_data", _text("%s: %.1f%% missing (%d/%d)", "column", "percent", "missing", "total"), at),
-        _issue(bad, "V10", ERROR, "invalid_value", _text("%s: %d cells are not numbers", "column", "non_numeric"), F.struct("column", "examples")),
-        _issue(low, "V11", WARNING, "invalid_value", _text("%s: %d negative values", "column", "negative"), F.struct("column", "examples")),
-        _issue(named.where(F.col("zero") > ZEROS_WARN * F.col("numeric")), "V12", WARNING, "data_quality", _text("%s: %d of %d values are zero", "column", "zero", "numeric"), at),
+    return _issues(rows, found)
+
+
+def row_issues(raw_rows: DataFrame) -> DataFrame:
+    """V5 and V8: findings that are a row each."""
+    row = F.col("row_idx").alias("row")
+    found = [
+        _found(F.size("extra_fields") > 0, "V5", ERROR, "structure", _text("row %d has %d extra fields", "row_idx", F.size("extra_fields")), F.struct(row, "extra_fields"), "give every row as many delimiters as the header has"),
+        _found(F.size("missing_columns") > 0, "V5", ERROR, "structure", _text("row %d lacks %s", "row_idx", F.array_join("missing_columns", ", ")), F.struct(row, "missing_columns"), "give a value or a blank cell for every column"),
+        _found(_first() == "", "V8", ERROR, "missing_data", _text("row %d has no name", "row_idx"), F.struct(row)),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return _issues(raw_rows, found)
 
 
 def name_issues(raw_rows: DataFrame) -> DataFrame:
-    """V8 and V13 to V15."""
-    names = name_table(raw_rows)
-    rank = Window.partitionBy("dataset_id", "kind").orderBy("row_idx")
-    again = duplicate_names(names).withColumn("row_idx", F.col("first_row")).withColumn("kind", F.lit("dup"))
-    dup = again.withColumn("rank", F.row_number().over(rank)).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), _first_names(5).alias("names"))
-    kinds = [F.when((F.col("name") != "") & (F.length("name") < SHORT_NAME), F.lit("short"))] + [F.when(F.col("name").rlike(p), F.lit(k)) for k, p in PLACEHOLDERS.items()]
-    odd = names.select("dataset_id", "row_idx", "name", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
-    counts = odd.groupBy("dataset_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    first = odd.withColumn("rank", F.row_number().over(rank)).where("rank <= 5").groupBy("dataset_id", "kind").agg(_first_names(5).alias("names"))
-    odd = counts.join(first, ["dataset_id", "kind"])
-    where = F.struct(F.col("names").alias("examples"))
-    blank = _issue(names.where("name = ''"), "V8", ERROR, "missing_data", _text("row %d has no name", "row_idx"), F.struct(F.col("row_idx").alias("row")))
-    twice = _issue(dup, "V13", WARNING, "data_consistency", _text("%d names are repeated", "n"), where)
-    short = _issue(odd.where("kind = 'short'"), "V14", INFO, "data_quality", _text("%d short names", "n"), where)
-    holder = _issue(odd.where("kind <> 'short'"), "V15", INFO, "data_quality", _text("%d placeholder names (%s)", "n", "kind"), where)
-    return blank.unionByName(twice).unionByName(short).unionByName(holder)
-
-
-def empty_row_issues(raw_rows: DataFrame) -> DataFrame:
-    """V16: rows without a value in any sample column; the test is made on the row's own cells."""
-    none = raw_rows.where(~F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x: strip(F.coalesce(x, F.lit(""))) != ""))
-    counts = none.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("row_idx"))
-    first = none.select("dataset_id", "row_idx").withColumn("rank", rank).where("rank <= 10").groupBy("dataset_id").agg(F.array_sort(F.collect_list("row_idx")).alias("rows"))
-    return _issue(counts.join(first, "dataset_id"), "V16", WARNING, "data_consistency", _text("%d rows without any value", "n"), F.struct("rows"))
-
-
-def summary(columns: DataFrame, row_counts: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
+    """V13: repeated names, counted, and the first five."""
+    again = duplicate_names(name_table(raw_rows))
+    number_of = again.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("first_row"))
+    top = again.withColumn("rank", rank).where("rank <= 5").groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("first_row", "name"))).alias("top"))
+    names = F.struct(F.transform("top", lambda x: x["name"]).alias("examples"))
+    return _issues(number_of.join(top, "dataset_id"), [_found(F.lit(True), "V13", WARNING, "data_consistency", _text("%d names are repeated", "n"), names, "use names of their own, or sum up equal ones")])
+
+
+def summary(columns: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
     """V17 and V18: one row per dataset with sizes, completeness, verdict and counts by severity."""
-    width = columns.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("total_columns"))
-    filled = cells.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("text") != "").alias("full"))
-    levels = issues.groupBy("dataset_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in (CRITICAL, ERROR, WARNING, INFO)])
-    joined = row_counts.withColumnRenamed("rows", "total_rows").join(width, "dataset_id", "left").join(filled, "dataset_id", "left").join(levels, "dataset_id", "left").na.fill(0)
+    size = sized(columns, cells).groupBy("dataset_id").agg(
+        F.max("rows").alias("total_rows"), F.max("width").alias("total_columns"), F.sum(F.when(F.col("col_idx") > 0, F.col("total"))).alias("cells"), F.sum(F.when(F.col("col_idx") > 0, F.col("total") - F.col("missing"))).alias("full")
+    )
+    levels = issues.groupBy("dataset_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in LEVELS])
+    joined = size.join(levels, "dataset_id", "left").na.fill(0)
     complete = F.coalesce(F.bround(F.try_divide(F.col("full") * 100.0, F.col("cells")), 2), F.lit(0.0))
     return joined.select(
         "dataset_id", "total_rows", "total_columns", F.greatest(F.col("total_columns") - 1, F.lit(0)).alias("sample_columns"), complete.alias("completeness_percent"),
         ((F.col("critical_count") == 0) & (F.col("error_count") == 0)).alias("validation_passed"), (F.col("warning_count") > 0).alias("has_warnings"),
-        *[f"{s}_count" for s in (CRITICAL, ERROR, WARNING, INFO)],
+        *[f"{s}_count" for s in LEVELS],
     )
 
 
 def validate(raw_rows: DataFrame, columns: DataFrame, min_samples: int = 1, min_lipids: int = 1, max_missing_percent: float = 50.0) -> tuple[DataFrame, DataFrame]:
     """(issues, summary) of all datasets that ``columns`` lists."""
-    rows = raw_rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"))
-    counts = columns.select("dataset_id").distinct().join(rows, "dataset_id", "left").select("dataset_id", F.coalesce("rows", F.lit(0)).alias("rows"))
-    cells = cell_table(raw_rows)
-    issues = structure_issues(columns, counts, raw_rows, min_samples, min_lipids)
-    for part in (value_issues(cells, columns, max_missing_percent), name_issues(raw_rows), empty_row_issues(raw_rows)):
-        issues = issues.unionByName(part)
-    return issues, summary(columns, counts, cells, issues)
+    cells = entries(raw_rows)
+    issues = counted_issues(columns, cells, min_samples, min_lipids, max_missing_percent).unionByName(row_issues(raw_rows)).unionByName(name_issues(raw_rows))
+    return issues, summary(columns, cells, issues)
 
 
 def required_columns(raw_rows: DataFrame, columns: DataFrame, required: list[str], quant: list[str]) -> DataFrame:
@@ -168,6 +190,6 @@ def required_columns(raw_rows: DataFrame, columns: DataFrame, required: list[str
     absent = wanted.join(columns.select("dataset_id", "column"), ["dataset_id", "column"], "left_anti").select("dataset_id", F.lit(None).cast("long").alias("row_idx"), F.concat(F.lit("missing column "), "column").alias("problem"))
     longer = raw_rows.where(F.size("extra_fields") > 0).select("dataset_id", "row_idx", F.lit("more fields than the header").alias("problem"))
     cells = raw_rows.select("dataset_id", "row_idx", "missing_columns", F.posexplode("cells").alias("col_idx", "raw"))
-    named = cells.join(F.broadcast(columns.where(F.col("column").isin(quant)).select("dataset_id", "col_idx", "column")), ["dataset_id", "col_idx"])
+    named = cells.join(columns.where(F.col("column").isin(quant)).select("dataset_id", "col_idx", "column"), ["dataset_id", "col_idx"])
     odd = named.where(number(F.col("raw")).isNull() & ~F.array_contains("missing_columns", F.col("column")))
     return absent.unionByName(longer).unionByName(odd.select("dataset_id", "row_idx", F.concat(F.lit("not a number in "), "column").alias("problem")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,7 +23,6 @@ from ..functions.text import strip
 DELIMITERS = [",", "\t", ";", "|"]
 HEAD = 8192
 MSDIAL = ["alignment id", "average rt", "metabolite name", "ms-dial"]
-MORE = 64
 
 
 def delimiter(text: Column) -> Column:
@@ -51,65 +51,98 @@ def ragged(cells: Column, columns: list[str]) -> tuple[Column, Column, Column]:
     return full, missing, extra
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", has_labels: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(raw_rows, columns) of one table whose files share a header; splittable, so any size.
+class Batch(NamedTuple):
+    """What a reader found: rows, columns, one line per file, and files that failed."""
+
+    raw_rows: DataFrame
+    columns: DataFrame
+    datasets: DataFrame
+    errors: DataFrame
+
+
+def fields(line: Column, sep: str) -> Column:
+    """The fields of one line: quoted ones may hold the delimiter and doubled quotes, as many as there are."""
+    d = re.escape(sep)
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{d}("[^"]*+(?:""[^"]*+)*+"[^{d}]*|[^{d}]*)'), F.lit(1))
+    body = lambda x: F.replace(F.regexp_extract(x, '(?s)^"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"'))
+    behind = lambda x: F.regexp_replace(x, '(?s)^"[^"]*+(?:""[^"]*+)*+"', "")
+    return F.transform(found, lambda x: strip(F.when(x.startswith('"'), F.concat(body(x), behind(x))).otherwise(x)))
 
-    A missing path is an error. Wholly empty lines are skipped. With ``has_labels`` the first data
-    row becomes the labels. Only rows that Spark flags as ragged are split again.
+
+def read_dataset(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, has_labels: bool = False) -> Batch:
+    """One table whose files share a header: rows, columns and what was found out about it.
+
+    A missing path is an error. Wholly empty lines are skipped, lines of blanks are short rows. One
+    pass over the bytes decides the encoding (UTF-8, else Latin-1) and whether a quoted field can run
+    over a line end. If none can, lines are split where they are read, so the files may have any size;
+    else each file is parsed as one record by the parser of ``read_batch``. The delimiter is counted
+    in the first 8192 characters; an MS-DIAL header means tabs. With ``has_labels`` the first data row
+    becomes the labels.
     """
-    if sep is None:
-        head = spark.read.text(path, wholetext=False).limit(20).agg(F.array_join(F.collect_list("value"), "\n").alias("head"))
-        sep = head.select(delimiter(F.col("head"))).first()[0]
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
-    first = spark.read.option("sep", sep).option("encoding", encoding).csv(path).limit(1).collect()
-    names = [(x or "").strip() for x in first[0]] if first else []
-    fields = [f"c{k}" for k in range(len(names))]
-    schema = ", ".join(f"{f} string" for f in [*fields, "__flagged"])
-    rows = with_row_idx(reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__flagged").schema(schema).csv(path))
-    again = F.from_csv("__flagged", F.lit(", ".join(f"c{k} string" for k in range(len(names) + MORE))), {"sep": sep})
-    # fields that a line does not have are null behind its last comma; an empty field is null too, so fields are counted
-    count = F.length(F.regexp_replace(F.regexp_replace("__flagged", '"(?:[^"]|"")*"', ""), f"[^{sep}]" if sep != "|" else "[^|]", "")) + 1
-    parts = F.slice(F.array(*[F.coalesce(again[f"c{k}"], F.lit("")) for k in range(len(names) + MORE)]), 1, F.greatest(count, F.lit(1)))
-    plain = F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields])
-    cells = F.transform(F.when(F.col("__flagged").isNull(), plain).otherwise(parts), strip)
-    full, missing, extra = ragged(F.col("cells"), names)
-    rows = rows.select(F.lit(path).alias("dataset_id"), "row_idx", cells.alias("cells")).select("dataset_id", "row_idx", full.alias("cells"), missing.alias("missing_columns"), extra.alias("extra_fields"))
+    lines = spark.read.text(path)
+    found = lines.agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("odd_bytes"),
+        F.count_if((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open_quotes"),
+    ).first()
+    encoding = encoding or ("latin-1" if found["odd_bytes"] else "utf-8")
+    kind = "ISO-8859-1" if encoding.lower() in ("latin-1", "iso-8859-1") else encoding.upper()
+    text = F.col("value") if kind == "UTF-8" else F.decode(F.col("value").cast("binary"), kind)
+    head = "\n".join(r["value"] for r in lines.select(F.substring(text, 1, HEAD).alias("value")).limit(HEAD).collect())[:HEAD]
+    header = lines.select(text.alias("value")).where("value <> ''").limit(1).collect()
+    form = "msdial" if header and any(m in header[0]["value"].lower() for m in MSDIAL) else "standard"
+    sep = sep or ("\t" if form == "msdial" else max(DELIMITERS, key=head.count))
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long")).first()[0]
+    if found["open_quotes"]:
+        parsed = read_batch(spark, path, sep, has_labels=False, encoding=encoding)
+        rows = with_row_idx(parsed.raw_rows.drop("row_idx", "dataset_id"))
+        first = parsed.columns.groupBy("col_idx").agg(F.min(F.struct("dataset_id", "column")).alias("c")).orderBy("col_idx").collect()
+        names = [r["c"]["column"] for r in first]
+    else:
+        names = [x.strip() for x in next(csv.reader([header[0]["value"]], delimiter=sep), [])] if header else []
+        placed = lines.select(text.alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where("line <> ''")
+        heads = placed.where("block = 0").groupBy("file").agg(F.min("at").alias("at"))
+        full, missing, extra = ragged(F.col("cells"), names)
+        # one row a file, so it is broadcast whatever the table's size, and rows stay where they are read
+        data = placed.join(F.broadcast(heads), ["file", "at"], "left_anti").select(fields(F.col("line"), sep).alias("cells"))
+        rows = with_row_idx(data).select("row_idx", full.alias("cells"), missing.alias("missing_columns"), extra.alias("extra_fields"))
+    rows = rows.select(F.lit(path).alias("dataset_id"), "row_idx", "cells", "missing_columns", "extra_fields")
     labels: list[str | None] = [None] * len(names)
     if has_labels:
         top = rows.where("row_idx = 1").first()
         labels = list(top["cells"]) if top else labels
         rows = rows.where("row_idx > 1").withColumn("row_idx", F.col("row_idx") - 1)
     columns = spark.createDataFrame([(path, k, name, label) for k, (name, label) in enumerate(zip(names, labels))], "dataset_id string, col_idx int, column string, label string")
-    return rows, columns
+    about = spark.createDataFrame([(path, path, sep, encoding, size, form)], "dataset_id string, source_file string, delimiter string, encoding string, file_size_bytes long, format_type string")
+    return Batch(rows, columns, about, spark.createDataFrame([], "dataset_id string, error string"))
 
 
-class Batch(NamedTuple):
-    """What ``read_batch`` found: rows, columns, one line per file, and files that failed."""
-
-    raw_rows: DataFrame
-    columns: DataFrame
-    datasets: DataFrame
-    errors: DataFrame
+def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, has_labels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(raw_rows, columns) of ``read_dataset``."""
+    done = read_dataset(spark, path, sep, encoding, has_labels)
+    return done.raw_rows, done.columns
 
 
 _FIELDS = [("kind", pa.string()), ("dataset_id", pa.string()), ("at", pa.int64()), ("cells", pa.list_(pa.string())), ("missing_columns", pa.list_(pa.string())), ("extra_fields", pa.list_(pa.string())), ("text", pa.string()), ("label", pa.string()), ("size", pa.int64())]
 _PARSED = "kind string, dataset_id string, at long, cells array<string>, missing_columns array<string>, extra_fields array<string>, text string, label string, size long"
 
 
-def _decoded(content: bytes) -> tuple[str, str]:
+def _decoded(content: bytes, encoding: str | None = None) -> tuple[str, str]:
+    if encoding:
+        return content.decode(encoding), encoding
     try:
         return content.decode("utf-8"), "utf-8"
     except UnicodeDecodeError:
         return content.decode("latin-1"), "latin-1"
 
 
-def _file(path: str, content: bytes, sep: str | None, has_labels: bool) -> Iterator[tuple]:
-    text, encoding = _decoded(content)
+def _file(path: str, content: bytes, sep: str | None, has_labels: bool, encoding: str | None = None) -> Iterator[tuple]:
+    text, encoding = _decoded(content, encoding)
     lower = text[: text.find("\n") if "\n" in text else len(text)].lower()
     kind = "msdial" if any(m in lower for m in MSDIAL) else "standard"
     head = text[:HEAD]
     sep = sep or ("\t" if kind == "msdial" else max(DELIMITERS, key=head.count))
-    lines = ([x.strip() for x in row] for row in csv.reader(io.StringIO(text), delimiter=sep) if row)
+    lines = ([x.strip() for x in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if row)
     names = next(lines, [])
     labels = next(lines, None) if has_labels else None
     yield ("dataset", path, None, [kind, sep, encoding], None, None, None, None, len(content))
@@ -120,7 +153,7 @@ def _file(path: str, content: bytes, sep: str | None, has_labels: bool) -> Itera
         yield ("row", path, k, (cells + [""] * width)[:width], names[len(cells) :], cells[width:], None, None, None)
 
 
-def _parse(sep: str | None, has_labels: bool):
+def _parse(sep: str | None, has_labels: bool, encoding: str | None):
     schema = pa.schema(_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +161,7 @@ def _parse(sep: str | None, has_labels: bool):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows: list[tuple] = []
                 try:
-                    for row in _file(path, content.as_py(), sep, has_labels):
+                    for row in _file(path, content.as_py(), sep, has_labels, encoding):
                         rows.append(row)
                         if len(rows) == 5000:
                             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -141,15 +174,15 @@ def _parse(sep: str | None, has_labels: bool):
     return run
 
 
-def read_batch(spark: SparkSession, path: str | list[str], sep: str | None = None, has_labels: bool = False) -> Batch:
+def read_batch(spark: SparkSession, path: str | list[str], sep: str | None = None, has_labels: bool = False, encoding: str | None = None) -> Batch:
     """Many files with their own headers, delimiters and encodings, one file a record.
 
     A file that cannot be parsed gives a row in ``errors``; the others go on. UTF-8 falls back to
-    Latin-1, and the encoding used is reported. Spark passes over files of no bytes. Files of any size but single huge ones belong here;
-    those go through ``read_table``, which splits them.
+    Latin-1, and the encoding used is reported. Spark passes over files of no bytes. Files of any size but
+    single huge ones belong here; those go through ``read_dataset``, which splits them.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    parsed = files.mapInArrow(_parse(sep, has_labels), _PARSED)
+    parsed = files.mapInArrow(_parse(sep, has_labels, encoding), _PARSED)
     return Batch(
         parsed.where("kind = 'row'").select("dataset_id", F.col("at").alias("row_idx"), "cells", "missing_columns", "extra_fields"),
         parsed.where("kind = 'column'").select("dataset_id", F.col("at").cast("int").alias("col_idx"), F.col("text").alias("column"), "label"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import dashed, filled, first_filled
+from ..functions.text import dashed, filled, first_filled, number, strip
 
 # fixed values: header names of the name table and the fields they fill
 NAME_COLUMNS = {
@@ -23,7 +23,7 @@ NAME_COLUMNS = {
     "RefMet_ID": "refmet_id",
 }
 COMPOUND = "struct<compound_type:string,compound_name:string,compound_lm_id:string,compound_sys_name:string,compound_synonyms:string,compound_generic_id:string>"
-REACTION = f"struct<reaction_id:bigint,reaction_name:string,type:string,reactants:array<{COMPOUND}>,products:array<{COMPOUND}>,genes:array<{COMPOUND}>,proteins:array<map<string,string>>,curations:array<map<string,string>>,pathways:array<map<string,string>>>"
+REACTION = f"struct<reaction_id:bigint,id:bigint,reaction_name:string,type:string,enzyme_ids:array<string>,pathway_ids:array<string>,reactants:array<{COMPOUND}>,products:array<{COMPOUND}>,genes:array<{COMPOUND}>,proteins:array<map<string,string>>,curations:array<map<string,string>>,pathways:array<map<string,string>>>"
 STRUCTURE = "struct<input_name:string,name:string,lm_id:string,sys_name:string,abbrev:string,abbrev_chains:string,matched_field:string>"
 
 
@@ -62,11 +62,15 @@ def structures_from_json(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def structure_table(spark: SparkSession, path: str) -> DataFrame:
-    """Structure hits of a tab-separated file; header names in any case, empty is null."""
+    """Structure hits of a tab-separated file; header names in any case, empty is null.
+
+    ``abbrev_chains`` is a number here, null where the text is none; in JSON it stays as it is.
+    """
     raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     have = {c.lower(): c for c in raw.columns}
     names = [x.split(":")[0] for x in STRUCTURE.removeprefix("struct<").removesuffix(">").split(",")]
-    return raw.select(*[(filled(F.col(f"`{have[n]}`")) if n in have else F.lit(None).cast("string")).alias(n) for n in names])
+    cell = lambda n: filled(strip(F.col(f"`{have[n]}`"))) if n in have else F.lit(None).cast("string")
+    return raw.select(*[(number(cell(n)) if n == "abbrev_chains" else cell(n)).alias(n) for n in names])
 
 
 def structure_keys(table: DataFrame) -> DataFrame:
@@ -83,11 +87,13 @@ def structure_keys(table: DataFrame) -> DataFrame:
 def reactions_from_json(texts: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """Reactions of JSON arrays, one text a row; items that are no reactions are left out.
 
-    ``reaction_ord`` numbers them inside a text; ``order`` columns are carried along.
+    ``reaction_ord`` numbers them inside a text; ``order`` columns are carried along. ``id`` stands in
+    for a ``reaction_id`` that is absent.
     """
     items = texts.select(*(order or []), F.posexplode(F.from_json(text, "array<string>")).alias("reaction_ord", "item"))
     parsed = items.select(*(order or []), F.col("reaction_ord").cast("long"), F.from_json("item", REACTION).alias("r"))
-    return parsed.where("r.reaction_id is not null or r.reactants is not null or r.products is not null").select(*(order or []), "reaction_ord", "r.*")
+    named = parsed.withColumn("r", F.col("r").withField("reaction_id", F.coalesce("r.reaction_id", "r.id")).dropFields("id"))
+    return named.where("r.reaction_id is not null or r.reactants is not null or r.products is not null").select(*(order or []), "reaction_ord", "r.*")
 
 
 def headgroup_table(rows: DataFrame, valid_ids_only: bool = False) -> DataFrame:

@@ -55,6 +55,28 @@ def test_reactions(spark):
     assert nested == {1: [(0, "reactant"), (3, "product"), (4, "reactant")], 2: [], 3: None}
 
 
+def test_links_of_a_hub_are_counted_and_dealt(spark, monkeypatch):
+    c = lambda *k: [_compound("lm_main", None, f"LM{x}") for x in k]
+    rows = [(c(k, 0), c(k + 1, 0)) for k in range(1, 12)] + [(c(50), c(0)), (c(0), c(51))]
+    r = _reactions(spark, rows)
+    made, used = [{x[2] for x in b} for _, b in rows], [{x[2] for x in a} for a, _ in rows]
+    want = {(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and made[i] & used[j]}
+    for hub in (1000, 2):
+        monkeypatch.setattr(reactions, "HUB", hub)
+        assert {tuple(x) for x in reactions.next_reactions(r).collect()} == want
+    counts = {x.lm_id: (x.producers, x.consumers, x.links) for x in reactions.compound_links(r).collect()}
+    assert counts["LM0"] == (12, 12, 133) and counts["LM2"] == (1, 1, 1) and "LM50" not in counts
+
+
+def test_details_of_links(spark):
+    r = _reactions(spark, [([_compound("lm_main", "A", "LM1")], [])]).withColumn("enzyme_ids", F.array(F.lit("E1"))).withColumn("type", F.lit(""))
+    ids = spark.createDataFrame([(1, "a", "LM1")], "row_idx long, input_name string, lm_id string")
+    row = reactions.reaction_links(r, ids, details=True).first()
+    assert (row.reaction_id, row.type, row.enzyme_ids, row.pathway_ids, row.role) == ("100", "species-level", ["E1"], None, "reactant")
+    assert '"compound_name":"A"' in row.details
+    assert reactions.nested_reactions(ids, reactions.reaction_links(r, ids)).first().reactions[0].enzyme_ids == ["E1"]
+
+
 def test_chains_end_at_cycles(spark):
     c = lambda k: [_compound("lm_main", None, f"LM{k}")]
     r = _reactions(spark, [(c(1), c(2)), (c(2), c(3)), (c(3), c(1))])

@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +46,63 @@ def test_table_with_ragged_rows_and_labels(spark, tmp_path):
     assert [(r.column, r.label) for r in cols.orderBy("col_idx").collect()] == [("name", "Label"), ("a", "wt"), ("b", "hb")]
 
 
+def _plain(path, sep, encoding="utf-8"):
+    """Header and rows as the csv module has them, cells trimmed, wholly empty lines left out."""
+    with open(path, encoding=encoding, newline="") as f:
+        lines = [[x.strip() for x in r] for r in csv.reader(f, delimiter=sep) if r]
+    n = len(lines[0])
+    return lines[0], [((r + [""] * n)[:n], lines[0][len(r) :], r[n:]) for r in lines[1:]]
+
+
+def _read(spark, path, **options):
+    done = delimited.read_dataset(spark, str(path), **options)
+    rows = [(list(r.cells), list(r.missing_columns), list(r.extra_fields)) for r in done.raw_rows.orderBy("row_idx").collect()]
+    assert [r.row_idx for r in done.raw_rows.orderBy("row_idx").select("row_idx").collect()] == list(range(1, len(rows) + 1))
+    return [r.column for r in done.columns.orderBy("col_idx").collect()], rows, done.datasets.first()
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_tables_as_the_csv_module_reads_them(spark, tmp_path, multiline):
+    r = random.Random(5)
+    parts = ["a", "b c", ",", ";", '""', " ", "ü", "\\", "1"] + ["\n", "\r\n"] * multiline
+    cell = lambda: r.choice(["", " x ", 'PC ""y""', "\\n"]) if r.random() < 0.3 else '"' + "".join(r.choice(parts) for _ in range(r.randint(0, 6))) + '"' + r.choice(["", "", "tail"])
+    lines = ["name,s 1,s2"] + [",".join(cell().replace('PC ""y""', "PC y") for _ in range(r.choice([1, 2, 3, 3, 3, 5]))) for _ in range(300)]
+    lines += ["", "   ", ",,", '"PC ""x"" 1",1,2', "z" + ",9" * 90]
+    path = tmp_path / "t.csv"
+    path.write_text("\n".join(lines) + "\n", newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        names, rows, about = _read(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (names, rows) == _plain(path, ",")
+    assert (about.delimiter, about.encoding, about.format_type, about.file_size_bytes) == (",", "utf-8", "standard", path.stat().st_size)
+    assert len(rows[-1][2]) == 88
+
+
+def test_encodings_formats_and_heads(spark, tmp_path):
+    path = tmp_path / "latin.csv"
+    path.write_bytes("näme;s1\nsäure;1\n".encode("latin-1"))
+    names, rows, about = _read(spark, path)
+    assert (names, rows, about.encoding, about.delimiter) == (["näme", "s1"], [(["säure", "1"], [], [])], "latin-1", ";")
+    path = tmp_path / "msdial.txt"
+    path.write_text("Alignment ID\tx, y, z\t(a, b)\n1\t2\t3,4\n")
+    names, rows, about = _read(spark, path)
+    assert (names, rows, about.format_type) == (["Alignment ID", "x, y, z", "(a, b)"], [(["1", "2", "3,4"], [], [])], "msdial")
+    path = tmp_path / "short.csv"
+    path.write_text("a,b,c\n" + "1;2\n" * 200)  # the delimiter is counted in 8192 characters, not in the first lines
+    assert _read(spark, path)[2].delimiter == ";"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text("n,x\n" + f"p{k},{k}\n" * 3)
+    assert sorted(_read(spark, folder)[1]) == sorted([([f"p{k}", str(k)], [], [])] * 3 for k in range(3) for _ in [0])[0] + [([f"p{k}", str(k)], [], []) for k in (1, 2) for _ in range(3)]
+    (tmp_path / "none.csv").write_text("")
+    assert _read(spark, tmp_path / "none.csv")[:2] == ([], [])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        _read(spark, tmp_path / "absent.csv")
+
+
 def test_batch_of_unlike_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,x\np,1\nq,2,3\n")
     (tmp_path / "b.txt").write_bytes("n;x\nsäure;1\n".encode("latin-1"))
@@ -65,6 +125,10 @@ def test_structure_and_id_files(spark, tmp_path):
     (tmp_path / "s.tsv").write_text("Name\tLM_ID\tAbbrev\nPC\tLM1\t\n")
     row = ref.structure_table(spark, str(tmp_path / "s.tsv")).first()
     assert (row.name, row.lm_id, row.abbrev, row.sys_name) == ("PC", "LM1", None, None)
+    (tmp_path / "c.tsv").write_text("lm_id\tAbbrev_Chains\nLM1\t34.1\nLM2\t16:0_18:1\n")
+    assert [(r.lm_id, r.abbrev_chains) for r in ref.structure_table(spark, str(tmp_path / "c.tsv")).collect()] == [("LM1", 34.1), ("LM2", None)]
+    texts = spark.createDataFrame([('[{"id": 7, "reactants": []}, {"reaction_id": 3, "id": 8, "enzyme_ids": ["e"]}]',)], "text string")
+    assert [(r.reaction_id, r.enzyme_ids) for r in ref.reactions_from_json(texts).collect()] == [(7, None), (3, ["e"])]
     (tmp_path / "i.csv").write_text('lm_id,name\nLM1,"PE(13:0/18:4(6Z,9Z))"\n')
     assert ref.id_name_table(spark, str(tmp_path / "i.csv")).collect() == [("LM1", "PE(13:0/18:4(6Z,9Z))")]
     keys = ref.structure_keys(spark.createDataFrame([("PC", "LM2", "X", None, "b"), ("X", "LM1", "PC", "a", None)], "name string, lm_id string, sys_name string, abbrev string, abbrev_chains string"))
