@@ -7,7 +7,9 @@ one pass over a text, and Myers' bit-parallel search verifies the stretch around
 budget is never so large that pieces fall below ``LEAST_PIECE`` characters.
 
 The test items are a stated query set. They are handled in blocks of bounded size: each block is
-broadcast and run against all documents where they are read, so texts are never shuffled.
+broadcast and run against all documents where they are read, so texts are never shuffled. With more
+than one block each one's result is stored and its broadcast released before the next is collected,
+so driver and workers hold one block at a time.
 
 Defined results: null or blank items match nothing, nor do null or empty documents; an item that
 repeats matches under each of its ids; rows that repeat give a row each; rows without id are
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
+from .shared import stored
 
 RATE = 0.08
 LEAST_PIECE = 10
@@ -116,14 +119,14 @@ class Matcher:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_CHARACTERS, each small enough to broadcast."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """(whether it is the only one, items) of blocks of about BLOCK_CHARACTERS, each small enough to broadcast."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.length("text") + 50), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_CHARACTERS))
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield sorted(((r["item"], normal(r["text"])) for r in block.collect()), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
+        yield n == 1, sorted(((r["item"], normal(r["text"])) for r in block.collect()), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
 
 
 def _matcher(shared) -> Callable[[], Matcher]:
@@ -142,15 +145,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
     spark, parts = documents.sparkSession, []
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("match_end", pa.int64())])
-    for items in _blocks(benchmark, item_col, item_text):
-        get = _matcher(spark.sparkContext.broadcast((items, rate)))
+    for only, items in _blocks(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast((items, rate))
+        get = _matcher(shared)
 
         def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
             for part in ta.slices(batches, "text"):
                 rows = [(d, *m) for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for m in get().matches(x)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
 
-        parts.append(texts.mapInArrow(run, "doc_id long, item_id long, distance int, match_end long"))
+        found = texts.mapInArrow(run, "doc_id long, item_id long, distance int, match_end long")
+        parts.append(found if only else stored(found, "item-matches"))
+        if not only:
+            shared.destroy()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -160,12 +167,16 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``documents`` without the rows that hold any item."""
     spark, at = documents.sparkSession, documents.columns.index(text)
-    for items in _blocks(benchmark, item_col, item_text):
-        get = _matcher(spark.sparkContext.broadcast((items, rate)))
+    for only, items in _blocks(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast((items, rate))
+        get = _matcher(shared)
 
         def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
             for part in ta.slices(batches, text):
                 yield part.filter(pa.array([not get().matches(x, first=True) for x in part.column(at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
+        if not only:
+            documents = stored(documents, "clean-documents")
+            shared.destroy()
     return documents

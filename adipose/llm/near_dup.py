@@ -9,8 +9,9 @@
    id: one pair a member. Pairs whose collision-corrected estimate lies five standard errors
    below the threshold go; the others are confirmed on the full sets.
 4. Buckets whose members are then of one component are done, since more links change nothing.
-   In the others the members of different components are compared block against block: by
-   estimate, then on the full sets, and only links that join components are given out.
+   In the others the members of different components are compared block against block: first by
+   estimates from the stored registers; only members with a partner left send their texts, and
+   links on the full sets that join components are given out.
 5. Components of all confirmed links.
 
 The bands follow from the threshold: as many registers a band as leave a pair at the threshold a
@@ -220,14 +221,9 @@ def _cell(percent: int):
         names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
         found = []
         for i in range(len(ids)):
-            # within one block each pair once; between two blocks first against second
-            other = (ids > ids[i]) if key[1] == key[2] else (block == key[2]) & (block[i] == key[1])
-            other = np.flatnonzero(other & (label != label[i]))
+            other = _candidates(ids, block, label, bands, key, i)
             if not len(other):
                 continue
-            # a pair that meets in several buckets is looked at in the first of them
-            same = bands[other] == bands[i]
-            other = other[bands[i][same.argmax(axis=1)] == key[0]]
             other = other[_may_link(regs[i][None, :], regs[other], n[i], n[other], percent)]
             both = np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
             for j in other[100 * both >= percent * (n[other] + n[i] - both)].tolist():
@@ -239,10 +235,41 @@ def _cell(percent: int):
     return run
 
 
-def _open_links(rows: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between components in buckets that hold more than one, confirmed block against block.
+def _candidates(ids: np.ndarray, block: np.ndarray, label: np.ndarray, bands: np.ndarray, key: tuple, i: int) -> np.ndarray:
+    """The members of a cell that member i is compared with."""
+    # within one block each pair once; between two blocks first against second
+    other = (ids > ids[i]) if key[1] == key[2] else (block == key[2]) & (block[i] == key[1])
+    other = np.flatnonzero(other & (label != label[i]))
+    if not len(other):
+        return other
+    # a pair that meets in several buckets is looked at in the first of them
+    same = bands[other] == bands[i]
+    return other[bands[i][same.argmax(axis=1)] == key[0]]
 
-    A cell holds the full sets of two blocks and gives links enough to join what they join.
+
+def _estimated_cell(percent: int):
+    """The members of a cell that have a partner by estimate."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, block, label, n = (pdf[c].to_numpy() for c in ("doc_id", "block", "label", "n_shingles"))
+        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, BUCKETS)
+        bands, keep = band_keys(regs, percent), np.zeros(len(ids), bool)
+        for i in range(len(ids)):
+            other = _candidates(ids, block, label, bands, key, i)
+            if len(other):
+                other = other[_may_link(regs[i][None, :], regs[other], n[i], n[other], percent)]
+                keep[other] = True
+                keep[i] |= len(other) > 0
+        return pdf.loc[keep, ["key", "first", "second", "doc_id", "label", "block"]]
+
+    return run
+
+
+def _open_links(rows: DataFrame, heads: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between components in buckets that hold more than one, compared block against block.
+
+    A cell holds the registers of two blocks, then the full sets of those with a partner, and gives
+    links enough to join what they join.
     """
     named = rows.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     still = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
@@ -250,7 +277,9 @@ def _open_links(rows: DataFrame, texts: DataFrame, labels: DataFrame, percent: i
     member = named.join(still.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "doc_id", "label", "block")
-    return member.join(texts, "doc_id").groupBy("key", "first", "second").applyInPandas(_cell(percent), "a long, b long").distinct()
+    cell = ["key", "first", "second"]
+    near = stored(member.join(heads, "doc_id").groupBy(*cell).applyInPandas(_estimated_cell(percent), "key long, first int, second int, doc_id long, label long, block int"), "estimated-cells")
+    return near.join(texts, "doc_id").groupBy(*cell).applyInPandas(_cell(percent), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +303,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str =
     close = stored(_close_pairs(star, heads, percent), "star-pairs")
     links = stored(_links(close, texts, percent), "star-links")
     labels = stored(components(links), "star-components")
-    more = stored(_open_links(members.select("key", "doc_id"), texts, labels, percent), "open-links")
+    more = stored(_open_links(members.select("key", "doc_id"), heads, texts, labels, percent), "open-links")
     if not more.isEmpty():
         labels = stored(components(links.unionByName(more)), "components")
     of_set = classes.join(labels, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

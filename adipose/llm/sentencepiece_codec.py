@@ -35,7 +35,7 @@ from . import text_arrays as ta
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 150_000
+MEMO_CHARACTERS = 2_500_000
 BATCH_CHARACTERS = 400_000
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -186,16 +186,18 @@ def encode_cuts(cuts: list[str], model: Pieces) -> list[bytes]:
 @functools.cache
 def encoder(path: str):
     """A function from texts to int32 id bytes; its memory of cuts outlives the task in a reused worker."""
-    model, known = pieces(path), {}
+    model, known, kept = pieces(path), {}, [0]
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        if len(known) > MEMO:
+        if kept[0] > MEMO_CHARACTERS:
             known.clear()
+            kept[0] = 0
         cut = [_CUT.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         new, part, held = {p for x in cut for p in x if p not in known}, [], 0
         for p in new:
             part.append(p)
             held += len(p) + 1
+            kept[0] += len(p) + 8
             if held >= BATCH_CHARACTERS:
                 known.update(zip(part, encode_cuts(part, model)))
                 part, held = [], 0

@@ -2,8 +2,10 @@
 
 Vectors are packed into shards of some thousand rows, queries into tiles; the grid of
 (query tile, shard group) cells is an equi-join, so both sides are shuffled in blocks and no
-task holds more than one tile and one shard. Each cell is one matrix product with a partial
-selection; the lists are merged per task (window group limit) and then per query.
+task holds more than one tile and a few shards. A cell's matrix products are made for some queries at
+a time, each with a partial selection; the lists of a cell are merged in its task, those of a query by
+partial lists in the tasks (window group limit) and then at its own. A shard is copied once for every
+16,384 queries: with tiles of bounded size no exact search moves less.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without
 id, take no part; vectors are compared with those of their own length only; rows that repeat a
@@ -22,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 4096
-TILE_ROWS = 2048
+TILE_ROWS, PRODUCT_ROWS = 16_384, 2048
+GROUP_SHARDS = 16
 _BLOCK = "dim int, ids binary, matrix binary, peak double"
 _SCORES = "query_id long, vec_id long, score long"
 
@@ -70,23 +73,25 @@ def _search(k: int):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                dim = row["dim"]
-                scores = _products(_matrix(row["q_matrix"], len(q_ids), dim, row["q_peak"]), _matrix(row["matrix"], len(ids), dim, row["peak"]), dim * row["q_peak"] * row["peak"])
-                top = min(k + 1, len(ids))  # one more: a query's own row goes afterwards
-                own = (q_ids[:, None] == ids[None, :]) if np.intersect1d(q_ids, ids).size else None
-                low = np.iinfo(np.int64).min
-                if own is not None:
-                    scores[own] = low
-                # the kth best score bounds the list; among equals, ids are in order already
-                edge = np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top]
-                q, v = np.nonzero(scores >= edge[:, None])
-                s = scores[q, v]
-                order = np.lexsort((v, -s, q))
-                q, v, s = q[order], v[order], s[order]
-                nth = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = (nth < k) & (s != low)
-                yield pa.record_batch([pa.array(q_ids[q[keep]]), pa.array(ids[v[keep]]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
+                dim, all_ids, ids = row["dim"], np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                queries, matrix = _matrix(row["q_matrix"], len(all_ids), dim, row["q_peak"]), _matrix(row["matrix"], len(ids), dim, row["peak"])
+                for at in range(0, len(all_ids), PRODUCT_ROWS):
+                    q_ids = all_ids[at : at + PRODUCT_ROWS]
+                    scores = _products(queries[at : at + PRODUCT_ROWS], matrix, dim * row["q_peak"] * row["peak"])
+                    top = min(k + 1, len(ids))  # one more: a query's own row goes afterwards
+                    own = (q_ids[:, None] == ids[None, :]) if np.intersect1d(q_ids, ids).size else None
+                    low = np.iinfo(np.int64).min
+                    if own is not None:
+                        scores[own] = low
+                    # the kth best score bounds the list; among equals, ids are in order already
+                    edge = np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top]
+                    q, v = np.nonzero(scores >= edge[:, None])
+                    s = scores[q, v]
+                    order = np.lexsort((v, -s, q))
+                    q, v, s = q[order], v[order], s[order]
+                    nth = np.arange(len(q)) - np.searchsorted(q, q)
+                    keep = (nth < k) & (s != low)
+                    yield pa.record_batch([pa.array(q_ids[q[keep]]), pa.array(ids[v[keep]]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
 
     return cells
 
@@ -102,7 +107,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     n_queries, n_rows = asked.count(), rows.count()
     tiles = max(1, -(-n_queries // TILE_ROWS))
     cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, min(-(-n_rows // SHARD_ROWS), -(-cells // tiles)))
+    n_shards = -(-n_rows // SHARD_ROWS)
+    groups = max(1, min(n_shards, max(-(-cells // tiles), -(-n_shards // GROUP_SHARDS))))
     shards = rows.repartition(groups).mapInArrow(_integers(scale), _BLOCK)
     shards = shards.withColumn("cell", F.spark_partition_id() % groups).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     packed = asked.repartition(tiles, F.xxhash64("vec_id")).mapInArrow(_integers(scale), _BLOCK)

@@ -30,7 +30,7 @@ def test_pipeline_against_plain_stages(spark):
             on[s, line] = on.get((s, line), 0) + 1
     gone = lambda s, x: x.strip(" ") != "" and on[s, x] >= line_dedup.LEAST_PAGES and on[s, x] > line_dedup.RATIO * total[s]
     texts = {k: "\n".join(x for x in t.split("\n") if not gone(s, x)) for k, (t, s) in rows.items()}
-    component = _components(_sets(texts.items()), 85)
+    component = _components(_sets(texts.items()), 80)
     texts = {k: t for k, t in texts.items() if component[k] == k}
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
 

@@ -130,8 +130,10 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     d = spark.createDataFrame([(k, f"some text {k} about item number {k % 5} of the list of things") for k in range(20)], "doc_id long, text string")
     b = spark.createDataFrame([(k, f"text {k} about item number {k} of the list") for k in range(5)], "item_id long, text string")
     whole = sorted(decontaminate.matches(d, b).collect())
+    clean = sorted(decontaminate.drop_contaminated(d, b).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_CHARACTERS", 100)
     assert sorted(decontaminate.matches(d, b).collect()) == whole
+    assert sorted(decontaminate.drop_contaminated(d, b).collect()) == clean
 
 
 def test_decontamination_of_odd_tables(spark, odd, none):
@@ -168,7 +170,8 @@ def test_archives_round_trip(spark, tmp_path):
 # --- 4
 
 
-def test_token_counts_against_the_library(spark, odd, none, tmp_path):
+def test_token_counts_against_the_library(spark, odd, none, tmp_path, monkeypatch):
+    shared_by_ids = token_counts.by_ids
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(token_counts.tokenizer_path())
@@ -178,6 +181,12 @@ def test_token_counts_against_the_library(spark, odd, none, tmp_path):
         want = sorted((k is None, k or 0, len((t or "").encode()), n := len(encoder.encode(t or "", add_special_tokens=False)), n > 1024) for k, t in texts_of(odd))
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == want
         assert spark.read.parquet(cache).count() == len({t or "" for _, t in texts_of(odd)})
+    # what is cached is not encoded again, and its text is not moved
+    more = spark.createDataFrame([(1, "one"), (2, "new words")], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(token_counts, "by_ids", lambda rows, ids, key, how="left_semi": asked.append(sorted(map(tuple, ids.collect()))) or shared_by_ids(rows, ids, key, how))
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(more, cache=cache).collect()) == [(k, len(encoder.encode(t, add_special_tokens=False))) for k, t in ((1, "one"), (2, "new words"))]
+    assert asked[0] == [(2,)] and asked[1] == []
     assert token_counts.token_counts(none).count() == 0
 
 
@@ -233,10 +242,11 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     rows += [(2000, ""), (2001, None), (2002, " \t "), (2003, "one"), (2004, "ONE")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     sets = _sets(rows)
-    want = _components(sets, 85)
-    for block in (512, 3):
+    assert _components(sets, 85) != _components(sets, near_dup.PERCENT)
+    for block, percent in ((512, 85), (3, 85), (512, near_dup.PERCENT), (3, near_dup.PERCENT)):
+        want = _components(sets, percent)
         monkeypatch.setattr(near_dup, "BLOCK", block)
-        got = near_dup.near_duplicates(frame).collect()
+        got = (near_dup.near_duplicates(frame) if percent == near_dup.PERCENT else near_dup.near_duplicates(frame, percent)).collect()
         assert {x.doc_id: x.component_id for x in got} == want
         assert all(x.n_shingles == len(sets[x.doc_id]) and x.kept == (x.doc_id == x.component_id) for x in got)
 
@@ -269,6 +279,23 @@ def test_near_duplicates_of_odd_tables(spark, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_ids_by_broadcast_and_by_bitmap(spark, monkeypatch):
+    from adipose.llm import shared
+
+    rows = spark.createDataFrame([(k if k % 50 else None, f"text {k}") for k in range(3000)], "id long, text string").repartition(5)
+    ids = spark.createDataFrame([(k,) for k in range(7, 5000, 11)], "id long")
+    for bits in (1 << 27, 1 << 15):
+        monkeypatch.setattr(shared, "BITMAP_BITS", bits)
+        for how in ("left_semi", "left_anti"):
+            results = []
+            for most in (10**6, 1):
+                monkeypatch.setattr(shared, "BROADCAST_IDS", most)
+                found = shared.by_ids(rows, ids, "id", how)
+                assert found.columns == rows.columns
+                results.append(sorted(r.text for r in found.collect()))
+            assert results[0] == results[1] == sorted(f"text {k}" for k in range(3000) if (k % 50 > 0 and k >= 7 and (k - 7) % 11 == 0) == (how == "left_semi"))
+
+
 # --- 6
 
 
