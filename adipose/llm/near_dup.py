@@ -269,16 +269,17 @@ def _open_links(rows: DataFrame, heads: DataFrame, texts: DataFrame, labels: Dat
     """Links between components in buckets that hold more than one, compared block against block.
 
     A cell holds the registers of two blocks, then the full sets of those with a partner, and gives
-    links enough to join what they join.
+    links enough to join what they join. A bucket of two has no pair but that with its hub.
     """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = rows.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    still = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    still = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi and members > 2")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     member = named.join(still.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "doc_id", "label", "block")
     cell = ["key", "first", "second"]
-    near = stored(member.join(heads, "doc_id").groupBy(*cell).applyInPandas(_estimated_cell(percent), "key long, first int, second int, doc_id long, label long, block int"), "estimated-cells")
+    near = stored(member.join(heads, "doc_id").repartition(tasks, *cell).groupBy(*cell).applyInPandas(_estimated_cell(percent), "key long, first int, second int, doc_id long, label long, block int"), "estimated-cells")
     return near.join(texts, "doc_id").groupBy(*cell).applyInPandas(_cell(percent), "a long, b long").distinct()
 
 
