@@ -5,8 +5,9 @@ No piece has a mark behind another character, so no merge crosses from a charact
 are cut there, and each distinct cut of a task is encoded once:
 
 1. the cuts are concatenated and a suffix array is made by prefix doubling, as deep as the longest
-   piece;
-2. every piece of the vocabulary is binary-searched for its range of occurrences;
+   piece; the first step sorts as many letters as an integer holds;
+2. every piece of the vocabulary is binary-searched for its range of occurrences, by these integers
+   and, where it is longer, by the text;
 3. the occurrences, as edges (position, length, piece), are sorted by position;
 4. the edges are relaxed in the model's order: in each cut the adjacent pair of symbols that an edge
    of best score spans (leftmost among equals) becomes one symbol, until no edge spans a pair.
@@ -79,37 +80,85 @@ def pieces(path: str) -> Pieces:
     return Pieces(by_length, rank, first, plain)
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first ``depth`` elements (or more), by prefix doubling."""
-    n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    span = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - span)] = rank[span:]
-        key = rank * (int(rank.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
+class Suffixes(NamedTuple):
+    """Suffixes of a text in order, and what their first letters look like as sorted integers."""
+
+    order: np.ndarray
+    letter: np.ndarray  # number of each code point, from 1; 0 where it does not occur
+    bits: int  # of a letter
+    span: int  # letters in a key
+    keys: np.ndarray  # first ``span`` letters of each suffix, in order
+
+
+def _packed(letters: np.ndarray, bits: int, span: int) -> np.ndarray:
+    """At each place the ``span`` letters from there as one integer; 0 past the end."""
+    key = np.zeros(len(letters), np.int64)
+    for j in range(span):
+        key <<= bits
+        key[: max(0, len(letters) - j)] |= letters[j:]
+    return key
+
+
+def suffix_array(codes: np.ndarray, depth: int) -> Suffixes:
+    """Suffixes in the order of their first ``depth`` elements (or more).
+
+    As many letters as an integer holds are sorted at once; then the depth doubles, and only suffixes
+    that are still equal are sorted again.
+    """
+    n, occurs = len(codes), np.bincount(codes) > 0
+    letter = np.where(occurs, np.cumsum(occurs), 0)
+    bits = int(letter.max(initial=1)).bit_length()
+    first = span = 62 // bits
+    key = _packed(letter[codes], bits, span)
+    order = np.argsort(key)
+    keys = key[order]
+    fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if n else np.empty(0, bool)
+    while span < depth:
+        rank = np.zeros(n + span, np.int64)  # 0 past the end
+        rank[order] = np.cumsum(fresh)
+        open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(open_):
+            break
+        at = order[open_]
+        pair = rank[at] * (n + 1) + rank[at + span]
+        again = np.argsort(pair)
+        order[open_] = at[again]
+        ordered = pair[again]
+        fresh[open_] = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         span *= 2
-        if span >= depth:
-            return order
-        ordered = key[order]
-        rank[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
+    return Suffixes(order, letter, bits, first, keys)
 
 
-def _bounds(codes: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``wanted`` the range of ``order`` whose suffixes start with it."""
+def _bounds(codes: np.ndarray, suffixes: Suffixes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``wanted`` the range of suffixes that start with it."""
+    size = wanted.shape[1]
+    lead = min(size, suffixes.span)
+    letters = np.where(wanted < len(suffixes.letter), suffixes.letter[np.minimum(wanted, len(suffixes.letter) - 1)], 0)
+    low = np.zeros(len(wanted), np.int64)
+    for j in range(lead):
+        low = low << suffixes.bits | letters[:, j]
+    rest = suffixes.bits * (suffixes.span - lead)
+    lo, hi = np.searchsorted(suffixes.keys, low << rest), np.searchsorted(suffixes.keys, (low + 1) << rest)
+    hi = np.where((letters > 0).all(axis=1), hi, lo)
+    some = np.flatnonzero(lo < hi) if size > lead else np.empty(0, np.int64)
+    if len(some):
+        lo[some], hi[some] = _narrowed(codes, suffixes.order, wanted[some], lo[some], hi[some], lead)
+    return lo, hi
+
+
+def _narrowed(codes: np.ndarray, order: np.ndarray, wanted: np.ndarray, first: np.ndarray, last: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each range [first, last) whose suffixes go on as ``wanted`` does after ``lead`` elements."""
     size = wanted.shape[1]
     padded = np.concatenate([codes, np.full(size, -1, np.int64)])
     out = []
     for past in (False, True):
-        lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(order), np.int64)
+        lo, hi = first.copy(), last.copy()
         while (open_ := lo < hi).any():
             mid = (lo + hi) // 2
             at = order[np.minimum(mid, len(order) - 1)]
             state = np.zeros(len(wanted), np.int64)  # -1: the suffix is smaller, 1: larger
-            for j in range(size):
-                have = padded[at + j]
-                state = np.where(state == 0, np.sign(have - wanted[:, j]), state)
+            for j in range(lead, size):
+                state = np.where(state == 0, np.sign(padded[at + j] - wanted[:, j]), state)
             less = (state <= 0) if past else (state < 0)
             lo = np.where(open_ & less, mid + 1, lo)
             hi = np.where(open_ & ~less, mid, hi)
@@ -120,15 +169,15 @@ def _bounds(codes: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> tuple[n
 def edges(codes: np.ndarray, model: Pieces) -> np.ndarray:
     """grid[position, length]: the piece that occurs there, or -1."""
     longest = model.by_length[-1][0]
-    order = suffix_array(codes, longest)
+    suffixes = suffix_array(codes, longest)
     grid = np.full((len(codes), longest + 1), -1, np.int32)
     for size, wanted, ids in model.by_length:
-        lo, hi = _bounds(codes, order, wanted)
+        lo, hi = _bounds(codes, suffixes, wanted)
         count = hi - lo
         total = int(count.sum())
         if total:
             inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            grid[order[np.repeat(lo, count) + inside], size] = np.repeat(ids, count)
+            grid[suffixes.order[np.repeat(lo, count) + inside], size] = np.repeat(ids, count)
     return grid
 
 
