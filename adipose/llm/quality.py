@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .shared import stored
+from .shared import by_ids, stored
 
 POOLED, RIDGE = 0.5, 0.05
 FEATURES = ("bytes", "words", "mean_word", "sd_word", "distinct", "top_word", "same_as_last", "upper", "digit", "mark", "odd_mark", "high", "lines", "line_words", "one_byte_words", "odd_end", "stops", "long_words")
@@ -177,9 +177,13 @@ def quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` without the rows that score below 0.5; all columns pass unchanged.
 
-    The text is scored where it is read, so no text is shuffled.
+    Statistics for learning are made of labelled rows only, found by their ids; then every text is
+    scored where it is read. Texts are shuffled only as ``shared.by_ids`` does it: those that a bitmap of
+    many labelled ids lets through.
     """
-    model = fit(stored(features(documents, id_col, text), "statistics"), labels)
+    known = stored(labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "labelled")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
+    model = fit(features(by_ids(rows, known, "doc_id")), labels)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
