@@ -306,7 +306,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str =
     labels = stored(components(links), "star-components")
     more = stored(_open_links(members.select("key", "doc_id"), heads, texts, labels, percent), "open-links")
     if not more.isEmpty():
-        labels = stored(components(links.unionByName(more)), "components")
+        labels = stored(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     of_set = classes.join(labels, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     # ids that repeat with different sets join their classes' components
     joined = sigs.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
