@@ -291,7 +291,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str =
     """
     sigs = stored(signatures(documents, percent, id_col, text), "signatures")
     sets = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     one = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows = one.select("doc_id", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("last > a").drop("last")
@@ -307,7 +307,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, id_col: str =
     more = stored(_open_links(members.select("key", "doc_id"), heads, texts, labels, percent), "open-links")
     if not more.isEmpty():
         labels = stored(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    of_set = classes.join(labels, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # written, since the skew join splits a hot digest only where both sides come right from their shuffles
+    of_set = classes.join(labels, F.col("rep") == F.col("id"), "left").where("n > 1 or component is not null")
+    of_set = stored(of_set.select("digest", F.coalesce("component", "rep").alias("component_id")), "set-components")
     # ids that repeat with different sets join their classes' components
     joined = sigs.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
