@@ -117,5 +117,6 @@ def token_counts(documents: DataFrame, cache: str | None = None, tokenizer: str
     misses = of_id.select(F.sha2("text", 256).alias("digest"), "text").unionByName(of_none.select("digest", "text"))
     misses.mapInArrow(_count(path, version), _CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     known = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counted = heads.join(known, "digest", "left")
+    # written, since the skew join splits a hot digest only where both sides come right from their shuffles
+    counted = heads.join(stored(known, "known-counts"), "digest", "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
