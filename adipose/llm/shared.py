@@ -40,13 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Up to so many ids a semi or anti join broadcasts them (some MB); beyond, it broadcasts a bitmap of at most so many bits (16 MB).
+#: Up to so many ids a semi or anti join broadcasts them (some MB); beyond, it broadcasts two bitmaps of at most so many bits (16 MB) each.
 BROADCAST_IDS, BITMAP_BITS = 200_000, 1 << 27
 _BUCKET = 1 << 15  # bits in one value of bitmap_construct_agg
 
 
-def _may_be_among(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
-    """``rows`` with ``__may``: false only where the key is none of the ``n`` ids, by a broadcast bitmap of hashes."""
+def _may_be_among(rows: DataFrame, ids: DataFrame, key: str, n: int, mark: str) -> DataFrame:
+    """``rows`` with ``mark``: false only where the key is none of the ``n`` ids, by a broadcast bitmap of hashes."""
     bits = max(_BUCKET, min(BITMAP_BITS, 1 << (8 * n - 1).bit_length()))
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     bitmap = ids.select((place / _BUCKET).cast("int").alias("__bucket"), (place % _BUCKET).alias("at")).groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__bits"))
@@ -54,19 +54,21 @@ def _may_be_among(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFram
     at = (F.col("__at") % _BUCKET).cast("int")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     may = F.coalesce(F.expr("shiftright(__byte, __shift) & 1") == 1, F.lit(False))
-    return placed.withColumn("__byte", byte).withColumn("__shift", at % 8).withColumn("__may", may).drop("__at", "__bucket", "__bits", "__byte", "__shift")
+    return placed.withColumn("__byte", byte).withColumn("__shift", at % 8).withColumn(mark, may).drop("__at", "__bucket", "__bits", "__byte", "__shift")
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """``rows`` with (left_semi) or without (left_anti) the ``ids``, a stored table of distinct keys.
 
     The ids are counted first. A set below the bound is broadcast. Of a larger one a bitmap of bounded
-    size is, so that only rows that may be among the ids are shuffled, and large rows that are not stay
-    where they are read. The result is the same.
+    size is, and another of the rows' keys that are not among the ids: only rows that are in both
+    bitmaps are open and are shuffled, all others stay where they are read. The result is the same.
     """
     n = ids.count()
     if n <= BROADCAST_IDS:
         return rows.join(F.broadcast(ids), key, how)
-    marked, columns = _may_be_among(rows, ids, key, n), rows.columns
-    joined = marked.where("__may").select(columns).join(ids.hint("shuffle_hash"), key, how).select(columns)
-    return joined if how == "left_semi" else joined.unionByName(marked.where("not __may").select(columns))
+    others = stored(rows.select(key).where(F.col(key).isNotNull()).distinct().join(ids, key, "left_anti"), "other-keys")
+    marked, columns = _may_be_among(rows, ids, key, n, "__in"), rows.columns
+    both = _may_be_among(marked, others, key, max(1, others.count()), "__out")
+    settled = both.where("__in and not __out") if how == "left_semi" else marked.where("not __in")
+    return both.where("__in and __out").select(columns).join(ids.hint("shuffle_hash"), key, how).select(columns).unionByName(settled.select(columns))
