@@ -46,7 +46,7 @@ _BUCKET = 1 << 15  # bits in one value of bitmap_construct_agg
 
 
 def _may_be_among(rows: DataFrame, ids: DataFrame, key: str, n: int, mark: str) -> DataFrame:
-    """``rows`` with ``mark``: false only where the key is none of the ``n`` ids, by a broadcast bitmap of hashes."""
+    """``rows`` with ``mark``: false only where the key is none of the ids, by a broadcast bitmap of hashes made for ``n`` keys."""
     bits = max(_BUCKET, min(BITMAP_BITS, 1 << (8 * n - 1).bit_length()))
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     bitmap = ids.select((place / _BUCKET).cast("int").alias("__bucket"), (place % _BUCKET).alias("at")).groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__bits"))
@@ -68,7 +68,8 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     if n <= BROADCAST_IDS:
         return rows.join(F.broadcast(ids), key, how)
     others = stored(rows.select(key).where(F.col(key).isNotNull()).distinct().join(ids, key, "left_anti"), "other-keys")
-    marked, columns = _may_be_among(rows, ids, key, n, "__in"), rows.columns
-    both = _may_be_among(marked, others, key, max(1, others.count()), "__out")
+    keys, columns = n + others.count(), rows.columns
+    marked = _may_be_among(rows, ids, key, keys, "__in")
+    both = _may_be_among(marked, others, key, keys, "__out")
     settled = both.where("__in and not __out") if how == "left_semi" else marked.where("not __in")
     return both.where("__in and __out").select(columns).join(ids.hint("shuffle_hash"), key, how).select(columns).unionByName(settled.select(columns))
