@@ -60,16 +60,20 @@ def _may_be_among(rows: DataFrame, ids: DataFrame, key: str, n: int, mark: str)
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """``rows`` with (left_semi) or without (left_anti) the ``ids``, a stored table of distinct keys.
 
-    The ids are counted first. A set below the bound is broadcast. Of a larger one a bitmap of bounded
-    size is, and another of the rows' keys that are not among the ids: only rows that are in both
-    bitmaps are open and are shuffled, all others stay where they are read. The result is the same.
+    A null key is equal to none: left_semi drops its rows, left_anti keeps them. The ids are counted
+    first. A set below the bound is broadcast. Of a larger one a bitmap of bounded size is, and
+    another of the rows' keys that are not among the ids: only rows that are in both bitmaps are
+    open and are shuffled, all others stay where they are read; null keys meet no bitmap. The result
+    is the same.
     """
     n = ids.count()
     if n <= BROADCAST_IDS:
         return rows.join(F.broadcast(ids), key, how)
-    others = stored(rows.select(key).where(F.col(key).isNotNull()).distinct().join(ids, key, "left_anti"), "other-keys")
-    keys, columns = n + others.count(), rows.columns
-    marked = _may_be_among(rows, ids, key, keys, "__in")
+    keyed, ids, columns = rows.where(F.col(key).isNotNull()), ids.where(F.col(key).isNotNull()), rows.columns
+    others = stored(keyed.select(key).distinct().join(ids, key, "left_anti"), "other-keys")
+    keys = n + others.count()
+    marked = _may_be_among(keyed, ids, key, keys, "__in")
     both = _may_be_among(marked, others, key, keys, "__out")
     settled = both.where("__in and not __out") if how == "left_semi" else marked.where("not __in")
-    return both.where("__in and __out").select(columns).join(ids.hint("shuffle_hash"), key, how).select(columns).unionByName(settled.select(columns))
+    found = both.where("__in and __out").select(columns).join(ids.hint("shuffle_hash"), key, how).select(columns).unionByName(settled.select(columns))
+    return found if how == "left_semi" else found.unionByName(rows.where(F.col(key).isNull()))
