@@ -55,7 +55,7 @@ SELECT n.dataset_id, n.col_idx, n_rows, n_non_empty, n_non_empty = 0 AS is_empty
        CASE WHEN numbers > 0.8 THEN 'numeric' WHEN size < 20 AND plain THEN 'identifier' WHEN numbers IS NOT NULL THEN 'text' END AS column_type
 FROM n LEFT JOIN g ON n.dataset_id = g.dataset_id AND n.col_idx = g.col_idx""")
 def a2_column_profile(spark, d):
-    return profile.column_profile(profile.long_cells(_rows(spark, d))).where("col_idx > 0")
+    return profile.table_profile(_rows(spark, d)).where("col_idx > 0")
 
 
 @query(f"""WITH {t.QUANT}, m AS (SELECT row_idx, avg(value) AS mean, stddev_pop(value) AS std FROM q GROUP BY row_idx)
@@ -135,7 +135,7 @@ def s11_headgroups(spark, d):
 JOIN f ON f.dataset_id = c.dataset_id AND f.row_idx = c.row_idx WHERE f.name <> '' AND c.value IS NOT NULL""")
 def p3_extract(spark, d):
     rows = _rows(spark, d)
-    found = quant.extract(rows, t.column_names(spark, d), profile.column_profile(profile.long_cells(rows)))
+    found = quant.extract(rows, t.column_names(spark, d), profile.table_profile(rows))
     return found.select("dataset_id", "row_idx", "input_name", "ordinal", "value")
 
 
@@ -150,15 +150,25 @@ REPEATED = f"""{t.LINES}, k AS (
 def _repeated(spark, d):
     rows, names = _rows(spark, d), t.column_names(spark, d)
     listed = names.where("col_idx > 0").select("dataset_id", F.col("col_idx").alias("ordinal"), F.col("column").alias("sample_id"))
-    return quant.extract(rows, names, profile.column_profile(profile.long_cells(rows))), samples.sample_table(listed)
+    return quant.extract(rows, names, profile.table_profile(rows)), samples.sample_table(listed)
 
 
 @query(f"""WITH {REPEATED} SELECT dataset_id, sample AS "group", row_idx, round(value, 6) AS mean, 0.0 AS std, CAST(CASE sample WHEN 'nation' THEN 2 ELSE 1 END AS BIGINT) AS n FROM u""")
 def a1_repeated_headers(spark, d):
-    values = stats.lipid_group_values(*_repeated(spark, d))
+    rows, names = _rows(spark, d), t.column_names(spark, d)
+    listed = names.where("col_idx > 0").select("dataset_id", F.col("col_idx").alias("ordinal"), F.col("column").alias("sample_id"))
+    values = stats.row_group_values(rows, quant.sample_columns(names, profile.table_profile(rows)), samples.sample_table(listed))
     return values.select("dataset_id", "group", "row_idx", R("mean").alias("mean"), R("std").alias("std"), "n")
 
 
+@query(f"""WITH {REPEATED}, m AS (SELECT dataset_id, row_idx, avg(value) AS mean, stddev_pop(value) AS std FROM u GROUP BY dataset_id, row_idx)
+SELECT u.dataset_id, u.row_idx, u.sample AS sample_id, round(CASE WHEN std = 0 THEN 0.0 ELSE (value - mean) / std END, 6) AS z FROM u JOIN m ON u.dataset_id = m.dataset_id AND u.row_idx = m.row_idx""")
+def a3_row_zscores(spark, d):
+    rows = _rows(spark, d)
+    values = quant.row_values(rows, quant.column_plan(t.column_names(spark, d), profile.table_profile(rows)))
+    return stats.row_zscores(values).select("dataset_id", "row_idx", "sample_id", (R("z") + 0.0).alias("z"))
+
+
 @query(f"""WITH {REPEATED}, l AS (SELECT DISTINCT dataset_id, row_idx FROM u), g AS (SELECT unnest(['balance', 'segment', 'nation']) AS sample)
 SELECT l.dataset_id, g.sample AS "group", l.row_idx, CASE WHEN u.value IS NULL THEN '' ELSE u.sample || '=' || round(u.value, 2) END AS "values" FROM l CROSS JOIN g LEFT JOIN u ON u.dataset_id = l.dataset_id AND u.row_idx = l.row_idx AND u.sample = g.sample""")
 def a4_repeated_headers(spark, d):

@@ -26,7 +26,7 @@ def import_table(spark: SparkSession, path: str, names: DataFrame, lipid: str |
     header = [r["column"] for r in cols.orderBy("col_idx").collect()]
     at = columns.lipid_column(header, lipid)
     chosen = cols.where(F.col("col_idx").isin(columns.sample_columns(header, at, wanted)))
-    values = quant.extract(rows, chosen, profile.column_profile(profile.long_cells(rows)), at)
+    values = quant.extract(rows, chosen, profile.table_profile(rows), at)
     listed = chosen.select("dataset_id", F.col("col_idx").alias("ordinal"), F.col("column").alias("sample_id"))
     sample = samples.with_labels(samples.sample_table(listed, mapping), cols)
     per_lipid = stats.lipid_group_values(values, sample)

@@ -5,9 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored, with_lists
 from ..functions.text import number, strip
 
 
+def sample_columns(columns: DataFrame, profile: DataFrame, lipid_idx: int = 0) -> DataFrame:
+    """(dataset_id, ordinal, sample_id): the column of each sample, if it is numeric and not empty.
+
+    ``columns`` lists the sample columns; of those with equal names the last one counts, whether or not it is numeric.
+    """
+    usable = profile.where("not is_empty and column_type = 'numeric'").select("dataset_id", "col_idx")
+    last = columns.where((F.col("col_idx") != lipid_idx) & (strip(F.col("column")) != "")).groupBy("dataset_id", F.col("column").alias("sample_id")).agg(F.max("col_idx").alias("col_idx"))
+    return last.join(usable, ["dataset_id", "col_idx"], "left_semi").select("dataset_id", F.col("col_idx").alias("ordinal"), "sample_id")
+
+
+def column_plan(columns: DataFrame, profile: DataFrame, lipid_idx: int = 0) -> DataFrame:
+    """(dataset_id, plan): a row a dataset with its sample columns (ordinal, sample_id) in order, stored."""
+    entry = F.struct("ordinal", "sample_id")
+    return stored(sample_columns(columns, profile, lipid_idx).groupBy("dataset_id").agg(F.array_sort(F.collect_list(entry)).alias("plan")), "column-plan")
+
+
+def named_rows(raw_rows: DataFrame, lipid_idx: int = 0) -> DataFrame:
+    """(dataset_id, row_idx, input_name, cells) of rows with a name."""
+    return raw_rows.select("dataset_id", "row_idx", strip(F.col("cells")[lipid_idx]).alias("input_name"), "cells").where("input_name <> ''")
+
+
+def row_values(raw_rows: DataFrame, plan: DataFrame, lipid_idx: int = 0) -> DataFrame:
+    """(dataset_id, row_idx, input_name, values): a row's numbers (ordinal, sample_id, value), taken from its own cells.
+
+    The plan of the row's dataset says which cells these are, so no cell leaves its row; rows without any value go.
+    """
+    value = lambda c: F.struct(c["ordinal"].alias("ordinal"), c["sample_id"].alias("sample_id"), number(F.get("cells", c["ordinal"])).alias("value"))
+    joined = with_lists(named_rows(raw_rows, lipid_idx), plan, "plan")
+    return joined.select("dataset_id", "row_idx", "input_name", F.filter(F.transform("plan", value), lambda v: v["value"].isNotNull()).alias("values")).where(F.size("values") > 0)
+
+
 def extract(raw_rows: DataFrame, columns: DataFrame, profile: DataFrame, lipid_idx: int = 0) -> DataFrame:
     """quant (dataset_id, row_idx, input_name, ordinal, sample_id, value) of numeric sample columns.
 
@@ -15,12 +47,7 @@ def extract(raw_rows: DataFrame, columns: DataFrame, profile: DataFrame, lipid_i
     no number are left out; a row without any value is so too. ``columns`` lists the sample columns;
     of those with equal names the last one counts, whether or not it is numeric.
     """
-    usable = profile.where("not is_empty and column_type = 'numeric'").select("dataset_id", "col_idx")
-    last = columns.where((F.col("col_idx") != lipid_idx) & (strip(F.col("column")) != "")).groupBy("dataset_id", F.col("column").alias("sample_id")).agg(F.max("col_idx").alias("col_idx"))
-    sample = last.join(usable, ["dataset_id", "col_idx"], "left_semi").select("dataset_id", F.col("col_idx").alias("ordinal"), "sample_id")
-    named = raw_rows.select("dataset_id", "row_idx", strip(F.col("cells")[lipid_idx]).alias("input_name"), "cells").where("input_name <> ''")
-    cells = named.select("dataset_id", "row_idx", "input_name", F.posexplode("cells").alias("ordinal", "raw")).where((F.col("ordinal") != lipid_idx) & (F.col("raw") != ""))
-    return cells.join(sample, ["dataset_id", "ordinal"]).select("dataset_id", "row_idx", "input_name", "ordinal", "sample_id", number(F.col("raw")).alias("value")).where("value is not null")
+    return row_values(raw_rows, column_plan(columns, profile, lipid_idx), lipid_idx).select("dataset_id", "row_idx", "input_name", F.inline("values"))
 
 
 def lipids(quant: DataFrame) -> DataFrame:
