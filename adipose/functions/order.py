@@ -17,3 +17,15 @@ def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", "__first", before.alias("__before"))
     return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__part", "__at", "__first", "__before", "__n")
+
+
+def with_split_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
+    """``df`` (file, block, …) with 1, 2, ... in order of file and place in it, whatever order Spark reads splits in.
+
+    Rows of a split must be neighbours in their order, as a file's are. Like ``with_row_idx``; the table has a row a split.
+    """
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    sizes = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", "__first", before.alias("__before"))
+    return placed.join(F.broadcast(starts), ["file", "block"]).withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__at", "__first", "__before", "__n")

@@ -7,17 +7,20 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import with_row_idx
+from ..functions.order import with_split_idx
+from ..functions.tables import stored
 from ..functions.text import strip
+from . import quoted
 
 # fixed values: delimiters in order of preference, length of the head, marks of an MS-DIAL header
 DELIMITERS = [",", "\t", ";", "|"]
@@ -69,52 +72,86 @@ def fields(line: Column, sep: str) -> Column:
     return F.transform(found, lambda x: strip(F.when(x.startswith('"'), F.concat(body(x), behind(x))).otherwise(x)))
 
 
+def _open_at_end(line: Column, sep: str) -> Column:
+    """Whether a quoted field of ``line`` is not closed in it: one is left when all closed ones are taken out."""
+    begins = f'{sep}"'
+    closed = F.regexp_replace(F.concat(F.lit(sep), line), F.lit(f'{re.escape(begins)}[^"]*+(?:""[^"]*+)*+"'), F.lit(re.sub(r"([\\$])", r"\\\1", sep)))
+    return F.contains(closed, F.lit(begins))
+
+
+def _head(lines: DataFrame) -> str:
+    """The first 8192 characters of ``lines`` (value) in order: as many lines as that takes, in two reads as a rule."""
+    n = 32
+    while True:
+        found = [r["value"] for r in lines.select(F.substring("value", 1, HEAD + 1).alias("value")).limit(n).collect()]
+        if len(found) < n or sum(map(len, found)) + len(found) > HEAD:
+            return "\n".join(found)[:HEAD]
+        n *= 8
+
+
+def _header(lines: DataFrame, sep: str) -> list[str]:
+    """The trimmed fields of the first row of ``lines`` (value), which end at LF alone."""
+    n = 32
+    while True:
+        walk, found = quoted.Walk(quoted.Scanner(sep), False), [r["value"] for r in lines.limit(n).collect()]
+        ended = next((text for line in found for _, text in walk.feed(line)), None)
+        if ended is None and len(found) < n:
+            ended = "\n".join(walk.parts)
+        if ended is not None:
+            return quoted.cells_of([ended], sep)[0]
+        n *= 8
+
+
 def read_dataset(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, has_labels: bool = False) -> Batch:
     """One table whose files share a header: rows, columns and what was found out about it.
 
-    A missing path is an error. Wholly empty lines are skipped, lines of blanks are short rows. One
-    pass over the bytes decides the encoding (UTF-8, else Latin-1) and whether a quoted field can run
-    over a line end. If none can, lines are split where they are read, so the files may have any size;
-    else each file is parsed as one record by the parser of ``read_batch``. The delimiter is counted
-    in the first 8192 characters; an MS-DIAL header means tabs. With ``has_labels`` the first data row
-    becomes the labels.
+    A missing path is an error. Wholly empty lines are skipped, lines of blanks are short rows, a byte
+    order mark is dropped, and rows are numbered in order of the files' paths. One pass over the bytes
+    decides the encoding (UTF-8, else Latin-1) and whether any line ends inside a quoted field. If
+    none does, lines are split into fields by expressions where they are read; else
+    splits are parsed with the state they begin in (``quoted``). Either way
+    files may have any size. The delimiter is counted in the first 8192 characters; an MS-DIAL header
+    means tabs. With ``has_labels`` the first data row becomes the labels; columns that it lacks have none.
     """
     lines = spark.read.text(path)
     found = lines.agg(
         F.count_if(~F.is_valid_utf8("value")).alias("odd_bytes"),
-        F.count_if((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open_quotes"),
+        F.count_if(F.contains("value", F.lit('"')) & functools.reduce(Column.__or__, [_open_at_end(F.col("value"), d) for d in [sep] * bool(sep) or DELIMITERS])).alias("open_quotes"),
     ).first()
     encoding = encoding or ("latin-1" if found["odd_bytes"] else "utf-8")
     kind = "ISO-8859-1" if encoding.lower() in ("latin-1", "iso-8859-1") else encoding.upper()
     text = F.col("value") if kind == "UTF-8" else F.decode(F.col("value").cast("binary"), kind)
-    head = "\n".join(r["value"] for r in lines.select(F.substring(text, 1, HEAD).alias("value")).limit(HEAD).collect())[:HEAD]
-    header = lines.select(text.alias("value")).where("value <> ''").limit(1).collect()
-    form = "msdial" if header and any(m in header[0]["value"].lower() for m in MSDIAL) else "standard"
-    sep = sep or ("\t" if form == "msdial" else max(DELIMITERS, key=head.count))
+    located = lambda rows: rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("line"))
     files = spark.read.format("binaryFile").load(path)
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long")).first()[0]
+    about = files.where("length > 0").agg(F.min("path").alias("first"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size")).first()
+    top = located(spark.read.text(about["first"])).where("block = 0").select(F.col("line").alias("value")) if about["first"] else None
+    start = top.where("value <> ''").first() if top is not None else None
+    form = "msdial" if start and any(m in start["value"].lower() for m in MSDIAL) else "standard"
+    sep = sep or ("\t" if form == "msdial" else max(DELIMITERS, key=_head(top).count) if start else DELIMITERS[0])
     if found["open_quotes"]:
-        parsed = read_batch(spark, path, sep, has_labels=False, encoding=encoding)
-        rows = with_row_idx(parsed.raw_rows.drop("row_idx", "dataset_id"))
-        first = parsed.columns.groupBy("col_idx").agg(F.min(F.struct("dataset_id", "column")).alias("c")).orderBy("col_idx").collect()
-        names = [r["c"]["column"] for r in first]
+        placed = located(spark.read.option("lineSep", "\n").text(path))
+        names = _header(placed.where((F.col("file") == about["first"]) & (F.col("block") == 0)).select(F.col("line").alias("value")), sep)
+        split = stored(quoted.rows_in_splits(placed, sep), "parsed-rows")
+        # a row a file: its header's number, and how many headers there are up to it
+        heads = split.groupBy("file").agg(F.min("number").alias("head")).withColumn("nth", F.row_number().over(Window.orderBy("head")))
+        cells = split.join(F.broadcast(heads), "file").where("number > head").select((F.col("number") - F.col("nth")).alias("row_idx"), "cells")
     else:
-        names = [x.strip() for x in next(csv.reader([header[0]["value"]], delimiter=sep), [])] if header else []
-        placed = lines.select(text.alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where("line <> ''")
+        names = quoted.cells_of([start["value"]], sep)[0] if start else []
+        placed = located(lines).where("line <> ''").withColumn("at", F.monotonically_increasing_id())
         heads = placed.where("block = 0").groupBy("file").agg(F.min("at").alias("at"))
-        full, missing, extra = ragged(F.col("cells"), names)
         # one row a file, so it is broadcast whatever the table's size, and rows stay where they are read
-        data = placed.join(F.broadcast(heads), ["file", "at"], "left_anti").select(fields(F.col("line"), sep).alias("cells"))
-        rows = with_row_idx(data).select("row_idx", full.alias("cells"), missing.alias("missing_columns"), extra.alias("extra_fields"))
-    rows = rows.select(F.lit(path).alias("dataset_id"), "row_idx", "cells", "missing_columns", "extra_fields")
+        data = placed.join(F.broadcast(heads), ["file", "at"], "left_anti").select("file", "block", fields(F.col("line"), sep).alias("cells"))
+        cells = with_split_idx(data)
+    full, missing, extra = ragged(F.col("cells"), names)
+    rows = cells.select(F.lit(path).alias("dataset_id"), "row_idx", full.alias("cells"), missing.alias("missing_columns"), extra.alias("extra_fields"))
     labels: list[str | None] = [None] * len(names)
     if has_labels:
-        top = rows.where("row_idx = 1").first()
-        labels = list(top["cells"]) if top else labels
+        first = rows.where("row_idx = 1").first()
+        labels = [x if k < len(names) - len(first["missing_columns"]) else None for k, x in enumerate(first["cells"])] if first else labels
         rows = rows.where("row_idx > 1").withColumn("row_idx", F.col("row_idx") - 1)
     columns = spark.createDataFrame([(path, k, name, label) for k, (name, label) in enumerate(zip(names, labels))], "dataset_id string, col_idx int, column string, label string")
-    about = spark.createDataFrame([(path, path, sep, encoding, size, form)], "dataset_id string, source_file string, delimiter string, encoding string, file_size_bytes long, format_type string")
-    return Batch(rows, columns, about, spark.createDataFrame([], "dataset_id string, error string"))
+    described = spark.createDataFrame([(path, path, sep, encoding, about["size"], form)], "dataset_id string, source_file string, delimiter string, encoding string, file_size_bytes long, format_type string")
+    return Batch(rows, columns, described, spark.createDataFrame([], "dataset_id string, error string"))
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, has_labels: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +168,7 @@ def _decoded(content: bytes, encoding: str | None = None) -> tuple[str, str]:
     if encoding:
         return content.decode(encoding), encoding
     try:
-        return content.decode("utf-8"), "utf-8"
+        return content.decode("utf-8").removeprefix("\ufeff"), "utf-8"
     except UnicodeDecodeError:
         return content.decode("latin-1"), "latin-1"
 
