@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import functools
 import io
+import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.order import with_split_idx
 from ..functions.tables import stored
 from ..functions.text import strip
-from . import quoted
+from . import files, quoted
 
 # fixed values: delimiters in order of preference, length of the head, marks of an MS-DIAL header
 DELIMITERS = [",", "\t", ";", "|"]
@@ -122,8 +123,7 @@ def read_dataset(spark: SparkSession, path: str, sep: str | None = None, encodin
     kind = "ISO-8859-1" if encoding.lower() in ("latin-1", "iso-8859-1") else encoding.upper()
     text = F.col("value") if kind == "UTF-8" else F.decode(F.col("value").cast("binary"), kind)
     located = lambda rows: rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("line"))
-    files = spark.read.format("binaryFile").load(path)
-    about = files.where("length > 0").agg(F.min("path").alias("first"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size")).first()
+    about = spark.read.format("binaryFile").load(path).where("length > 0").agg(F.min("path").alias("first"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size")).first()
     top = located(spark.read.text(about["first"])).where("block = 0").select(F.col("line").alias("value")) if about["first"] else None
     start = top.where("value <> ''").first() if top is not None else None
     form = "msdial" if start and any(m in start["value"].lower() for m in MSDIAL) else "standard"
@@ -161,7 +161,7 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding:
 
 
 _FIELDS = [("kind", pa.string()), ("dataset_id", pa.string()), ("at", pa.int64()), ("cells", pa.list_(pa.string())), ("missing_columns", pa.list_(pa.string())), ("extra_fields", pa.list_(pa.string())), ("text", pa.string()), ("label", pa.string()), ("size", pa.int64())]
-_PARSED = "kind string, dataset_id string, at long, cells array<string>, missing_columns array<string>, extra_fields array<string>, text string, label string, size long"
+PARSED = "kind string, dataset_id string, at long, cells array<string>, missing_columns array<string>, extra_fields array<string>, text string, label string, size long"
 
 
 def _decoded(content: bytes, encoding: str | None = None) -> tuple[str, str]:
@@ -190,36 +190,48 @@ def _file(path: str, content: bytes, sep: str | None, has_labels: bool, encoding
         yield ("row", path, k, (cells + [""] * width)[:width], names[len(cells) :], cells[width:], None, None, None)
 
 
-def _parse(sep: str | None, has_labels: bool, encoding: str | None):
-    schema = pa.schema(_FIELDS)
+def file_records(path: str, content: bytes, sep: str | None, has_labels: bool, encoding: str | None) -> Iterator[pa.RecordBatch]:
+    """The records of one file in batches: its dataset, columns and rows, or its error."""
+    schema, rows = pa.schema(_FIELDS), []
+    try:
+        for row in _file(path, content, sep, has_labels, encoding):
+            rows.append(row)
+            if len(rows) == 5000:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+    except (csv.Error, ValueError) as e:
+        rows.append(("error", path, None, None, None, None, str(e), None, None))
+    if rows:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
 
+def _parse(sep: str | None, has_labels: bool, encoding: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows: list[tuple] = []
-                try:
-                    for row in _file(path, content.as_py(), sep, has_labels, encoding):
-                        rows.append(row)
-                        if len(rows) == 5000:
-                            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                            rows = []
-                except (csv.Error, ValueError) as e:
-                    rows.append(("error", path, None, None, None, None, str(e), None, None))
-                if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield from file_records(path, content.as_py(), sep, has_labels, encoding)
 
     return run
 
 
 def read_batch(spark: SparkSession, path: str | list[str], sep: str | None = None, has_labels: bool = False, encoding: str | None = None) -> Batch:
-    """Many files with their own headers, delimiters and encodings, one file a record.
-
-    A file that cannot be parsed gives a row in ``errors``; the others go on. UTF-8 falls back to
-    Latin-1, and the encoding used is reported. Spark passes over files of no bytes. Files of any size but
-    single huge ones belong here; those go through ``read_dataset``, which splits them.
+    """Many files with their own headers, delimiters and encodings, each parsed once.
+
+    The files go through the data source of ``files`` where pyarrow can open their store, else
+    through ``binaryFile``, a file a record (that one passes over files of no bytes). What the one
+    parse gave is written, and all four outputs are read from it. A file that cannot be parsed gives
+    a row in ``errors``; the others go on. UTF-8 falls back to Latin-1, and the encoding used is
+    reported. Files of any size but single huge ones belong here; those go through ``read_dataset``,
+    which splits them.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    parsed = files.mapInArrow(_parse(sep, has_labels, encoding), _PARSED)
+    paths = [path] if isinstance(path, str) else list(path)
+    if files.can_open(paths):
+        files.register(spark)
+        given = {"paths": json.dumps(paths), "hasLabels": str(has_labels).lower(), "sep": sep, "encoding": encoding}
+        parsed = spark.read.format("delimited_files").options(**{k: v for k, v in given.items() if v is not None}).load()
+    else:
+        parsed = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_parse(sep, has_labels, encoding), PARSED)
+    parsed = stored(parsed, "parsed-files")
     return Batch(
         parsed.where("kind = 'row'").select("dataset_id", F.col("at").alias("row_idx"), "cells", "missing_columns", "extra_fields"),
         parsed.where("kind = 'column'").select("dataset_id", F.col("at").cast("int").alias("col_idx"), F.col("text").alias("column"), "label"),
