@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled
 from ..sources.reference_tables import display_name
+from .joins import reference_join
 
 # fixed value: the type of a main compound
 MAIN = "lm_main"
@@ -70,8 +71,8 @@ def reaction_links(reactions: DataFrame, ids: DataFrame, details: bool = False)
 
 
 def lipid_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
-    """A row per lipid row and link."""
-    return lipids.select("row_idx", "input_name", "lm_id").join(links, "lm_id")
+    """A row per lipid row and link; an id that very many lipids share is no one task's."""
+    return reference_join(lipids.select("row_idx", "input_name", "lm_id"), links, "lm_id", "inner")
 
 
 def nested_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def complete_reactions(reactions: DataFrame, ids: DataFrame, complete: bool = Tr
 def component_lipids(reactions: DataFrame, lipids: DataFrame) -> DataFrame:
     """(reaction_ord, role, pos, lm_id, row_idx): the observed lipids of each component."""
     each = participants(reactions).select("reaction_ord", "role", "pos", F.col("compound.compound_lm_id").alias("lm_id"))
-    return each.join(lipids.where("lm_id <> ''").select("lm_id", "row_idx"), "lm_id").select("reaction_ord", "role", "pos", "lm_id", "row_idx")
+    return reference_join(each, lipids.where("lm_id <> ''").select("lm_id", "row_idx"), "lm_id", "inner").select("reaction_ord", "role", "pos", "lm_id", "row_idx")
 
 
 def component_quantities(reactions: DataFrame, lipids: DataFrame, quant: DataFrame) -> DataFrame:
