@@ -470,6 +470,22 @@ def v9_v12_column_counts(spark, d):
     return validate.column_counts(_rows(spark, d))
 
 
+HEADS = "CASE col_idx WHEN 1 THEN 'balance' WHEN 2 THEN 'segment' ELSE 'nation' END"
+
+
+@query(f"""WITH {ISSUES}, x AS (
+  SELECT dataset_id, col_idx, array_to_string((array_agg('{{"row":' || row_idx || ',"text":"' || text || '"}}' ORDER BY row_idx))[1:3], ',') AS few FROM c WHERE value < 0 GROUP BY dataset_id, col_idx
+), y AS (SELECT *, {HEADS} AS head, missing * 100.0 / total AS percent FROM cc)
+SELECT dataset_id, 'V9' AS check_id, head || ': ' || missing || '/' || total AS message, '{{"column":"' || head || '","missing_count":' || missing || '}}' AS location, CASE WHEN percent > 20 THEN 'at most 20.0% may be missing' ELSE '' END AS suggestion FROM y WHERE percent > 10
+UNION ALL SELECT y.dataset_id, 'V11', head || ': ' || negative || ' negative values', '{{"column":"' || head || '","examples":[' || few || ']}}', 'quantities are positive as a rule' FROM y JOIN x ON x.dataset_id = y.dataset_id AND x.col_idx = y.col_idx WHERE negative > 0
+UNION ALL SELECT dataset_id, 'V12', head || ': ' || zero || ' of ' || numeric || ' values are zero', '{{"column":"' || head || '"}}', '' FROM y WHERE zero > 0.5 * numeric""")
+def v9_v12_messages(spark, d):
+    issues = _validated(spark, d)[0].where("check_id in ('V9', 'V11', 'V12')")
+    # the percentage of V9 is compared as its two numbers
+    plain = F.when(F.col("check_id") == "V9", F.regexp_replace("message", r": .*\((\d+/\d+)\)$", ": $1")).otherwise(F.col("message"))
+    return issues.select("dataset_id", "check_id", plain.alias("message"), "location", "suggestion")
+
+
 @query(f"""WITH {ISSUES}, x AS (SELECT dataset_id, row_idx, text, row_number() OVER (PARTITION BY dataset_id ORDER BY row_idx) AS k FROM c WHERE col_idx = 1 AND text <> '' AND value IS NULL)
 SELECT dataset_id, string_agg(row_idx || ' ' || text, ', ' ORDER BY row_idx) AS examples FROM x WHERE k <= 3 GROUP BY dataset_id""")
 def v10_examples(spark, d):

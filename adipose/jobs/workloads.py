@@ -39,6 +39,18 @@ def validate_files(spark: SparkSession, path: str | list[str], **limits) -> Data
     return export.report(*validate.validate(batch.raw_rows, batch.columns, **limits))
 
 
+def validate_added_files(spark: SparkSession, path: str | list[str], states: str, **limits) -> DataFrame:
+    """Reports of all files so far: the new ones are read, their states and columns are added to the folder ``states``.
+
+    What was added before is not read again. A file must not be added twice.
+    """
+    batch = delimited.read_batch(spark, path)
+    validate.check_state(batch.raw_rows).write.mode("append").parquet(f"{states}/checks")
+    batch.columns.write.mode("append").parquet(f"{states}/columns")
+    known = spark.read.schema(batch.columns.schema).parquet(f"{states}/columns")
+    return export.report(*validate.validate_state(spark.read.parquet(f"{states}/checks"), known, **limits))
+
+
 class Linked(NamedTuple):
     lipids: DataFrame
     links: DataFrame

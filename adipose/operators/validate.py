@@ -4,8 +4,10 @@ The first column holds names and all others are samples. ``issues`` is (dataset_
 severity, category, message, location, suggestion), location a JSON text. A table without rows is
 only told so (V1).
 
-The rows are read four times, whatever the number of checks: for the counts of all columns and row
-flags, for the first examples of each, for the findings that are a row each, and for repeated names.
+The rows are read once, whatever the number of checks: ``check_state`` makes mergeable rows of them,
+counts and first examples a block of rows and column, counts a name, and the findings that are a row
+each. Issues and summary follow from the states alone. States of different rows can be put together,
+so a state that was kept spares reading its rows again when files are added.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..functions.text import number, strip
 
 # fixed values: severities, share of missing values that warns, share of zeros, length of a short name, examples
@@ -106,16 +109,21 @@ def headers(columns: DataFrame) -> DataFrame:
     )
 
 
-def sized(columns: DataFrame, cells: DataFrame) -> DataFrame:
+def sized(columns: DataFrame, counted: DataFrame) -> DataFrame:
     """The counts of every column that ``columns`` lists, and of every dataset at col_idx -1 with its ``headers``."""
     whole = headers(columns).select("dataset_id", F.lit(-1).alias("col_idx"), F.lit(None).cast("string").alias("column"), "width", "repeated", "unnamed")
     each = columns.where("col_idx > 0").select("dataset_id", "col_idx", "column")
-    return whole.unionByName(each, allowMissingColumns=True).join(counts(cells), ["dataset_id", "col_idx"], "left").withColumn("rows", F.when(F.col("col_idx") < 0, F.coalesce("total", F.lit(0))))
+    return whole.unionByName(each, allowMissingColumns=True).join(counted, ["dataset_id", "col_idx"], "left").withColumn("rows", F.when(F.col("col_idx") < 0, F.coalesce("total", F.lit(0))))
 
 
 def counted_issues(columns: DataFrame, cells: DataFrame, min_samples: int = 1, min_lipids: int = 1, max_missing_percent: float = 50.0) -> DataFrame:
+    """V1 to V4, V6, V7, V9 to V12 and V14 to V16 of ``entries``."""
+    return issues_of_counts(columns, counts(cells), _examples(cells), min_samples, min_lipids, max_missing_percent)
+
+
+def issues_of_counts(columns: DataFrame, counted: DataFrame, examples: DataFrame, min_samples: int = 1, min_lipids: int = 1, max_missing_percent: float = 50.0) -> DataFrame:
     """V1 to V4, V6, V7, V9 to V12 and V14 to V16: what follows from counts, with the first examples."""
-    rows = sized(columns, cells).join(_examples(cells), ["dataset_id", "col_idx"], "left").withColumn("percent", F.try_divide(F.col("missing") * 100.0, F.col("total")))
+    rows = sized(columns, counted).join(examples, ["dataset_id", "col_idx"], "left").withColumn("percent", F.try_divide(F.col("missing") * 100.0, F.col("total")))
     here, samples, much = F.col("rows") > 0, F.col("width") - 1, F.col("percent") > max_missing_percent
     column = F.struct("column")
     shown = lambda kind, n, field=None: F.struct(_of(kind, n, field).alias("examples"))
@@ -138,20 +146,19 @@ def counted_issues(columns: DataFrame, cells: DataFrame, min_samples: int = 1, m
     return _issues(rows, found)
 
 
-def row_issues(raw_rows: DataFrame) -> DataFrame:
-    """V5 and V8: findings that are a row each."""
+def row_issues(flagged: DataFrame) -> DataFrame:
+    """V5 and V8 of rows (dataset_id, row_idx, missing_columns, extra_fields, unnamed): findings that are a row each."""
     row = F.col("row_idx").alias("row")
     found = [
         _found(F.size("extra_fields") > 0, "V5", ERROR, "structure", _text("row %d has %d extra fields", "row_idx", F.size("extra_fields")), F.struct(row, "extra_fields"), "give every row as many delimiters as the header has"),
         _found(F.size("missing_columns") > 0, "V5", ERROR, "structure", _text("row %d lacks %s", "row_idx", F.array_join("missing_columns", ", ")), F.struct(row, "missing_columns"), "give a value or a blank cell for every column"),
-        _found(_first() == "", "V8", ERROR, "missing_data", _text("row %d has no name", "row_idx"), F.struct(row)),
+        _found(F.col("unnamed"), "V8", ERROR, "missing_data", _text("row %d has no name", "row_idx"), F.struct(row)),
     ]
-    return _issues(raw_rows, found)
+    return _issues(flagged, found)
 
 
-def name_issues(raw_rows: DataFrame) -> DataFrame:
-    """V13: repeated names, counted, and the first five."""
-    again = duplicate_names(name_table(raw_rows))
+def name_issues(again: DataFrame) -> DataFrame:
+    """V13: repeated names (dataset_id, name, n, first_row), counted, and the first five."""
     number_of = again.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("first_row"))
     top = again.withColumn("rank", rank).where("rank <= 5").groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("first_row", "name"))).alias("top"))
@@ -159,9 +166,9 @@ def name_issues(raw_rows: DataFrame) -> DataFrame:
     return _issues(number_of.join(top, "dataset_id"), [_found(F.lit(True), "V13", WARNING, "data_consistency", _text("%d names are repeated", "n"), names, "use names of their own, or sum up equal ones")])
 
 
-def summary(columns: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
+def summary(columns: DataFrame, counted: DataFrame, issues: DataFrame) -> DataFrame:
     """V17 and V18: one row per dataset with sizes, completeness, verdict and counts by severity."""
-    size = sized(columns, cells).groupBy("dataset_id").agg(
+    size = sized(columns, counted).groupBy("dataset_id").agg(
         F.max("rows").alias("total_rows"), F.max("width").alias("total_columns"), F.sum(F.when(F.col("col_idx") > 0, F.col("total"))).alias("cells"), F.sum(F.when(F.col("col_idx") > 0, F.col("total") - F.col("missing"))).alias("full")
     )
     levels = issues.groupBy("dataset_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in LEVELS])
@@ -174,11 +181,76 @@ def summary(columns: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFram
     )
 
 
+#: Rows of one block share their examples; a state has a row for each block and column.
+BLOCK = 4096
+_SHOWN = 10
+_COUNTS = ["total", "missing", "zero", "numeric", "non_numeric", "negative", "short", *PLACEHOLDERS, "blank"]
+
+
+def check_state(raw_rows: DataFrame) -> DataFrame:
+    """The mergeable state of rows, in one pass: a row a (dataset, block of rows, column), a (dataset, name), and a row with a finding of its own.
+
+    ``part`` says which: "cells" has the counts and the first ten examples of each flag (col_idx -1 for
+    what concerns rows), "name" a name's count and first row, "row" what V5 and V8 tell. All are summed
+    up before the shuffle.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    blank = ~F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x: strip(F.coalesce(x, F.lit(""))) != "")
+    name, block = F.col("name"), F.floor(F.col("row_idx") / BLOCK).cast("long")
+    fields = lambda part, col, text, key, at: F.struct(F.lit(part).alias("part"), col.cast("int").alias("col_idx"), text.alias("text"), key.alias("key"), at.cast("long").alias("at"))
+    cells = F.transform(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x, k: fields("cells", k + 1, strip(F.coalesce(x, F.lit(""))), none("string"), F.col("block")))
+    flagged = (F.size("extra_fields") > 0) | (F.size("missing_columns") > 0) | (name == "")
+    others = F.array_compact(F.array(
+        fields("cells", F.lit(-1), name, none("string"), F.col("block")), F.when(name != "", fields("name", F.lit(0), none("string"), name, none("long"))), F.when(flagged, fields("row", F.lit(0), none("string"), none("string"), F.col("row_idx"))),
+    ))
+    rows = raw_rows.select("dataset_id", "row_idx", "cells", "missing_columns", "extra_fields", _first().alias("name"), block.alias("block"), blank.alias("blank"))
+    each = rows.select("dataset_id", "row_idx", "blank", "missing_columns", "extra_fields", (name == "").alias("unnamed"), F.explode(F.concat(others, cells)).alias("e")).select("dataset_id", "row_idx", "blank", "missing_columns", "extra_fields", "unnamed", "e.*")
+    valued = each.withColumn("value", F.when((F.col("part") == "cells") & (F.col("col_idx") > 0), number(F.col("text"))))
+    of_cells = F.col("part") == "cells"
+    flags = {k: of_cells & c for k, c in _flags().items()}
+    cell = of_cells & (F.col("col_idx") > 0)
+    kinds = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))
+    found = valued.withColumn("kinds", kinds).groupBy("dataset_id", "part", "col_idx", "key", "at").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(cell & (F.col("text") == "")).alias("missing"), F.count_if(cell & (F.col("value") == 0)).alias("zero"), F.count("value").alias("numeric"),
+        *[F.count_if(c).alias(k) for k, c in flags.items()],
+        F.min("row_idx").alias("first_row"),
+        F.array_sort(F.collect_list(F.when(F.size("kinds") > 0, F.struct(F.col("row_idx").alias("row"), "text", "kinds")))).alias("shown"),
+        F.first(F.when(F.col("part") == "row", F.struct("missing_columns", "extra_fields", F.col("unnamed"))), ignorenulls=True).alias("ragged"),
+    )
+    some = lambda k: F.transform(F.slice(F.filter("shown", lambda x: F.array_contains(x["kinds"], k)), 1, _SHOWN), lambda x: F.struct(F.lit(k).alias("kind"), x["row"].alias("row"), x["text"].alias("text")))
+    examples = F.flatten(F.array(*[some(k) for k in flags]))
+    return found.select("dataset_id", "part", "col_idx", "key", "at", *[F.col(f"`{c}`") for c in _COUNTS], "first_row", examples.alias("examples"), "ragged.missing_columns", "ragged.extra_fields", "ragged.unnamed")
+
+
+def _counts_of(state: DataFrame) -> DataFrame:
+    return state.where("part = 'cells'").groupBy("dataset_id", "col_idx").agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in _COUNTS])
+
+
+def _examples_of(state: DataFrame) -> DataFrame:
+    """The first ten of each flag among the blocks' first tens."""
+    each = state.where("part = 'cells'").select("dataset_id", "col_idx", F.inline("examples"))
+    rank = F.row_number().over(Window.partitionBy("dataset_id", "col_idx", "kind").orderBy("row"))
+    top = each.withColumn("rank", rank).where(F.col("rank") <= _SHOWN)
+    return top.groupBy("dataset_id", "col_idx").agg(F.array_sort(F.collect_list(F.struct("kind", "row", "text"))).alias("examples"))
+
+
+def _repeated_of(state: DataFrame) -> DataFrame:
+    names = state.where("part = 'name'").groupBy("dataset_id", F.col("key").alias("name"))
+    return names.agg(F.sum("total").alias("n"), F.min("first_row").alias("first_row")).where("n > 1")
+
+
+def validate_state(state: DataFrame, columns: DataFrame, min_samples: int = 1, min_lipids: int = 1, max_missing_percent: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """(issues, summary) of all datasets that ``columns`` lists, from states (one or several put together)."""
+    counted = _counts_of(state)
+    rows = state.where("part = 'row'").select("dataset_id", F.col("at").alias("row_idx"), "missing_columns", "extra_fields", "unnamed")
+    issues = issues_of_counts(columns, counted, _examples_of(state), min_samples, min_lipids, max_missing_percent)
+    issues = issues.unionByName(row_issues(rows)).unionByName(name_issues(_repeated_of(state)))
+    return issues, summary(columns, counted, issues)
+
+
 def validate(raw_rows: DataFrame, columns: DataFrame, min_samples: int = 1, min_lipids: int = 1, max_missing_percent: float = 50.0) -> tuple[DataFrame, DataFrame]:
-    """(issues, summary) of all datasets that ``columns`` lists."""
-    cells = entries(raw_rows)
-    issues = counted_issues(columns, cells, min_samples, min_lipids, max_missing_percent).unionByName(row_issues(raw_rows)).unionByName(name_issues(raw_rows))
-    return issues, summary(columns, cells, issues)
+    """(issues, summary) of all datasets that ``columns`` lists; the rows are read once."""
+    return validate_state(stored(check_state(raw_rows), "check-state"), columns, min_samples, min_lipids, max_missing_percent)
 
 
 def required_columns(raw_rows: DataFrame, columns: DataFrame, required: list[str], quant: list[str]) -> DataFrame:
