@@ -401,6 +401,28 @@ def r11_chains(spark, d):
     return found.groupBy("hops").agg(F.count(F.lit(1)).alias("chains"), F.sum(F.col("path")[0]).alias("starts"))
 
 
+_HOPS = 6
+WALKS = f"""{t.PARTICIPANTS}, x AS (SELECT DISTINCT reaction_ord, role, lm_id FROM p WHERE lm_id IS NOT NULL), made AS (SELECT reaction_ord, lm_id FROM x WHERE role = 'product'), used AS (SELECT reaction_ord, lm_id FROM x WHERE role = 'reactant'), loops AS (
+  SELECT reaction_ord, count(*) AS loops FROM made JOIN used USING (reaction_ord, lm_id) GROUP BY reaction_ord
+), w0 AS (SELECT DISTINCT reaction_ord, 1 AS n FROM x)""" + "".join(f""", c{k} AS (SELECT lm_id, sum(n) AS n FROM made JOIN w{k - 1} USING (reaction_ord) GROUP BY lm_id), w{k} AS (
+  SELECT a.reaction_ord, a.n - coalesce(b.n * l.loops, 0) AS n FROM (SELECT reaction_ord, sum(n) AS n FROM used JOIN c{k} USING (lm_id) GROUP BY reaction_ord) AS a LEFT JOIN w{k - 1} AS b USING (reaction_ord) LEFT JOIN loops AS l USING (reaction_ord)
+)""" for k in range(1, _HOPS + 1))
+
+
+@query(f"WITH {WALKS} " + " UNION ALL ".join(f"SELECT {k} AS hops, count(*) AS ends, CAST(sum(n) AS BIGINT) AS walks FROM w{k} WHERE n > 0" for k in range(1, _HOPS + 1)))
+def r11_walks(spark, d):
+    found = reactions.walk_counts(t.reactions(spark, d), _HOPS)
+    return found.groupBy("hops").agg(F.count(F.lit(1)).alias("ends"), F.sum("walks").cast("long").alias("walks"))
+
+
+@query(f"""WITH {LINKED}, i AS (SELECT DISTINCT k.lm_id, k.reaction_ord, k.role, k.pos FROM k), j AS (SELECT *, row_number() OVER (PARTITION BY lm_id ORDER BY reaction_ord, role DESC, pos) - 1 AS place FROM i)
+SELECT lm_id, place // 50 AS part, string_agg(reaction_ord || ' ' || role || ' ' || pos, ', ' ORDER BY place) AS links FROM j GROUP BY lm_id, place // 50""")
+def r5_link_parts(spark, d):
+    parts = reactions.link_parts(reactions.reaction_links(t.reactions(spark, d), t.observed(spark, d)), 50)
+    link = lambda x: F.concat_ws(" ", x["reaction_id"], x["role"], x["pos"].cast("string"))
+    return parts.select("lm_id", "part", F.array_join(F.transform("reactions", link), ", ").alias("links"))
+
+
 # --- validation
 
 
@@ -546,6 +568,13 @@ def k4_report(spark, d):
     return export.report(issues, summary).select("dataset_id", "issue_count", "passed")
 
 
+@query(f"""WITH {ISSUES}, j AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY check_id) - 1 AS place FROM i)
+SELECT dataset_id, place // 20 AS part, check_id, count(*) AS n FROM j GROUP BY dataset_id, place // 20, check_id""")
+def k4_report_parts(spark, d):
+    parts = export.report_parts(*_validated(spark, d), size=20)
+    return parts.select("dataset_id", "part", F.explode("issues.check_id").alias("check_id")).groupBy("dataset_id", "part", "check_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT l_orderkey AS reaction_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS reactants, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS INTEGER) AS products FROM lineitem GROUP BY l_orderkey""")
 def k5_reaction_rows(spark, d):
     some = lambda c: F.when(F.size(c) > 0, F.col(c))

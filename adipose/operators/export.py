@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import lists_in_parts
 from .reactions import lipid_reactions
 
 
@@ -46,6 +47,21 @@ def report(issues: DataFrame, summary: DataFrame) -> DataFrame:
     return summary.select("dataset_id", F.col("validation_passed").alias("passed"), "has_warnings", (levels[0] + levels[1] + levels[2] + levels[3]).alias("issue_count"), sums)
 
 
+#: Issues in one part of a report.
+REPORT_PART = 1000
+
+
+def report_parts(issues: DataFrame, summary: DataFrame, size: int = REPORT_PART) -> DataFrame:
+    """``report`` with its issues: (dataset_id, part, passed, has_warnings, issue_count, summary, issues), at most ``size`` issues a part.
+
+    Issues are in order of check, location and message; a dataset without any has part 0 with an empty list.
+    """
+    parts = lists_in_parts(issues, ["dataset_id"], ["check_id", "location", "message"], size, "issues")
+    joined = report(issues, summary).join(parts, "dataset_id", "left")
+    empty = F.array().cast(parts.schema["issues"].dataType)
+    return joined.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("issues", F.coalesce("issues", empty))
+
+
 def write_report(issues: DataFrame, summary: DataFrame, path: str) -> None:
     """``verdicts``: a JSON line a dataset; ``issues``: a folder a dataset, a JSON line an issue, in as many files as it needs."""
     report(issues, summary).write.json(f"{path}/verdicts")

@@ -6,9 +6,12 @@ curations, pathways); ``participants`` explodes it to one row a compound.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import lists_in_parts, stored
 from ..functions.text import filled
 from ..sources.reference_tables import display_name
 from .joins import reference_join
@@ -83,6 +86,19 @@ def nested_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
     return lipids.join(lists, "lm_id", "left").withColumn("reactions", F.when(F.coalesce("lm_id", F.lit("")) != "", F.coalesce("reactions", empty)))
 
 
+#: Links in one part of an id's list.
+LIST_PART = 10_000
+
+
+def link_parts(links: DataFrame, size: int = LIST_PART) -> DataFrame:
+    """(lm_id, part, reactions): the list that ``nested_reactions`` gives for an id, in parts of at most ``size`` links.
+
+    A hub's list is many bounded rows; lipid rows meet them by id when they are asked for.
+    """
+    each = links.withColumn("second", F.col("role") == "product")
+    return lists_in_parts(each, ["lm_id"], ["reaction_ord", "second", "pos", "reaction_id"], size, "reactions")
+
+
 def edges(reactions: DataFrame) -> DataFrame:
     """(src, dst, reaction_id, reaction_name): every reactant with every product; the last reaction of a pair counts."""
     named = reactions.select("reaction_ord", "reaction_id", "reaction_name", F.transform("reactants", display_name).alias("from"), F.transform("products", display_name).alias("to"))
@@ -155,6 +171,70 @@ def next_reactions(reactions: DataFrame) -> DataFrame:
     return made.join(used, ["lm_id", "part"]).where("src <> dst").select("src", "dst").distinct()
 
 
+_COUNT = "decimal(38,0)"
+
+
+def walk_counts(reactions: DataFrame, hops: int, within: DataFrame | None = None) -> DataFrame:
+    """(hops, reaction_ord, walks): how many chains of 1 to ``hops`` steps end at each reaction.
+
+    A step goes from a reaction over one of its products to another reaction that takes it, so two
+    shared compounds are two steps. Each level is two sums, by compound and by reaction, of the
+    level before; no link is listed, and what a level moves is as long as the participants. A chain may
+    come back to a reaction it has met; with ``within`` (reaction_ord), such as the reactions outside
+    ``cycle_core``, only chains over these are counted, and outside the core none comes back.
+    """
+    sides = _sides(reactions)
+    sides = stored(sides if within is None else sides.join(within.select("reaction_ord").distinct(), "reaction_ord", "left_semi"), "sides")
+    made, used = (sides.where(F.col("role") == r).select("reaction_ord", "lm_id") for r in ("product", "reactant"))
+    loops = made.join(used, ["reaction_ord", "lm_id"]).groupBy("reaction_ord").agg(F.count(F.lit(1)).alias("loops"))
+    level = sides.select("reaction_ord").distinct().withColumn("walks", F.lit(1).cast(_COUNT))
+    levels = []
+    for hop in range(1, hops + 1):
+        over = made.join(level, "reaction_ord").groupBy("lm_id").agg(F.sum("walks").cast(_COUNT).alias("walks"))
+        arrived = reference_join(used, over, "lm_id", "inner").groupBy("reaction_ord").agg(F.sum("walks").cast(_COUNT).alias("walks"))
+        # what a reaction would hand to itself is taken off
+        own = level.join(loops, "reaction_ord").select("reaction_ord", (F.col("walks") * F.col("loops")).cast(_COUNT).alias("own"))
+        left = arrived.join(own, "reaction_ord", "left").select("reaction_ord", (F.col("walks") - F.coalesce("own", F.lit(0))).cast(_COUNT).alias("walks"))
+        level = stored(left.where("walks > 0"), "walks")
+        levels.append(level.select(F.lit(hop).alias("hops"), "reaction_ord", "walks"))
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+def cycle_core(reactions: DataFrame) -> DataFrame:
+    """(reaction_ord) of what is left when reactions without a predecessor or without a successor are taken off again and again.
+
+    Every reaction on a cycle is in it, so chains outside meet no reaction twice. Each round counts
+    makers and takers per compound; it ends when a round takes nothing off.
+    """
+    pairs = _sides(reactions).groupBy("reaction_ord", "lm_id").agg(F.max((F.col("role") == "product").cast("int")).alias("makes"), F.max((F.col("role") == "reactant").cast("int")).alias("takes"))
+    pairs, n = stored(pairs, "core"), -1
+    while True:
+        ends = pairs.groupBy("lm_id").agg(F.sum("makes").alias("makers"), F.sum("takes").alias("takers"))
+        seen = reference_join(pairs, ends, "lm_id", "inner")
+        before = (F.col("takes") == 1) & (F.col("makers") > F.col("makes"))
+        after = (F.col("makes") == 1) & (F.col("takers") > F.col("takes"))
+        kept = stored(seen.groupBy("reaction_ord").agg(F.bool_or(before).alias("before"), F.bool_or(after).alias("after")).where("before and after").select("reaction_ord"), "core")
+        left = kept.count()
+        if left in (n, 0):
+            return kept
+        pairs, n = stored(pairs.join(kept, "reaction_ord", "left_semi"), "core"), left
+
+
+def chains_from(reactions: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(path, hops): the chains of ``chains`` that begin at ``starts`` (reaction_ord); other links are not listed."""
+    sides = stored(_sides(reactions), "sides")
+    made = sides.where("role = 'product'").select(F.col("reaction_ord").alias("src"), "lm_id")
+    used = sides.where("role = 'reactant'").select(F.col("reaction_ord").alias("dst"), "lm_id")
+    frontier = starts.select(F.array("reaction_ord").alias("path")).distinct()
+    levels = []
+    for _ in range(hops):
+        over = frontier.withColumn("src", F.element_at("path", -1)).join(made, "src").select("path", "lm_id")
+        ahead = reference_join(over, used, "lm_id", "inner").where(~F.array_contains("path", F.col("dst")))
+        frontier = stored(ahead.select(F.concat("path", F.array("dst")).alias("path")).distinct(), "chains")
+        levels.append(frontier)
+    return functools.reduce(DataFrame.unionByName, levels).withColumn("hops", F.size("path") - 1)
+
+
 def chains(reactions: DataFrame, hops: int) -> DataFrame:
     """(path, hops): chains of up to ``hops`` steps that meet no reaction twice.
 

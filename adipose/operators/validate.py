@@ -198,14 +198,14 @@ def check_state(raw_rows: DataFrame) -> DataFrame:
     blank = ~F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x: strip(F.coalesce(x, F.lit(""))) != "")
     name, block = F.col("name"), F.floor(F.col("row_idx") / BLOCK).cast("long")
     fields = lambda part, col, text, key, at: F.struct(F.lit(part).alias("part"), col.cast("int").alias("col_idx"), text.alias("text"), key.alias("key"), at.cast("long").alias("at"))
-    cells = F.transform(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x, k: fields("cells", k + 1, strip(F.coalesce(x, F.lit(""))), none("string"), F.col("block")))
+    cells = F.transform(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda x, k: fields("cells", k + 1, F.coalesce(x, F.lit("")), none("string"), F.col("block")))
     flagged = (F.size("extra_fields") > 0) | (F.size("missing_columns") > 0) | (name == "")
     others = F.array_compact(F.array(
         fields("cells", F.lit(-1), name, none("string"), F.col("block")), F.when(name != "", fields("name", F.lit(0), none("string"), name, none("long"))), F.when(flagged, fields("row", F.lit(0), none("string"), none("string"), F.col("row_idx"))),
     ))
     rows = raw_rows.select("dataset_id", "row_idx", "cells", "missing_columns", "extra_fields", _first().alias("name"), block.alias("block"), blank.alias("blank"))
     each = rows.select("dataset_id", "row_idx", "blank", "missing_columns", "extra_fields", (name == "").alias("unnamed"), F.explode(F.concat(others, cells)).alias("e")).select("dataset_id", "row_idx", "blank", "missing_columns", "extra_fields", "unnamed", "e.*")
-    valued = each.withColumn("value", F.when((F.col("part") == "cells") & (F.col("col_idx") > 0), number(F.col("text"))))
+    valued = each.withColumn("text", strip("text")).withColumn("value", F.when((F.col("part") == "cells") & (F.col("col_idx") > 0), number(F.col("text"))))
     of_cells = F.col("part") == "cells"
     flags = {k: of_cells & c for k, c in _flags().items()}
     cell = of_cells & (F.col("col_idx") > 0)
