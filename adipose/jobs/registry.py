@@ -551,6 +551,15 @@ def k1_wide_matrix(spark, d):
     return export.wide_matrix(t.quant(spark, d), ids).drop("dataset_id")
 
 
+@query(f"""WITH {t.QUANT}, {t.SAMPLES}, r AS (SELECT DISTINCT row_idx, input_name FROM q), h AS (SELECT sample_id, (row_number() OVER (ORDER BY ordinal) - 1) AS k FROM s)
+SELECT r.row_idx, r.input_name, CAST(h.k // 10 AS INTEGER) AS block, string_agg(coalesce(CAST(CAST(q.value AS BIGINT) AS VARCHAR), '-'), ' ' ORDER BY h.k) AS "values"
+FROM r CROSS JOIN h LEFT JOIN q ON q.row_idx = r.row_idx AND q.sample_id = h.sample_id GROUP BY r.row_idx, r.input_name, h.k // 10 HAVING count(q.value) > 0""")
+def k1_dense_matrix(spark, d):
+    blocks = export.dense_matrix(t.quant(spark, d), t.samples(spark, d), block=10)
+    shown = F.array_join(F.transform("values", lambda x: F.coalesce(x.cast("long").cast("string"), F.lit("-"))), " ")
+    return blocks.select("row_idx", "input_name", "block", shown.alias("values"))
+
+
 @query(f"""WITH {ANNOTATED}, {t.QUANT}, v AS (SELECT row_idx, count(*) AS n, sum(value) AS total FROM q GROUP BY row_idx) SELECT a.row_idx, a.lm_id, CAST(coalesce(v.n, 0) AS INTEGER) AS n_values, coalesce(v.total, 0.0) AS total FROM a LEFT JOIN v ON v.row_idx = a.row_idx""")
 def k2_nested_dataset(spark, d):
     nested = export.nested_dataset(_annotated(spark, d), t.quant(spark, d))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import lists_in_parts
+from ..functions.tables import BROADCAST_ENTRIES, lists_in_parts, stored
 from .reactions import lipid_reactions
 
 
@@ -17,10 +17,41 @@ def wide_matrix(quant: DataFrame, sample_ids: list[str]) -> DataFrame:
     sample_ids = list(dict.fromkeys(sample_ids))
     most = int(quant.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     if len(sample_ids) > most:
-        raise ValueError(f"{len(sample_ids)} samples are more than spark.sql.pivotMaxValues ({most}); use the long or nested form")
+        raise ValueError(f"{len(sample_ids)} samples are more than spark.sql.pivotMaxValues ({most}); use dense_matrix")
     return quant.groupBy("dataset_id", "row_idx", "input_name").pivot("sample_id", sample_ids).agg(F.first("value"))
 
 
+#: Samples in one block of a dense matrix.
+MATRIX_BLOCK = 1000
+
+
+def dense_matrix(quant: DataFrame, samples: DataFrame, block: int = MATRIX_BLOCK) -> DataFrame:
+    """(dataset_id, row_idx, input_name, block, values): a wide matrix of any width as vectors of ``block`` samples at most.
+
+    ``samples`` is (dataset_id, ordinal, sample_id). The k-th sample of a dataset by ordinal is place
+    k % block of block k // block, null where the row has no value; a block without any value is left
+    out. ``matrix_header`` names the places. One shuffle by row and block; nothing depends on the
+    number of samples but the number of blocks.
+    """
+    places = stored(matrix_header(samples, block).select("dataset_id", "sample_id", "block", "place", "width"), "matrix-places")
+    few = F.broadcast(places) if places.count() <= BROADCAST_ENTRIES else places
+    put = quant.join(few, ["dataset_id", "sample_id"]).groupBy("dataset_id", "row_idx", "input_name", "block", "width").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("put"))
+    gap = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
+    before = lambda k: F.coalesce(F.get("put", k - 1)["place"], F.lit(-1))
+    filled = F.flatten(F.transform("put", lambda x, k: F.concat(gap(x["place"] - before(k) - 1), F.array(x["value"]))))
+    return put.select("dataset_id", "row_idx", "input_name", "block", F.concat(filled, gap(F.col("width") - F.element_at("put", -1)["place"] - 1)).alias("values"))
+
+
+def matrix_header(samples: DataFrame, block: int = MATRIX_BLOCK) -> DataFrame:
+    """(dataset_id, sample_id, ordinal, block, place, width): where each sample stands in ``dense_matrix``; one listed twice stands once."""
+    once = samples.groupBy("dataset_id", "sample_id").agg(F.min("ordinal").alias("ordinal"))
+    of = Window.partitionBy("dataset_id")
+    k = F.row_number().over(of.orderBy("ordinal", "sample_id")) - 1
+    placed = once.withColumn("k", k).withColumn("n", F.count(F.lit(1)).over(of))
+    number = F.floor(F.col("k") / block).cast("int")
+    return placed.select("dataset_id", "sample_id", "ordinal", number.alias("block"), (F.col("k") % block).cast("int").alias("place"), F.least(F.lit(block), F.col("n") - number * block).cast("int").alias("width"))
+
+
 def nested_dataset(lipids: DataFrame, quant: DataFrame) -> DataFrame:
     """``lipids`` with the map of their values."""
     maps = quant.groupBy("dataset_id", "row_idx").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("sample_id", "value")))).alias("values"))

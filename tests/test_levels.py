@@ -93,3 +93,18 @@ def test_report_with_its_issues(spark):
     rows = export.report_parts(issues, summary, size=8).orderBy("dataset_id", "part").collect()
     assert [(r.dataset_id, r.part, len(r.issues), r.issue_count, r.passed) for r in rows] == [("d", 0, 8, 31, False), ("d", 1, 8, 31, False), ("d", 2, 8, 31, False), ("d", 3, 7, 31, False), ("e", 0, 0, 0, True)]
     assert sorted(x.check_id for r in rows for x in r.issues) == ["V10"] + ["V8"] * 30 and rows[0].issues[0].message
+
+
+def test_matrix_of_12000_samples_equals_sql(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(export, "BROADCAST_ENTRIES", 0)
+    n = 12_000
+    samples = spark.range(n).select(F.lit("d").alias("dataset_id"), (F.col("id") * 3).cast("int").alias("ordinal"), F.concat(F.lit("s"), "id").alias("sample_id"))
+    rows = spark.range(12 * n).select((F.col("id") % 12).alias("row_idx"), F.floor(F.col("id") / 12).alias("k")).where("(k + 1) * (row_idx + 3) % 7 < 4 and (row_idx < 11 or k < 40)")
+    quant = rows.select(F.lit("d").alias("dataset_id"), "row_idx", F.concat(F.lit("n"), "row_idx").alias("input_name"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("sample_id"), (F.col("k") + F.col("row_idx") / 16).alias("value"))
+    got = {(r.row_idx, r.block): list(r["values"]) for r in export.dense_matrix(quant, samples, block=500).collect()}
+    sql = f"""WITH q AS (SELECT r, k, CASE WHEN (k + 1) * (r + 3) % 7 < 4 AND (r < 11 OR k < 40) THEN k + r / 16 END AS value FROM range(12) AS a(r), range({n}) AS b(k))
+    SELECT r, k // 500, list(value ORDER BY k) FROM q GROUP BY r, k // 500 HAVING count(value) > 0"""
+    assert got == {(r, b): v for r, b, v in duckdb.sql(sql).fetchall()}
+    assert len(got) == 11 * 24 + 1
