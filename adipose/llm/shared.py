@@ -40,6 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows``, dealt over all cores where their table ``source`` is read in fewer parts than there are cores.
+
+    Such a table is small, or one file that cannot be split; a larger one stays where it is read.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if source.rdd.getNumPartitions() < cores else rows
+
+
 #: Up to so many ids a semi or anti join broadcasts them (some MB); beyond, it broadcasts two bitmaps of at most so many bits (16 MB) each.
 BROADCAST_IDS, BITMAP_BITS = 200_000, 1 << 27
 _BUCKET = 1 << 15  # bits in one value of bitmap_construct_agg

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_ids, new_path, stored
+from .shared import by_ids, new_path, spread, stored
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -115,7 +115,7 @@ def token_counts(documents: DataFrame, cache: str | None = None, tokenizer: str
     of_id = by_ids(texts.where("doc_id is not null"), named.select("doc_id").distinct(), "doc_id")
     of_none = by_ids(texts.where("doc_id is null").withColumn("digest", F.sha2("text", 256)), unnamed, "digest")
     misses = of_id.select(F.sha2("text", 256).alias("digest"), "text").unionByName(of_none.select("digest", "text"))
-    misses.mapInArrow(_count(path, version), _CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    spread(misses, documents).mapInArrow(_count(path, version), _CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     known = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # written, since the skew join splits a hot digest only where both sides come right from their shuffles
     counted = heads.join(stored(known, "known-counts"), "digest", "left")
