@@ -11,7 +11,8 @@ are cut there, and each distinct cut of a task is encoded once:
 3. the occurrences, as edges (position, length, piece), are sorted by position;
 4. the edges are relaxed in the model's order: in each cut the adjacent pair of symbols that an edge
    of best score spans (leftmost among equals) becomes one symbol, until no edge spans a pair.
-   All cuts relax side by side. Characters without an edge become byte pieces.
+   All cuts relax side by side, but those of more than ``LONG_CUT`` characters, whose edges are
+   taken from a heap one by one. Characters without an edge become byte pieces.
 
 Defined results: null is an empty text, which has no pieces and decodes to an empty text; a text's
 own mark characters decode as spaces, as in the public library; very long texts are encoded whole;
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -38,6 +40,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MEMO_CHARACTERS = 2_500_000
 BATCH_CHARACTERS = 400_000
+LONG_CUT = 1_000
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -207,6 +210,29 @@ def _relax(grid: np.ndarray, starts: np.ndarray, owner: np.ndarray, rank: np.nda
     return s[order], z[order], o[order]
 
 
+def _relax_long(grid: np.ndarray, begin: int, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the symbols left of one long cut: the same order of edges, kept in a heap, with linked symbols."""
+    longest, ranks = grid.shape[1] - 1, rank.tolist()
+    pair = grid[begin : begin + length, 2]  # a merge of single characters; -1 where the next cut's separator follows
+    heap = [(ranks[p], k, 1, 1) for k, p in enumerate(pair.tolist()) if p >= 0]
+    heapq.heapify(heap)
+    size, after, before = [1] * length, list(range(1, length + 1)), list(range(-1, length - 1))
+    while heap:
+        _, at, left, right = heapq.heappop(heap)
+        follower = after[at]
+        if size[at] != left or follower >= length or size[follower] != right:
+            continue  # one of the two has grown or gone since
+        size[at], size[follower], after[at] = left + right, 0, after[follower]
+        if after[at] < length:
+            before[after[at]] = at
+        for a in (before[at], at):
+            if a >= 0 and after[a] < length and (both := size[a] + size[after[a]]) <= longest and (piece := grid[begin + a, both]) >= 0:
+                heapq.heappush(heap, (ranks[piece], a, size[a], size[after[a]]))
+    sizes = np.array(size, np.int64)
+    starts = np.flatnonzero(sizes)
+    return starts + begin, sizes[starts]
+
+
 def encode_cuts(cuts: list[str], model: Pieces) -> list[bytes]:
     """The piece ids of each cut as int32 bytes."""
     text = "\0".join(cuts) + "\0"
@@ -216,7 +242,15 @@ def encode_cuts(cuts: list[str], model: Pieces) -> list[bytes]:
     owner = np.repeat(np.arange(len(cuts)), lengths)
     starts = np.arange(lengths.sum()) + owner  # one separator a cut before
     grid = edges(codes, model)
-    s, z, o = _relax(grid, starts, owner, model.rank)
+    long = lengths > LONG_CUT
+    side_by_side = ~long[owner]
+    s, z, o = _relax(grid, starts[side_by_side], owner[side_by_side], model.rank)
+    if long.any():
+        # a round of all cuts side by side makes one merge a cut, so a long cut would need as many rounds as it has letters
+        alone = [(*_relax_long(grid, int(begins[k]), int(lengths[k]), model.rank), k) for k in np.flatnonzero(long).tolist()]
+        s, z, o = (np.concatenate([x, *y]) for x, y in zip((s, z, o), zip(*[(a, b, np.full(len(a), k)) for a, b, k in alone])))
+        order = np.argsort(s, kind="stable")
+        s, z, o = s[order], z[order], o[order]
     ids = grid[s, z]
     unknown = np.flatnonzero(ids < 0)
     if len(unknown):

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from adipose.llm import byte_bpe, conversation_repair, queries, shared, spelling_variants
+from adipose.llm import byte_bpe, conversation_repair, queries, sentencepiece_codec, shared, spelling_variants
 from compare import SMALL
 
 CLASH = "word string, n long, pos long, token long, shard int, member boolean, gone boolean, later boolean, best string"
@@ -243,3 +243,24 @@ def test_near_dedup_stage_keeps_rows_without_id_by_bitmap(spark, monkeypatch):
     for bound in (200_000, 0):
         monkeypatch.setattr(shared, "BROADCAST_IDS", bound)
         assert sorted(r.doc_id or -1 for r in corpus_pipeline.near_deduplication(spark, rows, SMALL).collect()) == [-1, -1, 7, 42]
+
+
+# --- long cuts of the SentencePiece encoder
+
+
+def test_a_million_letters_without_a_space(monkeypatch):
+    import sentencepiece
+
+    path, r = sentencepiece_codec.model_path(), random.Random(8)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encode = sentencepiece_codec.encoder(path)
+    ids = lambda texts: [np.frombuffer(x, "<i4").tolist() for x in encode(texts)]
+    long = ["".join(r.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("aaab", 30_000), ("日本語のé", 20_000), ("the", 1_001), ("the", 1_000))]
+    texts = [*long, f"some words {long[1]} more  {long[3]}\n", "a short one"]
+    assert ids(texts) == library.encode(texts)
+    monkeypatch.setattr(sentencepiece_codec, "LONG_CUT", 5)
+    mixed = ["".join(r.choice("abthe r\n.é日▁") for _ in range(r.randint(1, 120))) for _ in range(300)]
+    sentencepiece_codec.encoder.cache_clear()
+    encode = sentencepiece_codec.encoder(path)
+    assert ids(mixed) == library.encode(mixed)
+    sentencepiece_codec.encoder.cache_clear()
