@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, stored
 
 CRLF = "\r\n"
 LEAST_BYTES = 100
@@ -37,9 +37,13 @@ def headers(pages: DataFrame, id_col: str = "page_id", payload: str = "html") ->
 
 
 def revisits(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, digest, refers_to) of the records whose payload an earlier id has already."""
+    """(page_id, digest, refers_to) of the records whose payload an earlier id has already.
+
+    The first records are written before headers join them, so the skew join splits a hot digest.
+    """
     long = heads.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
+    first = stored(first, "first-records")
     return long.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
