@@ -7,9 +7,9 @@ one pass over a text, and Myers' bit-parallel search verifies the stretch around
 budget is never so large that pieces fall below ``LEAST_PIECE`` characters.
 
 The test items are a stated query set. They are handled in blocks of bounded size: each block is
-broadcast and run against all documents where they are read, so texts are never shuffled. With more
+broadcast and run against all documents where they are read, so matching never shuffles texts. With more
 than one block each one's result is stored and its broadcast released before the next is collected,
-so driver and workers hold one block at a time.
+so driver and workers hold one block at a time; ``drop_contaminated`` then stores digests, not rows.
 
 Defined results: null or blank items match nothing, nor do null or empty documents; an item that
 repeats matches under each of its ids; rows that repeat give a row each; rows without id are
@@ -19,6 +19,7 @@ is reached; with no items nothing matches; other columns pass unchanged in ``dro
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .shared import stored
+from .shared import by_ids, stored
 
 RATE = 0.08
 LEAST_PIECE = 10
@@ -164,9 +165,28 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
     return out
 
 
+def _holding(texts: DataFrame, get: Callable[[], Matcher], digest: str) -> DataFrame:
+    """Distinct digests of the ``texts`` (digest, text) that hold an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ta.slices(batches, "text"):
+            held = pa.array([bool(get().matches(x, first=True)) for x in part.column(1).to_pylist()], pa.bool_())
+            yield part.select([digest]).filter(held)
+
+    return texts.mapInArrow(run, f"`{digest}` string").distinct()
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``documents`` without the rows that hold any item."""
-    spark, at = documents.sparkSession, documents.columns.index(text)
+    """``documents`` without the rows that hold any item.
+
+    Items of one block filter the rows where they are read. With several blocks each lists the digests
+    of the texts that hold one of its items, and one anti join at the end takes their rows off; a null
+    text holds none.
+    """
+    spark, at, found = documents.sparkSession, documents.columns.index(text), []
+    digest = "text_digest"
+    while digest in documents.columns:
+        digest += "_"
     for only, items in _blocks(benchmark, item_col, item_text):
         shared = spark.sparkContext.broadcast((items, rate))
         get = _matcher(shared)
@@ -175,8 +195,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float =
             for part in ta.slices(batches, text):
                 yield part.filter(pa.array([not get().matches(x, first=True) for x in part.column(at).to_pylist()], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-        if not only:
-            documents = stored(documents, "clean-documents")
-            shared.destroy()
-    return documents
+        if only:
+            return documents.mapInArrow(run, documents.schema)
+        texts = documents.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias(digest), F.col(text).alias("text"))
+        found.append(stored(_holding(texts, get, digest), "contaminated-texts"))
+        shared.destroy()
+    gone = stored(functools.reduce(DataFrame.unionByName, found).distinct(), "contaminated")
+    return by_ids(documents.withColumn(digest, F.sha2(F.col(text), 256)), gone, digest, "left_anti").drop(digest)
