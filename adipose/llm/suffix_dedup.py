@@ -12,8 +12,12 @@ windows of equal anchors finds every repeat, and sharding by anchor brings equal
    (each round sorts only groups that are still tied, by the rank ``h`` bytes on, doubling ``h``),
    the common prefixes by Kasai's rule in parallel lanes, and marks windows that share ``LENGTH``
    bytes with a neighbour.
-4. An anchor with more than ``BLOCK`` stretches is split into blocks. Each block has its suffix
-   array, and blocks are merged in pairs: the windows of one are binary-searched in the other.
+4. An anchor with more than ``BLOCK`` stretches is not compared all with all. Its window hashes are
+   shuffled first; a stretch without one that repeats is done. Of each hash that repeats the least
+   place represents it, and a stretch goes to the representatives of its windows only. One with more
+   than ``BLOCK`` followers meets them in blocks: representative and block have suffix arrays of
+   their own, and the windows of one are binary-searched in the other. So what is sent grows with
+   the stretches, not with their pairs.
 5. Where an anchor has one stretch in several places, there is nothing to sort: neighbouring
    stretches of the same two documents travel as one run and the shard compares its bytes.
 6. A third and any further place of a stretch is covered by its digest, without moving text: the
@@ -288,6 +292,10 @@ def _shard(length: int):
             raise ValueError("two different stretches have one digest")
         whole = pd.DataFrame({"row": pdf["row"], "lo": pdf["first"], "hi": pdf["first"] + pdf["windows"] + length - 1})[run]
         pdf, windows, sure = pdf[~run], windows[~run], sure[~run]
+        if key[1] == key[2]:
+            # a place that follows several representatives of this shard is there once
+            own = sure | ~pdf.duplicated(["row", "first", "sure"]).to_numpy()
+            pdf, windows, sure = pdf[own], windows[own], sure[own]
         block = (pdf["block"].to_numpy() != key[1]).astype(np.int64)
         which, window = repeated_windows(pdf["body"].tolist(), windows, block, length)
         if key[1] == key[2] and (np.bincount(which, minlength=len(pdf)) < windows)[sure].any():
@@ -362,6 +370,41 @@ def _runs(stretches: DataFrame) -> DataFrame:
     return runs.select(places.alias("place"), "windows", F.xxhash64(*pair, "first").alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("blocks"), F.lit(True).alias("sure"), F.lit(True).alias("run")).select("place.*", "windows", "cell", "block", "blocks", "sure", "run")
 
 
+def _window_hashes(length: int):
+    """(id, window): the hash of each window of the wanted stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ta.slices(batches, "text"):
+            data, offsets = ta.utf8(part.column(part.schema.get_field_index("text")))
+            prefix = ta.prefix_hash(data)
+            lists = part.column(part.schema.get_field_index("wanted"))
+            flat, of = lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            ids, first, windows = (flat.field(c).to_numpy().astype(np.int64) for c in ("id", "first", "windows"))
+            first = first + offsets[of]
+            for at in range(0, len(ids), 4096):
+                lo, n = first[at : at + 4096], windows[at : at + 4096]
+                start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                yield pa.record_batch([pa.array(np.repeat(ids[at : at + 4096], n)), pa.array(ta.hash_spans(prefix, start, start + length).view(np.int64))], names=["id", "window"])
+
+    return run
+
+
+def _followers(rows: DataFrame, split: DataFrame, length: int) -> DataFrame:
+    """What is sent of the stretches ``split`` (row, first, windows, id): each to the representatives of its windows.
+
+    A window's representative is the place with the least id that has it. Windows that are nowhere
+    else need no text. Followers are dealt to blocks from 1; block 0 is the representative.
+    """
+    wanted = stored(split.groupBy("row").agg(F.collect_list(F.struct("id", "first", "windows")).alias("wanted")), "split-rows")
+    texts = by_ids(rows.select("row", "text"), wanted.select("row"), "row").dropDuplicates(["row"])
+    hashes = stored(texts.join(wanted, "row").mapInArrow(_window_hashes(length), "id long, window long"), "split-windows")
+    repeated = hashes.groupBy("window").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("window", "head")
+    pairs = stored(hashes.join(stored(repeated, "repeated-windows"), "window").select("id", "head").distinct(), "followers")
+    sizes = stored(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "follower-blocks")
+    block = F.when((F.col("id") == F.col("head")) | (F.col("blocks") == 1), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    return pairs.join(sizes, "head").join(split, "id").select("row", "first", "windows", F.xxhash64("head").alias("cell"), block.alias("block"), "blocks", F.lit(False).alias("sure"), F.lit(False).alias("run"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, spans) for each of ``rows`` (row, text) with repeated windows; spans may overlap."""
     listed = stored(rows.select("row", "text").mapInArrow(_list_anchors(length, gram), _ANCHORS), "anchors")
@@ -376,17 +419,25 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     whole = more.select("row", "lo", (F.col("lo") + F.col("windows") + length - 1).alias("hi"))
     # different stretches of one anchor
     mixed = stretches.where("mixed")
-    sizes = mixed.groupBy("anchor").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
+    sizes = stored(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")), "anchor-sizes")
+    sized = mixed.join(sizes, "anchor")
+    split = stored(sized.where(F.col("members") > BLOCK).select("one.row", F.col("one.at").alias("first"), "windows", F.xxhash64("one.row", "one.at").alias("id")), "split-anchors")
+    # of a split anchor a stretch with two places is compared there, beside what its windows meet
+    paired = F.when(F.col("members") > BLOCK, F.xxhash64("anchor", "stretch")).otherwise(F.xxhash64("anchor"))
     places = F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))
-    apart = mixed.join(sizes, "anchor").select(F.explode(places).alias("place"), "windows", F.xxhash64("anchor").alias("cell"), F.pmod("stretch", F.col("blocks")).cast("int").alias("block"), "blocks", (F.col("n") > 1).alias("sure"), F.lit(False).alias("run"))
-    sent = stored(apart.select("place.row", F.col("place.at").alias("first"), "windows", "cell", "block", "blocks", "sure", "run").unionByName(_runs(stretches)), "sent-stretches")
+    apart = sized.where((F.col("members") <= BLOCK) | (F.col("n") > 1)).select(F.explode(places).alias("place"), "windows", paired.alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("blocks"), (F.col("n") > 1).alias("sure"), F.lit(False).alias("run"))
+    apart = apart.select("place.row", F.col("place.at").alias("first"), "windows", "cell", "block", "blocks", "sure", "run")
+    if not split.isEmpty():
+        apart = apart.unionByName(_followers(rows, split, length))
+    sent = stored(apart.unionByName(_runs(stretches)), "sent-stretches")
     total = sent.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     wanted = stored(sent.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "cell", "block", "blocks", "sure", "run")).alias("wanted")), "wanted-stretches")
     texts = by_ids(rows.select("row", "text"), wanted.select("row"), "row").dropDuplicates(["row"])
     bodies = texts.join(wanted, "row").mapInArrow(_stretch_bodies(length), f"row long, {_WANTED}, body binary")
-    other = bodies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a split anchor has cells of its own; the others share shards
+    # a representative meets every block of its followers and has cells of its own; the others share shards
+    is_head = (F.col("block") == 0) & (F.col("blocks") > 1)
+    other = bodies.withColumn("other", F.explode(F.when(is_head, F.sequence(F.lit(1), F.col("blocks"))).otherwise(F.array(F.lit(0)))))
     shard = F.when(F.col("blocks") > 1, F.col("cell")).otherwise(F.pmod("cell", F.lit(int(shards))))
     cells = other.select(shard.alias("shard"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "first", "windows", "cell", "block", "sure", "run", "body")
     marked = cells.groupBy("shard", "low", "high").applyInPandas(_shard(length), "row long, lo long, hi long")
