@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, export, profile, quant, reactions, samples, stats, validate
+from ..operators import annotate, export, joins, profile, quant, reactions, samples, stats, validate
 from ..sources import delimited
 from ..sources import reference_tables as ref
 from . import driver_tables as t
@@ -279,6 +280,15 @@ def j1_standardise(spark, d):
     return _annotated(spark, d).select("row_idx", "input_name", "standardized_name", "lm_id", "mass", "main_class", "sub_class", "standardized_by", "lm_id_found_by")
 
 
+@query(f"""WITH {ANNOTATED}, {t.STRUCTURES} SELECT a.row_idx, a.input_name, a.standardized_name, coalesce(a.lm_id, k.lm_id) AS lm_id, CASE WHEN a.lm_id IS NULL THEN k.matched_field END AS matched_field FROM a LEFT JOIN k ON k.key = coalesce(nullif(a.standardized_name, ''), a.input_name)""")
+def j1_j3_bucketed_references(spark, d):
+    run = uuid.uuid4().hex
+    names = joins.bucket_reference(t.names(spark, d), "input_name", f"names_{run}")
+    keys = joins.bucket_reference(ref.structure_keys(t.structures(spark, d)), "key", f"structure_keys_{run}")
+    found = annotate.standardise(t.lipids(spark, d), names, bucketed=True)
+    return annotate.fill_from_structures(found, keys, bucketed=True).select("row_idx", "input_name", "standardized_name", "lm_id", "matched_field")
+
+
 @query(f"""WITH {t.NAMES} SELECT c_custkey, n.lm_id, n.standardized_name FROM customer JOIN part ON p_partkey = c_custkey LEFT JOIN n ON n.input_name = p_name""")
 def j2_annotate_table(spark, d):
     rows = t.table(spark, d, "customer").join(t.table(spark, d, "part"), F.col("c_custkey") == F.col("p_partkey")).select("c_custkey", "p_name")

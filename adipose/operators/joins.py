@@ -3,6 +3,9 @@
 A reference table below a counted bound is broadcast whole. Beyond it a frequent-items sketch of the
 rows' keys (partial sketches per task, merged) names the hot ones. Their reference rows are broadcast,
 and their rows meet them where they are read, as do rows without key; only the rest is shuffled.
+
+A reference table that many jobs look up is written once in buckets of its key (``bucket_reference``).
+Beyond the bound its part of a join then is read bucket by bucket, sorted: only the rows move.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import stored
+from ..functions.tables import shared_path, stored
 
 #: Reference rows that are broadcast, all of a table or those of hot keys.
 BROADCAST_ROWS = 200_000
@@ -26,12 +29,28 @@ def hot_keys(rows: DataFrame, key: str) -> list:
     return [x["item"] for x in found["top"] or [] if 2 * tasks * x["count"] > found["n"]]
 
 
-def reference_join(rows: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
+def bucket_reference(side: DataFrame, key: str, name: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """``side`` without null keys, saved as table ``name`` in ``buckets`` by ``key`` and sorted in them.
+
+    Rows of equal keys all stay. A table of that name is replaced. Without ``buckets`` there are as
+    many as shuffle partitions: with fewer Spark may deal both sides anew. Each bucket is one file, as
+    rows are dealt by the buckets' hash first. Null keys match nothing, so they are left out.
+    """
+    spark = side.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = side.where(F.col(key).isNotNull()).repartition(buckets, key)
+    kept.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path or shared_path(spark, name)).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
+def reference_join(rows: DataFrame, side: DataFrame, key: str, how: str = "left", bucketed: bool = False) -> DataFrame:
     """``rows`` joined (left or inner) to ``side`` on ``key``; the same rows as a plain join gives.
 
-    ``rows`` is read up to three times, so it should be a table or a short way from one.
+    ``rows`` is read up to three times, so it should be a table or a short way from one. A ``bucketed``
+    side is (columns of) a table of ``bucket_reference``; it is read where it is and not copied.
     """
-    side = stored(side.where(F.col(key).isNotNull()), "reference")
+    side = side.where(F.col(key).isNotNull())
+    side = side if bucketed else stored(side, "reference")
     if side.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(side), key, how)
     hot = hot_keys(rows, key)
