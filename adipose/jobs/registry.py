@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import annotate, export, joins, profile, quant, reactions, samples, stats, validate
 from ..sources import delimited
 from ..sources import reference_tables as ref
+from . import driver_files as written
 from . import driver_tables as t
+from . import workloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,9 +129,64 @@ def s11_headgroups(spark, d):
     return ref.headgroup_table(t.headgroups(spark, d)).select("headgroup", F.col("lm_ids")[0].alias("first_id"))
 
 
+@query("""SELECT row_number() OVER (ORDER BY c_custkey) AS row_idx, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN '"' || c_name || '", ' || c_mktsegment ELSE c_name END AS name,
+  CASE WHEN c_custkey % 7 = 0 THEN 'first' || chr(10) || 'second' WHEN c_custkey % 5 = 0 THEN '' ELSE 'padded' END AS note FROM customer""")
+def s1_read(spark, d):
+    rows, columns = delimited.read_table(spark, written.quoted_table(spark, d))
+    at = {r["column"]: r["col_idx"] for r in columns.collect()}
+    return rows.select("row_idx", *[F.col("cells")[at[c]].alias(c) for c in ("id", "name", "note")])
+
+
+@query("""SELECT e.encoding, ';' AS delimiter, row_number() OVER (PARTITION BY e.encoding ORDER BY c_custkey) AS row_idx, 'Z' || chr(252) || 'rich ' || c_name AS name FROM customer, (VALUES ('utf-8'), ('latin-1')) AS e(encoding)""")
+def s4_encoding(spark, d):
+    tables = [delimited.read_dataset(spark, written.accented_table(spark, d, e)) for e in ("UTF-8", "ISO-8859-1")]
+    shown = [x.raw_rows.join(F.broadcast(x.datasets), "dataset_id").select("encoding", "delimiter", "row_idx", F.col("cells")[0].alias("name")) for x in tables]
+    return shown[0].unionByName(shown[1])
+
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) AS row_idx, * FROM customer)
+SELECT row_idx, 'name' AS "column", 'Label' AS label, c_name AS text FROM r UNION ALL SELECT row_idx, 'segment', '', c_mktsegment FROM r UNION ALL SELECT row_idx, 'nation', 'group 2', CAST(c_nationkey AS VARCHAR) FROM r""")
+def s5_label_row(spark, d):
+    rows, columns = delimited.read_table(spark, written.labelled_table(spark, d), has_labels=True)
+    cells = rows.select("row_idx", F.posexplode("cells").alias("col_idx", "text"))
+    return cells.join(F.broadcast(columns), "col_idx").select("row_idx", "column", "label", "text")
+
+
+@query(f"""WITH r AS (SELECT c_custkey // {written.CUSTOMERS_A_FILE} AS file, c_custkey % {written.CUSTOMERS_A_FILE} AS place, * FROM customer), b AS (SELECT DISTINCT file FROM r WHERE file % 5 = 4 AND place = {written.CUSTOMERS_A_FILE - 1})
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY c_custkey) AS row_idx, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'segment ' || file AS last_header, CASE file % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS delimiter, false AS failed FROM r WHERE file NOT IN (SELECT file FROM b)
+UNION ALL SELECT file, 0, '', '', '', '', true FROM b""")
+def s7_batch(spark, d):
+    found = delimited.read_batch(spark, written.many_files(spark, d))
+    file = F.regexp_extract("dataset_id", r"file=(\d+)/", 1).cast("long").alias("file")
+    about = found.datasets.select("dataset_id", "delimiter").join(found.columns.where("col_idx = 2").select("dataset_id", F.col("column").alias("last_header")), "dataset_id")
+    rows = found.raw_rows.join(about, "dataset_id").select(file, "row_idx", F.col("cells")[0].alias("id"), F.col("cells")[1].alias("name"), "last_header", "delimiter", F.lit(False).alias("failed"))
+    blank = [F.lit("").alias(c) for c in ("id", "name", "last_header", "delimiter")]
+    return rows.unionByName(found.errors.select(file, F.lit(0).cast("long").alias("row_idx"), *blank, F.col("error").isNotNull().alias("failed")))
+
+
+@query("""SELECT 'LM' || p_partkey AS lm_id, p_brand || ', "' || p_name || '"' AS name FROM part""")
+def s12_id_names(spark, d):
+    return ref.id_name_table(spark, written.id_names(spark, d))
+
+
 # --- projections and predicates
 
 
+MATRIX = f"{t.QUANT}, m AS (SELECT dense_rank() OVER (ORDER BY row_idx) AS row_idx, input_name, sample_id, value FROM q)"
+
+
+@query(f"""WITH {MATRIX} SELECT row_idx, input_name, sample_id, value FROM m""")
+def p1_name_column(spark, d):
+    done = workloads.import_table(spark, written.matrix_file(spark, d), t.names(spark, d), lipid="input_name")
+    return done.quant.select("row_idx", "input_name", "sample_id", "value")
+
+
+@query(f"""WITH {MATRIX} SELECT row_idx, input_name, sample_id, value FROM m WHERE sample_id IN ('NATION_3', 'NATION_0', 'NATION_18')""")
+def p2_sample_columns(spark, d):
+    done = workloads.import_table(spark, written.matrix_file(spark, d), t.names(spark, d), lipid=12, wanted=["NATION_3", 0, 13, 20])
+    return done.quant.select("row_idx", "input_name", "sample_id", "value")
+
+
 @query(f"""WITH {t.LINES}, k AS (
   SELECT dataset_id, col_idx, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, col_idx ORDER BY row_idx) AS i FROM c WHERE text <> '') WHERE i <= 100 GROUP BY dataset_id, col_idx
 ) SELECT c.dataset_id, c.row_idx, f.name AS input_name, c.col_idx AS ordinal, c.value FROM c JOIN k ON c.dataset_id = k.dataset_id AND c.col_idx = k.col_idx AND k.numbers > 0.8 AND c.col_idx <> 3
@@ -212,6 +269,13 @@ def p5_labels_by_position(spark, d):
     return samples.with_labels(chosen, columns, by="position").select("dataset_id", "ordinal", "label")
 
 
+@query("""SELECT 'nation ' || n_nationkey AS dataset_id, v.ordinal, v.label FROM nation, (VALUES (1, NULL), (2, 'label 2'), (3, 'label 4'), (4, 'label 4')) AS v(ordinal, label) WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def p5_labels_by_name(spark, d):
+    columns = t.column_names(spark, d)
+    chosen = columns.where("col_idx > 0").select("dataset_id", F.col("col_idx").alias("ordinal"), F.col("column").alias("sample_id"))
+    return samples.with_labels(chosen, columns).select("dataset_id", "ordinal", "label")
+
+
 def _annotated(spark, d):
     return annotate.standardise(t.lipids(spark, d), t.names(spark, d))
 
@@ -601,6 +665,14 @@ def k5_reaction_rows(spark, d):
     return rows.select("reaction_id", F.size("reactants").alias("reactants"), F.size("products").alias("products"))
 
 
+@query(f"""WITH {t.PARTICIPANTS} SELECT reaction_ord AS reaction_id, 'order ' || reaction_ord AS reaction_name, role, CAST(pos AS INTEGER) AS pos, display AS name, lm_id, CASE WHEN main THEN 'lm_main' ELSE 'other' END AS compound_type FROM p""")
+def k5_reaction_contents(spark, d):
+    rows = export.reaction_rows(t.reactions(spark, d))
+    side = lambda c, role: rows.select("reaction_id", "reaction_name", F.lit(role).alias("role"), F.posexplode(c).alias("pos", "compound"))
+    found = side("reactants", "reactant").unionByName(side("products", "product"))
+    return found.select("reaction_id", "reaction_name", "role", "pos", ref.display_name(F.col("compound")).alias("name"), F.col("compound.compound_lm_id").alias("lm_id"), "compound.compound_type")
+
+
 @query(f"""WITH {LINKED}, w AS (SELECT * FROM o ORDER BY row_idx LIMIT 10) SELECT w.row_idx, w.lm_id, k.reaction_ord, k.role FROM w LEFT JOIN k ON k.row_idx = w.row_idx""")
 def k6_annotated_listing(spark, d):
     seen = t.observed(spark, d).withColumn("standardized_name", F.col("input_name"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import with_split_idx
-from ..functions.tables import stored
+from ..functions.tables import BROADCAST_ENTRIES, stored
 from ..functions.text import strip
 from . import files, quoted
 
@@ -219,10 +219,10 @@ def read_batch(spark: SparkSession, path: str | list[str], sep: str | None = Non
 
     The files go through the data source of ``files`` where pyarrow can open their store, else
     through ``binaryFile``, a file a record (that one passes over files of no bytes). What the one
-    parse gave is written, and all four outputs are read from it. A file that cannot be parsed gives
-    a row in ``errors``; the others go on. UTF-8 falls back to Latin-1, and the encoding used is
-    reported. Files of any size but single huge ones belong here; those go through ``read_dataset``,
-    which splits them.
+    parse gave is written, and all four outputs are read from it. A file that cannot be parsed, at
+    whatever row, gives a row in ``errors`` and nothing else; the others go on. UTF-8 falls back to
+    Latin-1, and the encoding used is reported. Files of any size but single huge ones belong here;
+    those go through ``read_dataset``, which splits them.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if files.can_open(paths):
@@ -232,10 +232,14 @@ def read_batch(spark: SparkSession, path: str | list[str], sep: str | None = Non
     else:
         parsed = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_parse(sep, has_labels, encoding), PARSED)
     parsed = stored(parsed, "parsed-files")
+    failed = parsed.where("kind = 'error'").select("dataset_id")
+    count, whole = failed.count(), parsed
+    if count:
+        whole = parsed.join(F.broadcast(failed) if count <= BROADCAST_ENTRIES else failed, "dataset_id", "left_anti")
     return Batch(
-        parsed.where("kind = 'row'").select("dataset_id", F.col("at").alias("row_idx"), "cells", "missing_columns", "extra_fields"),
-        parsed.where("kind = 'column'").select("dataset_id", F.col("at").cast("int").alias("col_idx"), F.col("text").alias("column"), "label"),
-        parsed.where("kind = 'dataset'").select("dataset_id", F.col("dataset_id").alias("source_file"), F.col("cells")[1].alias("delimiter"), F.col("cells")[2].alias("encoding"), F.col("size").alias("file_size_bytes"), F.col("cells")[0].alias("format_type")),
+        whole.where("kind = 'row'").select("dataset_id", F.col("at").alias("row_idx"), "cells", "missing_columns", "extra_fields"),
+        whole.where("kind = 'column'").select("dataset_id", F.col("at").cast("int").alias("col_idx"), F.col("text").alias("column"), "label"),
+        whole.where("kind = 'dataset'").select("dataset_id", F.col("dataset_id").alias("source_file"), F.col("cells")[1].alias("delimiter"), F.col("cells")[2].alias("encoding"), F.col("size").alias("file_size_bytes"), F.col("cells")[0].alias("format_type")),
         parsed.where("kind = 'error'").select("dataset_id", F.col("text").alias("error")),
     )
 

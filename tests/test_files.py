@@ -55,3 +55,13 @@ def test_partitions_by_size(monkeypatch):
 
 def test_can_open():
     assert files.can_open(["/a/b", "file:/a/b", "file:///a"]) and not files.can_open(["viewfs://store/in"])
+
+
+def test_a_file_that_fails_late_leaves_no_rows(spark, tmp_path):
+    _folder(tmp_path)
+    (tmp_path / "late.csv").write_text("lipid,s1\n" + "ok,1\n" * 6000 + "x" * 140_000 + ",1\n")
+    batch = delimited.read_batch(spark, str(tmp_path))
+    name = lambda t: {r.dataset_id.rsplit("/", 1)[1] for r in t.select("dataset_id").distinct().collect()}
+    assert name(batch.errors) == {"late.csv"}
+    assert not {"late.csv"} & (name(batch.raw_rows) | name(batch.columns) | name(batch.datasets))
+    assert name(batch.raw_rows) == {"a.csv", "b.tsv", "c.csv"}
