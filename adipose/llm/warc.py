@@ -54,7 +54,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     archives = max(1, -(-total // archive_bytes))
     body = F.coalesce(F.col(payload), F.lit(""))
     full = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("about:blank")), r"\s", "%20").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    joined = full.repartition(int(archives), "page_id", "digest").join(revisits(heads, least), ["page_id", "digest"], "left")
+    # a join takes no fewer parts than are set, and would deal the payloads once more for fewer archives
+    keys, parts = ["page_id", "digest"], max(int(archives), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = full.repartition(parts, *keys).join(revisits(heads, least).repartition(parts, *keys), keys, "left").coalesce(int(archives))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("body").cast("string"), F.lit(CRLF + CRLF))
