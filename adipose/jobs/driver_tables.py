@@ -120,7 +120,7 @@ def reactions(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_partkey") % 7 != 0, F.concat(F.lit("LM"), F.col("l_partkey").cast("string"))).alias("compound_lm_id"), null.alias("compound_sys_name"), null.alias("compound_synonyms"), F.concat(F.lit("G"), F.col("l_suppkey").cast("string")).alias("compound_generic_id"),
     )
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", compound.alias("compound"))
-    side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, item))), lambda x: x["compound"])
+    side = lambda flag: F.transform(F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == flag, item))), lambda x: x["compound"])
     built = lines.groupBy(F.col("l_orderkey").alias("reaction_ord")).agg(side("R").alias("reactants"), side("A").alias("products"), side("N").alias("genes"))
     key = F.col("reaction_ord")
     enzymes = F.when(key % 4 != 0, F.array(F.concat(F.lit("E"), (key % 10).cast("string")), F.lit("E0")))

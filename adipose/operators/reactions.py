@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from ..functions.tables import lists_in_parts, stored
 from ..functions.text import filled
 from ..sources.reference_tables import display_name
-from .joins import reference_join
+from .joins import BROADCAST_ROWS, reference_join
 
 # fixed value: the type of a main compound
 MAIN = "lm_main"
 
 
 def participants(reactions: DataFrame) -> DataFrame:
-    """(reaction_ord, reaction_id, reaction_name, role, pos, compound): reactants before products."""
-    side = lambda c, role: reactions.select("reaction_ord", "reaction_id", "reaction_name", F.lit(role).alias("role"), F.posexplode(c).alias("pos", "compound"))
-    return side("reactants", "reactant").unionByName(side("products", "product"))
+    """(reaction_ord, reaction_id, reaction_name, role, pos, compound): reactants before products; one read of ``reactions``."""
+    side = lambda c, role: F.struct(F.lit(role).alias("role"), F.col(c).alias("compounds"))
+    sides = reactions.select("reaction_ord", "reaction_id", "reaction_name", F.explode(F.array(side("reactants", "reactant"), side("products", "product"))).alias("side"))
+    return sides.select("reaction_ord", "reaction_id", "reaction_name", "side.role", F.posexplode("side.compounds").alias("pos", "compound"))
 
 
 def touching(reactions: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def complete_reactions(reactions: DataFrame, ids: DataFrame, complete: bool = Tr
 
 def component_lipids(reactions: DataFrame, lipids: DataFrame) -> DataFrame:
     """(reaction_ord, role, pos, lm_id, row_idx): the observed lipids of each component."""
-    each = participants(reactions).select("reaction_ord", "role", "pos", F.col("compound.compound_lm_id").alias("lm_id"))
+    each = stored(participants(reactions).select("reaction_ord", "role", "pos", F.col("compound.compound_lm_id").alias("lm_id")), "participants")
     return reference_join(each, lipids.where("lm_id <> ''").select("lm_id", "row_idx"), "lm_id", "inner").select("reaction_ord", "role", "pos", "lm_id", "row_idx")
 
 
@@ -186,17 +187,12 @@ def walk_counts(reactions: DataFrame, hops: int, within: DataFrame | None = None
     sides = _sides(reactions)
     sides = stored(sides if within is None else sides.join(within.select("reaction_ord").distinct(), "reaction_ord", "left_semi"), "sides")
     made, used = (sides.where(F.col("role") == r).select("reaction_ord", "lm_id") for r in ("product", "reactant"))
-    loops = made.join(used, ["reaction_ord", "lm_id"]).groupBy("reaction_ord").agg(F.count(F.lit(1)).alias("loops"))
-    level = sides.select("reaction_ord").distinct().withColumn("walks", F.lit(1).cast(_COUNT))
+    loops = _loops(made, used)
+    level = sides.select("reaction_ord").distinct().withColumn("n", F.lit(1).cast(_COUNT))
     levels = []
     for hop in range(1, hops + 1):
-        over = made.join(level, "reaction_ord").groupBy("lm_id").agg(F.sum("walks").cast(_COUNT).alias("walks"))
-        arrived = reference_join(used, over, "lm_id", "inner").groupBy("reaction_ord").agg(F.sum("walks").cast(_COUNT).alias("walks"))
-        # what a reaction would hand to itself is taken off
-        own = level.join(loops, "reaction_ord").select("reaction_ord", (F.col("walks") * F.col("loops")).cast(_COUNT).alias("own"))
-        left = arrived.join(own, "reaction_ord", "left").select("reaction_ord", (F.col("walks") - F.coalesce("own", F.lit(0))).cast(_COUNT).alias("walks"))
-        level = stored(left.where("walks > 0"), "walks")
-        levels.append(level.select(F.lit(hop).alias("hops"), "reaction_ord", "walks"))
+        level = _step(level, made, used, loops)
+        levels.append(level.select(F.lit(hop).alias("hops"), "reaction_ord", F.col("n").alias("walks")))
     return functools.reduce(DataFrame.unionByName, levels)
 
 
@@ -220,6 +216,25 @@ def cycle_core(reactions: DataFrame) -> DataFrame:
         pairs, n = stored(pairs.join(kept, "reaction_ord", "left_semi"), "core"), left
 
 
+def _loops(made: DataFrame, used: DataFrame) -> DataFrame:
+    """(reaction_ord, loops): the compounds that a reaction would hand to itself."""
+    return stored(made.join(used, ["reaction_ord", "lm_id"]).groupBy("reaction_ord").agg(F.count(F.lit(1)).cast(_COUNT).alias("loops")), "loops")
+
+
+def _step(level: DataFrame, near: DataFrame, far: DataFrame, loops: DataFrame, *less: DataFrame) -> DataFrame:
+    """(reaction_ord, n): ``level`` (reaction_ord, n) summed over one step from the reactions of ``near`` to those of ``far``, without steps to itself; rows of ``less`` are taken off.
+
+    What is taken off goes into the one sum by reaction as negative terms. The sums by compound are
+    written, so that a hub's rows come right from their shuffle and are split by the skew join.
+    """
+    over = stored(near.join(level, "reaction_ord").groupBy("lm_id").agg(F.sum("n").cast(_COUNT).alias("n")), "compound-sums")
+    own = level.join(loops, "reaction_ord").select("reaction_ord", (F.col("n") * F.col("loops")).alias("n"))
+    terms = far.join(F.broadcast(over) if over.count() <= BROADCAST_ROWS else over, "lm_id").select("reaction_ord", "n")
+    for off in (own, *less):
+        terms = terms.unionByName(off.select("reaction_ord", (-F.col("n")).cast(_COUNT).alias("n")))
+    return stored(terms.groupBy("reaction_ord").agg(F.sum("n").cast(_COUNT).alias("n")).where("n > 0"), "level")
+
+
 def chains_from(reactions: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(path, hops): the chains of ``chains`` that begin at ``starts`` (reaction_ord); other links are not listed."""
     sides = stored(_sides(reactions), "sides")
