@@ -267,3 +267,29 @@ def chains(reactions: DataFrame, hops: int) -> DataFrame:
             frontier = frontier.checkpoint()
         found = found.unionByName(frontier)
     return found.withColumn("hops", F.size("path") - 1)
+def chain_counts(reactions: DataFrame) -> DataFrame:
+    """(hops, reaction_ord, chains): how many of the ``chains`` of one and of two steps begin at each reaction.
+
+    None is listed. Steps over each compound are counted as in ``walk_counts``; then a pair of reactions
+    that shares several compounds is counted once, and ways back to the start are taken off. Both
+    corrections list only the pairs concerned, found over two compounds at a time, so they grow with the
+    squares of single reactions' participants and not with a compound's producers x consumers.
+    """
+    sides = stored(_sides(reactions), "sides")
+    made, used = (sides.where(F.col("role") == r).select("reaction_ord", "lm_id") for r in ("product", "reactant"))
+    two = lambda a, b: a.withColumnRenamed("lm_id", "a").join(b.withColumnRenamed("lm_id", "b"), "reaction_ord")
+    src, dst = F.col("reaction_ord").alias("src"), F.col("reaction_ord").alias("dst")
+    # k shared compounds make k (k - 1) / 2 rows
+    shared = two(made, made).where("a < b").select(src, "a", "b").join(two(used, used).where("a < b").select(dst, "a", "b"), ["a", "b"]).where("src <> dst")
+    extra = stored(shared.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).select("src", "dst", F.round((F.sqrt(8 * F.col("n") + 1) - 1) / 2).cast(_COUNT).alias("extra")), "shared-twice")
+    both = two(made, used)
+    back = both.select(src, "a", "b").join(both.select(dst, F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("src <> dst").select("src", "dst").distinct()
+    back = stored(back.groupBy(F.col("src").alias("reaction_ord")).agg(F.count(F.lit(1)).cast(_COUNT).alias("n")), "ways-back")
+    loops = _loops(made, used)
+    again = lambda level: extra.join(level.withColumnRenamed("reaction_ord", "dst"), "dst").select(F.col("src").alias("reaction_ord"), (F.col("n") * F.col("extra")).alias("n"))
+    none = sides.select("reaction_ord").distinct().withColumn("n", F.lit(1).cast(_COUNT))
+    one = _step(none, used, made, loops, again(none))
+    two_steps = _step(one, used, made, loops, again(one), back)
+    return one.select(F.lit(1).alias("hops"), "reaction_ord", F.col("n").alias("chains")).unionByName(two_steps.select(F.lit(2).alias("hops"), "reaction_ord", F.col("n").alias("chains")))
+
+

@@ -22,6 +22,38 @@ def _dense(seed, n=40, compounds=9):
     return [([r.randrange(compounds) for _ in range(r.randint(0, 4))], [r.randrange(compounds) for _ in range(r.randint(0, 4))]) for _ in range(n)]
 
 
+def _links(rows):
+    return {(i, j) for i, (_, b) in enumerate(rows) for j, (a, _) in enumerate(rows) if i != j and set(a) & set(b)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_are_counted_as_listed(spark, seed):
+    rows = _dense(seed)
+    links = _links(rows)
+    want = collections.Counter((1, i) for i, _ in links)
+    after = collections.defaultdict(list)
+    for i, j in links:
+        after[i].append(j)
+    want.update((2, i) for i, j in links for k in after[j] if k != i)
+    got = {(x.hops, x.reaction_ord): int(x.chains) for x in reactions.chain_counts(_table(spark, rows)).collect()}
+    assert got == dict(want) and any(k[0] == 2 for k in got)
+
+
+def test_chain_counts_equal_chains_and_may_be_none(spark):
+    _, table = _graph(spark, 4, False)
+    listed = collections.Counter((x.hops, x.path[0]) for x in reactions.chains(table, 2).collect())
+    assert {(x.hops, x.reaction_ord): int(x.chains) for x in reactions.chain_counts(table).collect()} == dict(listed)
+    assert reactions.chain_counts(_table(spark, [([1], [2]), ([], [])])).collect() == []
+
+
+def test_chains_over_a_hub_are_not_listed(spark):
+    n = 6_000  # each makes and each takes the hub: 9 million links, 5.4e10 chains of two steps in a list
+    ids = [[0] for _ in range(n)]
+    table = _table(spark, [*zip(ids, ids)])
+    total = {x.hops: int(x.n) for x in reactions.chain_counts(table).groupBy("hops").agg(F.sum("chains").alias("n")).collect()}
+    assert total == {1: n * (n - 1), 2: n * (n - 1) * (n - 2)}
+
+
 def _scans(df, what="ExistingRDD"):
     return df._jdf.queryExecution().executedPlan().toString().count(what)
 
