@@ -30,6 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt over all cores where they are read in fewer parts: each of them makes many rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def with_lists(rows: DataFrame, lists: DataFrame, column: str, key: str = "dataset_id", how: str = "inner", entries: int | None = None) -> DataFrame:
     """``rows`` joined to ``lists`` (key, column), a stored table of one row a key.
 

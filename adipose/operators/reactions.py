@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import lists_in_parts, stored
+from ..functions.tables import lists_in_parts, spread, stored
 from ..functions.text import filled
 from ..sources.reference_tables import display_name
 from .joins import BROADCAST_ROWS, reference_join
@@ -60,23 +60,27 @@ def reaction_links(reactions: DataFrame, ids: DataFrame, details: bool = False)
     """(lm_id, reaction_ord, reaction_id, reaction_name, type, enzyme_ids, pathway_ids, role, pos): one a participant with one of ``ids``.
 
     Kept at the level of ids; ``lipid_reactions`` expands it to lipid rows late, since many rows can
-    share an id and an id many reactions. ``details`` adds the whole reaction as JSON text.
+    share an id and an id many reactions. ``details`` adds the whole reaction as JSON text. The links are
+    written once, since what follows reads them several times; ``reactions`` is read twice.
     """
     listed = lambda c: F.col(c).cast("array<string>") if c in reactions.columns else F.lit(None).cast("array<string>")
     kind = F.coalesce(filled(F.col("type")), F.lit("species-level")) if "type" in reactions.columns else F.lit("species-level")
     ids = ids.where("lm_id <> ''").select("lm_id").distinct()
-    each = participants(reactions).select(F.col("compound.compound_lm_id").alias("lm_id"), "reaction_ord", "role", "pos").join(ids, "lm_id", "left_semi")
+    each = stored(participants(reactions).select(F.col("compound.compound_lm_id").alias("lm_id"), "reaction_ord", "role", "pos").join(ids, "lm_id", "left_semi"), "participants")
+    # only reactions with a link are moved and written as text
+    hit = stored(each.select("reaction_ord").distinct(), "linked-reactions")
+    linked = reactions.join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, "reaction_ord", "left_semi")
     whole = [F.to_json(F.struct(*[c for c in _DETAILS if c in reactions.columns])).alias("details")] if details else []
-    about = reactions.select(
+    about = linked.select(
         "reaction_ord", F.coalesce(F.col("reaction_id").cast("string"), F.lit("")).alias("reaction_id"), F.coalesce("reaction_name", F.lit("")).alias("reaction_name"),
         kind.alias("type"), listed("enzyme_ids").alias("enzyme_ids"), listed("pathway_ids").alias("pathway_ids"), *whole,
     )
-    return each.join(about, "reaction_ord").select("lm_id", *about.columns[:6], "role", "pos", *about.columns[6:])
+    return stored(each.join(about, "reaction_ord").select("lm_id", *about.columns[:6], "role", "pos", *about.columns[6:]), "links")
 
 
 def lipid_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:
-    """A row per lipid row and link; an id that very many lipids share is no one task's."""
-    return reference_join(lipids.select("row_idx", "input_name", "lm_id"), links, "lm_id", "inner")
+    """A row per lipid row and link; an id that very many lipids share is no one task's, nor are all lipids of a small file."""
+    return reference_join(spread(lipids.select("row_idx", "input_name", "lm_id")), links, "lm_id", "inner")
 
 
 def nested_reactions(lipids: DataFrame, links: DataFrame) -> DataFrame:

@@ -62,3 +62,20 @@ def test_participants_read_reactions_once(spark):
     table = _table(spark, _dense(7))
     assert _scans(reactions.participants(table)) == 1
     assert _scans(reactions.compound_links(table)) == 1
+
+
+def test_links_are_written_once(spark):
+    table = _table(spark, _dense(8))
+    ids = spark.createDataFrame([("LM1",), ("LM4",), (None,), ("",)], "lm_id string")
+    links = reactions.reaction_links(table, ids, details=True)
+    assert _scans(links) == 0 and _scans(links, "Join") == 0
+    want = [(k, role, pos, f"LM{x}") for k, (a, b) in enumerate(_dense(8)) for role, side in (("reactant", a), ("product", b)) for pos, x in enumerate(side) if x in (1, 4)]
+    assert sorted((x.reaction_ord, x.role, x.pos, x.lm_id) for x in links.collect()) == sorted(want)
+
+
+def test_lipids_of_one_part_are_dealt_before_they_are_expanded(spark):
+    table = _table(spark, [([1], [2])] * 50)
+    lipids = spark.range(100).select(F.col("id").alias("row_idx"), F.lit("a").alias("input_name"), F.lit("LM1").alias("lm_id")).coalesce(1)
+    found = reactions.lipid_reactions(lipids, reactions.reaction_links(table, lipids))
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in tasks) == 5_000 and len(tasks) > 1
