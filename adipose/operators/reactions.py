@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import lists_in_parts, spread, stored
@@ -167,13 +167,29 @@ HUB = 1000
 def next_reactions(reactions: DataFrame) -> DataFrame:
     """(src, dst): reaction ``dst`` takes a product of reaction ``src``; ids shared twice count once.
 
-    A hub's producers are dealt over parts, so that no task makes all of its links.
+    A hub's producers are dealt over parts, so that no task makes all of its links. Only a pair that may
+    share a further compound can come twice: these pairs, told by a 64-bit mask of each side's other
+    compounds, are made distinct, and all others are made once and not shuffled.
     """
-    ids = _sides(reactions)
-    parts = compound_links(reactions).where("links > 0").select("lm_id", F.ceil(F.col("producers") / HUB).cast("int").alias("parts"))
-    made = ids.where("role = 'product'").join(parts, "lm_id").select(F.col("reaction_ord").alias("src"), "lm_id", F.pmod(F.xxhash64("reaction_ord"), F.col("parts")).cast("int").alias("part"))
-    used = ids.where("role = 'reactant'").join(parts, "lm_id").select(F.col("reaction_ord").alias("dst"), "lm_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return made.join(used, ["lm_id", "part"]).where("src <> dst").select("src", "dst").distinct()
+    sides = stored(_marked(_sides(reactions)), "sides")
+    made = sides.where("role = 'product'").select(F.col("reaction_ord").alias("src"), "lm_id", F.col("others").alias("made"))
+    used = sides.where("role = 'reactant'").select(F.col("reaction_ord").alias("dst"), "lm_id", F.col("others").alias("used"))
+    hubs = stored(made.groupBy("lm_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select("lm_id", F.ceil(F.col("n") / HUB).cast("int").alias("parts")), "hubs")
+    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = made.join(hubs, "lm_id", "left").select("src", "lm_id", "made", F.pmod(F.xxhash64("src"), parts).cast("int").alias("part"))
+    copied = used.join(hubs, "lm_id", "left").select("dst", "lm_id", "used", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = dealt.join(copied, ["lm_id", "part"]).where("src <> dst")
+    again = F.col("made").bitwiseAND(F.col("used")) != 0
+    return pairs.where(~again).select("src", "dst").unionByName(pairs.where(again).select("src", "dst").distinct())
+
+
+def _marked(sides: DataFrame) -> DataFrame:
+    """``sides`` with ``others``: a mask with a bit of each other compound on the same side of the reaction."""
+    place = F.pmod(F.xxhash64("lm_id"), F.lit(64)).cast("int")
+    bit, side = F.expr("shiftleft(1L, place)"), ["reaction_ord", "role"]
+    all_ = sides.withColumn("place", place).withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy(*side, "place"))).withColumn("all", F.bit_or(bit).over(Window.partitionBy(*side)))
+    return all_.select(*sides.columns, F.when(F.col("alike") > 1, F.col("all")).otherwise(F.col("all").bitwiseXOR(bit)).alias("others"))
 
 
 _COUNT = "decimal(38,0)"
@@ -200,6 +216,25 @@ def walk_counts(reactions: DataFrame, hops: int, within: DataFrame | None = None
     return functools.reduce(DataFrame.unionByName, levels)
 
 
+def _loops(made: DataFrame, used: DataFrame) -> DataFrame:
+    """(reaction_ord, loops): the compounds that a reaction would hand to itself."""
+    return stored(made.join(used, ["reaction_ord", "lm_id"]).groupBy("reaction_ord").agg(F.count(F.lit(1)).cast(_COUNT).alias("loops")), "loops")
+
+
+def _step(level: DataFrame, near: DataFrame, far: DataFrame, loops: DataFrame, *less: DataFrame) -> DataFrame:
+    """(reaction_ord, n): ``level`` (reaction_ord, n) summed over one step from the reactions of ``near`` to those of ``far``, without steps to itself; rows of ``less`` are taken off.
+
+    What is taken off goes into the one sum by reaction as negative terms. The sums by compound are
+    written, so that a hub's rows come right from their shuffle and are split by the skew join.
+    """
+    over = stored(near.join(level, "reaction_ord").groupBy("lm_id").agg(F.sum("n").cast(_COUNT).alias("n")), "compound-sums")
+    own = level.join(loops, "reaction_ord").select("reaction_ord", (F.col("n") * F.col("loops")).alias("n"))
+    terms = far.join(F.broadcast(over) if over.count() <= BROADCAST_ROWS else over, "lm_id").select("reaction_ord", "n")
+    for off in (own, *less):
+        terms = terms.unionByName(off.select("reaction_ord", (-F.col("n")).cast(_COUNT).alias("n")))
+    return stored(terms.groupBy("reaction_ord").agg(F.sum("n").cast(_COUNT).alias("n")).where("n > 0"), "level")
+
+
 def cycle_core(reactions: DataFrame) -> DataFrame:
     """(reaction_ord) of what is left when reactions without a predecessor or without a successor are taken off again and again.
 
@@ -220,25 +255,6 @@ def cycle_core(reactions: DataFrame) -> DataFrame:
         pairs, n = stored(pairs.join(kept, "reaction_ord", "left_semi"), "core"), left
 
 
-def _loops(made: DataFrame, used: DataFrame) -> DataFrame:
-    """(reaction_ord, loops): the compounds that a reaction would hand to itself."""
-    return stored(made.join(used, ["reaction_ord", "lm_id"]).groupBy("reaction_ord").agg(F.count(F.lit(1)).cast(_COUNT).alias("loops")), "loops")
-
-
-def _step(level: DataFrame, near: DataFrame, far: DataFrame, loops: DataFrame, *less: DataFrame) -> DataFrame:
-    """(reaction_ord, n): ``level`` (reaction_ord, n) summed over one step from the reactions of ``near`` to those of ``far``, without steps to itself; rows of ``less`` are taken off.
-
-    What is taken off goes into the one sum by reaction as negative terms. The sums by compound are
-    written, so that a hub's rows come right from their shuffle and are split by the skew join.
-    """
-    over = stored(near.join(level, "reaction_ord").groupBy("lm_id").agg(F.sum("n").cast(_COUNT).alias("n")), "compound-sums")
-    own = level.join(loops, "reaction_ord").select("reaction_ord", (F.col("n") * F.col("loops")).alias("n"))
-    terms = far.join(F.broadcast(over) if over.count() <= BROADCAST_ROWS else over, "lm_id").select("reaction_ord", "n")
-    for off in (own, *less):
-        terms = terms.unionByName(off.select("reaction_ord", (-F.col("n")).cast(_COUNT).alias("n")))
-    return stored(terms.groupBy("reaction_ord").agg(F.sum("n").cast(_COUNT).alias("n")).where("n > 0"), "level")
-
-
 def chains_from(reactions: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(path, hops): the chains of ``chains`` that begin at ``starts`` (reaction_ord); other links are not listed."""
     sides = stored(_sides(reactions), "sides")
@@ -254,23 +270,6 @@ def chains_from(reactions: DataFrame, starts: DataFrame, hops: int) -> DataFrame
     return functools.reduce(DataFrame.unionByName, levels).withColumn("hops", F.size("path") - 1)
 
 
-def chains(reactions: DataFrame, hops: int) -> DataFrame:
-    """(path, hops): chains of up to ``hops`` steps that meet no reaction twice.
-
-    Each hop is a join of the frontier with the one-hop table, which is checkpointed once.
-    """
-    spark = reactions.sparkSession
-    step = next_reactions(reactions)
-    if spark.conf.get("spark.checkpoint.dir", None):
-        step = step.checkpoint()
-    found = frontier = step.select(F.array("src", "dst").alias("path"))
-    for _ in range(hops - 1):
-        ahead = frontier.withColumn("src", F.element_at("path", -1)).join(step, "src").where(~F.array_contains("path", F.col("dst")))
-        frontier = ahead.select(F.concat("path", F.array("dst")).alias("path"))
-        if spark.conf.get("spark.checkpoint.dir", None):
-            frontier = frontier.checkpoint()
-        found = found.unionByName(frontier)
-    return found.withColumn("hops", F.size("path") - 1)
 def chain_counts(reactions: DataFrame) -> DataFrame:
     """(hops, reaction_ord, chains): how many of the ``chains`` of one and of two steps begin at each reaction.
 
@@ -297,3 +296,20 @@ def chain_counts(reactions: DataFrame) -> DataFrame:
     return one.select(F.lit(1).alias("hops"), "reaction_ord", F.col("n").alias("chains")).unionByName(two_steps.select(F.lit(2).alias("hops"), "reaction_ord", F.col("n").alias("chains")))
 
 
+def chains(reactions: DataFrame, hops: int) -> DataFrame:
+    """(path, hops): chains of up to ``hops`` steps that meet no reaction twice.
+
+    Each hop is a join of the frontier with the one-hop table, which is checkpointed once.
+    """
+    spark = reactions.sparkSession
+    step = next_reactions(reactions)
+    if spark.conf.get("spark.checkpoint.dir", None):
+        step = step.checkpoint()
+    found = frontier = step.select(F.array("src", "dst").alias("path"))
+    for _ in range(hops - 1):
+        ahead = frontier.withColumn("src", F.element_at("path", -1)).join(step, "src").where(~F.array_contains("path", F.col("dst")))
+        frontier = ahead.select(F.concat("path", F.array("dst")).alias("path"))
+        if spark.conf.get("spark.checkpoint.dir", None):
+            frontier = frontier.checkpoint()
+        found = found.unionByName(frontier)
+    return found.withColumn("hops", F.size("path") - 1)

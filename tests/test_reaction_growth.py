@@ -54,6 +54,21 @@ def test_chains_over_a_hub_are_not_listed(spark):
     assert total == {1: n * (n - 1), 2: n * (n - 1) * (n - 2)}
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_links_come_once(spark, monkeypatch, hub):
+    monkeypatch.setattr(reactions, "HUB", hub)
+    for rows in (_dense(5), _dense(6, 12, 200), [(list(range(90)), list(range(90)))] * 3):
+        got = [tuple(x) for x in reactions.next_reactions(_table(spark, rows)).collect()]
+        assert sorted(got) == sorted(_links(rows))
+
+
+def test_only_open_links_are_made_distinct(spark):
+    rows = [([k], [k + 1]) for k in range(300)] + [([1000, 1001], []), ([], [1000, 1001])]
+    sides = reactions._marked(reactions._sides(_table(spark, rows))).collect()
+    assert {x.others == 0 for x in sides if x.reaction_ord < 300} == {True}
+    assert all(x.others != 0 for x in sides if x.reaction_ord >= 300) and len(sides) == 604
+
+
 def _scans(df, what="ExistingRDD"):
     return df._jdf.queryExecution().executedPlan().toString().count(what)
 
