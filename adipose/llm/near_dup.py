@@ -169,6 +169,7 @@ def _close(percent: int):
                 c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
                 keep = _may_link(_regs(c["ra"]), _regs(c["rb"]), c["na"].to_numpy(), c["nb"].to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
+                ta.give_back()
 
     return run
 
@@ -230,6 +231,9 @@ def _cell(percent: int):
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
                     found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        if len(ids) > BLOCK // 4:
+            del sets, regs, bands, bits
+            ta.give_back()
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return run

@@ -39,7 +39,7 @@ from . import text_arrays as ta
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MEMO_CHARACTERS = 2_500_000
-BATCH_CHARACTERS = 400_000
+BATCH_CHARACTERS = 200_000
 LONG_CUT = 1_000
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 

@@ -104,7 +104,12 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+#: Text bytes worked on at once. Each makes some ten arrays of 8 bytes a text byte; with one less than a
+#: power of two the running sums of a slice, one longer, fit in a table of powers of that size.
+SLICE = (1 << 20) - 1
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` text bytes; a longer text has a batch of its own."""
     for batch in batches:
         if batch.num_rows:
