@@ -114,6 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     packed = asked.repartition(tiles, F.xxhash64("vec_id")).mapInArrow(_integers(scale), _BLOCK)
     packed = packed.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("peak").alias("q_peak"), (F.spark_partition_id() % tiles).alias("tile"))
     packed = packed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = shards.join(packed, ["dim", "tile", "cell"]).mapInArrow(_search(k), _SCORES)
+    # the copies made by explode are in no size that Spark knows, so it would broadcast them through the driver
+    found = shards.join(packed.hint("merge"), ["dim", "tile", "cell"]).mapInArrow(_search(k), _SCORES)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

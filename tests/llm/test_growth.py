@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from adipose.llm import decontaminate, shared, suffix_dedup
+from adipose.llm import decontaminate, shared, suffix_dedup, topk
 from test_small import _spans
 
 
@@ -63,3 +63,12 @@ def test_blocks_of_items_take_rows_off_once(spark, monkeypatch):
         assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == clean
     assert 0 < len(clean) < len(texts)
     assert decontaminate.drop_contaminated(docs.where("false"), items, text="body").count() == 0
+
+
+def test_copies_of_queries_do_not_meet_in_the_driver(spark):
+    # Spark knows the size of the queries before a copy a shard group is made, so it took the copies for small
+    frame = spark.createDataFrame([(k, [float(k % 7), float(k % 11)]) for k in range(300)], "vec_id long, embedding array<float>")
+    found = topk.top_k(frame, F.pmod("vec_id", F.lit(50)) == 0)
+    assert len(found.collect()) == 6 * 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
